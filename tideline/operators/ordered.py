@@ -62,7 +62,7 @@ def measure(df: DataFrame, key: str = "user_id", at: str = "ts_us",
             rows_per_run: int = ROWS_PER_RUN, bin_width: int = HOUR) -> Layout:
     """Measure a log. One pass over two columns, counted map-side; the driver gets one row,
     plus the hot keys if there are few enough to broadcast."""
-    bins = (df.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    bins = (df.where(F.col(at).isNotNull())
             .groupBy(key, bucket_start(F.col(at), bin_width).alias("_bin"))
             .agg(F.count("*").alias("n")))
     per_key = bins.groupBy(key).agg(F.sum("n").alias("n"), F.max("n").alias("peak"))
@@ -84,7 +84,9 @@ def with_runs(df: DataFrame, layout: Layout | FixedRuns) -> DataFrame:
     if isinstance(layout, FixedRuns):
         df = df.withColumn("_width", F.lit(layout.width).cast("long"))
     else:
-        df = df.join(layout.widths, layout.key, "left")
+        widths = layout.widths.withColumnRenamed(layout.key, "_hot_key")
+        df = df.join(widths, F.col(layout.key).eqNullSafe(F.col("_hot_key")), "left").drop(
+            "_hot_key")
     at = F.col(layout.at)
     return df.withColumn("_run", F.coalesce(at - F.pmod(at, F.col("_width")), F.lit(0)))
 
@@ -126,19 +128,25 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[s
         window = Window.partitionBy(*keys).orderBy(*along(*order))
         return df.withColumns({name: _local(s, window) for name, s in scans.items()})
 
-    cut = with_runs(df, layout)
-    window = Window.partitionBy(*keys, "_run").orderBy(*along(*order))
+    # Joins drop null keys, so a null key is replaced by a value and a flag.
+    cut, group = with_runs(df, layout), []
+    for k in keys:
+        zero = F.lit(0).cast(df.schema[k].dataType)
+        cut = cut.withColumns({f"_k_{k}": F.coalesce(F.col(k), zero),
+                               f"_null_{k}": F.col(k).isNull()})
+        group += [f"_k_{k}", f"_null_{k}"]
+    window = Window.partitionBy(*group, "_run").orderBy(*along(*order))
     local = cut.withColumns({name: _local(s, window) for name, s in scans.items()})
-    totals = (cut.where("_width is not null").groupBy(*keys, "_run")
+    totals = (cut.where("_width is not null").groupBy(*group, "_run")
               .agg(*[_total(s, order, reverse).alias(f"_t_{n}") for n, s in scans.items()]))
     # One row per run of a hot key: few, whatever the number of events.
-    before = (Window.partitionBy(*keys).orderBy(*along("_run"))
+    before = (Window.partitionBy(*group).orderBy(*along("_run"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*keys, "_run", *[
+    carry = totals.select(*group, "_run", *[
         (F.last(F.col(f"_t_{n}"), ignorenulls=True) if s.kind == "last" else
          {"sum": F.sum, "max": F.max, "min": F.min}[s.kind](f"_t_{n}"))
         .over(before).alias(f"_c_{n}") for n, s in scans.items()])
-    joined = local.join(carry, [*keys, "_run"], "left")
+    joined = local.join(carry, [*group, "_run"], "left")
     return joined.select(*df.columns, *[
         _merge(s, n, f"_c_{n}").cast(local.schema[n].dataType).alias(n) for n, s in scans.items()])
 
