@@ -35,7 +35,8 @@ _LAYOUTS: dict[tuple[str, str], Layout] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name; a trailing ``_`` only avoids a clash of names."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -452,7 +453,3 @@ def validation_summary(spark, sf_dir):
         "events": val.reconcile_events(log, observed).withColumn(
             "ok", F.col("status") == "match"),
     })
-
-
-for _name in ("read_events", "parse_quarantine", "write_timeline", "idempotent_sink"):
-    QUERIES[_name] = QUERIES.pop(f"{_name}_")

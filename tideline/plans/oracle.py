@@ -426,4 +426,76 @@ union all select 'states', count(*), count(*) filter (e is distinct from o),
     arg_max(kind, (ts_us, event_id))) as o from obs1 group by user_id) y using (user_id)
 union all select 'events', count(*), count(*) filter (status <> 'match'),
   count(*) filter (status <> 'match') = 0 from pairs""",
+
+    "read_events_stream": "select event_id, ts, user_id, event_type, value, props from events",
+
+    "stream_error_rate": f"""with {EV}
+select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_events,
+  count(*) filter (kind = 'error') as n_errors
+from ev group by 1
+having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
+  <= (select max(ts) from ev) - interval '1 hour'""",
+
+    "stream_incidents": f"""with {INC}
+select user_id, start_ts, end_ts, n_errors from inc
+where end_ts + interval '24 hours' <= (select max(ts) from ev where kind = 'error')
+  - interval '1 hour'""",
+
+    "stream_dedupe": f"""with {OBS}
+select distinct event_id, user_id, kind as event_type, cast(amount as double) as value from obs""",
+
+    "stream_replay_state": f"""with {EV},
+cells as (
+  select user_id, time_bucket(interval '1 hour', ts) + interval '1 hour' as cut_ts, count(*) as c,
+         sum(amount) as s, arg_max(kind, (ts_us, event_id)) as last_kind,
+         arg_max(event_id, (ts_us, event_id)) as last_event_id
+  from ev group by all)
+select user_id, cut_ts, cast(sum(c) over w as bigint) as n,
+  cast(cast(sum(s) over w as decimal(38,2)) as varchar) as amount, last_kind, last_event_id
+from cells where cut_ts <= (select max(ts) from ev) - interval '1 hour'
+window w as (partition by user_id order by cut_ts rows unbounded preceding)""",
+
+    "stream_late_audit": f"""with {EV},
+p as (select ts, time_bucket(interval '1 hour', ts) as h,
+  case when event_id % 53 = 11 then 3 else day(ts) // 10 end as part from ev),
+m as (select a.part, max(b.ts) - interval '1 hour' as mark
+  from (select distinct part from p) a join p b on b.part < a.part group by a.part),
+l as (select h, coalesce(h + interval '1 hour' <= mark, false) as late
+  from p left join m on p.part = m.part)
+select h as window_start, count(*) as n_events, count(*) filter (not late) as n_counted,
+  count(*) filter (late) as n_late, true as ok
+from l group by h
+having h + interval '1 hour' <= (select max(ts) from ev) - interval '1 hour'
+  and count(*) filter (not late) > 0""",
+
+    "stream_batch_parity": f"""with {EV}
+select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_events,
+  count(*) filter (kind = 'error') as n_errors, true as ok
+from ev group by 1
+having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
+  <= (select max(ts) from ev) - interval '1 hour'""",
+
+    "stream_restart": f"""with {EV}
+select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_events,
+  count(*) filter (kind = 'error') as n_errors
+from ev group by 1
+having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
+  <= (select max(ts) from ev) - interval '1 hour'""",
+
+    "stream_error_recovery": f"""with {EV},
+w as (select least(max(ts) filter (kind = 'error'), max(ts) filter (kind <> 'error'))
+  - interval '1 hour' as mark from ev),
+b as (select user_id, kind = 'error' as err, ts,
+  time_bucket(interval '5 minutes', ts) + interval '5 minutes' as period_end from ev),
+c as (select user_id, period_end, err, count(*) as n, min(ts) as first_ts from b
+  where period_end <= (select mark from w) group by user_id, period_end, err)
+select e.user_id, e.period_end, e.n as n_error, min(o.first_ts) as recovered_ts
+from c e left join c o on o.user_id = e.user_id and not o.err
+  and o.period_end > e.period_end and o.period_end <= e.period_end + interval '1 hour'
+where e.err group by e.user_id, e.period_end, e.n
+having min(o.first_ts) is not null or e.period_end + interval '1 hour' <= (select mark from w)""",
+
+    "stream_enrich": """
+select event_id, user_id, ts, event_type, c_mktsegment as segment
+from events left join customer on user_id = c_custkey""",
 }
