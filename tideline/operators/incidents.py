@@ -20,9 +20,10 @@ def detect_incidents(log: DataFrame, gap: str = "24 hours", min_events: int = 1)
     Errors in one bucket no wider than ``gap`` always share an incident. So errors are first
     reduced to one row per (user, bucket) by a hash aggregate that works map-side, and only
     those rows are ordered: per user at most (time span / gap), however many errors there are.
+    Events without a user belong to no incident.
     """
     width = micros(gap)
-    cells = (log.where(is_error())
+    cells = (log.where(is_error() & F.col("user_id").isNotNull())
              .groupBy("user_id", bucket_start(F.col("ts_us"), width).alias("_cell"))
              .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
                   F.count("*").alias("n_errors")))
@@ -45,7 +46,7 @@ def incident_sessions(log: DataFrame, gap: str = "24 hours") -> DataFrame:
 
     ``session_window`` merges an event at exactly ``last + gap``, as ``detect_incidents`` does.
     """
-    return (log.where(is_error())
+    return (log.where(is_error() & F.col("user_id").isNotNull())
             .groupBy("user_id", F.session_window("ts", gap).alias("w"))
             .agg(F.count("*").alias("n_errors"))
             .select("user_id", F.col("w.start").alias("start_ts"),
@@ -60,10 +61,10 @@ def time_to_recovery(log: DataFrame, incidents: DataFrame, bucket: str = "1 day"
     bucket, scanned backwards). The earlier of the two is the answer.
     """
     width = micros(bucket)
-    calm = (log.where(~is_error())
+    calm = (log.where(~is_error() & F.col("user_id").isNotNull())
             .select("user_id", "ts_us", bucket_start(F.col("ts_us"), width).alias("_cell")))
-    ends = incidents.select(*INCIDENT, "end_us",
-                            bucket_start(F.col("end_us"), width).alias("_cell"))
+    ends = incidents.where("user_id is not null and end_us is not null").select(
+        *INCIDENT, "end_us", bucket_start(F.col("end_us"), width).alias("_cell"))
 
     same = (calm.join(ends, ["user_id", "_cell"]).where("ts_us > end_us")
             .groupBy(*INCIDENT).agg(F.min("ts_us").alias("_at")))

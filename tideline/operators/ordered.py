@@ -60,23 +60,37 @@ class Scan:
 
 def measure(df: DataFrame, key: str = "user_id", at: str = "ts_us",
             rows_per_run: int = ROWS_PER_RUN, bin_width: int = HOUR) -> Layout:
-    """Measure a log. One pass over two columns, counted map-side; the driver gets one row,
-    plus the hot keys if there are few enough to broadcast."""
-    bins = (df.where(F.col(at).isNotNull())
-            .groupBy(key, bucket_start(F.col(at), bin_width).alias("_bin"))
-            .agg(F.count("*").alias("n")))
-    per_key = bins.groupBy(key).agg(F.sum("n").alias("n"), F.max("n").alias("peak"))
+    """Measure a log: rows per key, counted map-side over one column, and for the keys beyond
+    ``rows_per_run`` also their busiest bin, which sets the width of their runs. The driver
+    gets one row, plus the hot keys if there are few enough to broadcast."""
+    dated = df.where(F.col(at).isNotNull()).select(key, at)
+    per_key = dated.groupBy(key).agg(F.count("*").alias("n"))
     head = per_key.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_rows"),
                        F.count_if(F.col("n") > rows_per_run).alias("hot")).first()
     if head.hot == 0:
         return Layout(key, at, None, max(head.max_rows, 1))
-    widths = per_key.where(F.col("n") > rows_per_run).select(key, F.expr(
+    hot = _pinned(per_key.where(F.col("n") > rows_per_run).select(key), head.hot)
+    bins = (_with_hot(dated, hot, key, "left_semi")
+            .groupBy(key, bucket_start(F.col(at), bin_width).alias("_bin"))
+            .agg(F.count("*").alias("n")))
+    widths = bins.groupBy(key).agg(F.max("n").alias("peak")).select(key, F.expr(
         f"greatest(1L, cast({bin_width} * (cast({rows_per_run} as double) / peak) as bigint))"
     ).alias("_width"))
-    if head.hot <= BROADCAST_HOT_KEYS:
-        spark = df.sparkSession
-        widths = F.broadcast(spark.createDataFrame(widths.collect(), widths.schema))
-    return Layout(key, at, widths, head.max_rows)
+    return Layout(key, at, _pinned(widths, head.hot), head.max_rows)
+
+
+def _pinned(hot: DataFrame, n: int) -> DataFrame:
+    """Hot keys as a broadcast table of known size, or left to the optimizer if there are many."""
+    if n > BROADCAST_HOT_KEYS:
+        return hot
+    return F.broadcast(hot.sparkSession.createDataFrame(hot.collect(), hot.schema))
+
+
+def _with_hot(df: DataFrame, hot: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a table of hot keys; a null key may be one of them."""
+    hot = hot.withColumnRenamed(key, "_hot_key")
+    out = df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), how)
+    return out.drop("_hot_key")
 
 
 def with_runs(df: DataFrame, layout: Layout | FixedRuns) -> DataFrame:
@@ -84,9 +98,7 @@ def with_runs(df: DataFrame, layout: Layout | FixedRuns) -> DataFrame:
     if isinstance(layout, FixedRuns):
         df = df.withColumn("_width", F.lit(layout.width).cast("long"))
     else:
-        widths = layout.widths.withColumnRenamed(layout.key, "_hot_key")
-        df = df.join(widths, F.col(layout.key).eqNullSafe(F.col("_hot_key")), "left").drop(
-            "_hot_key")
+        df = _with_hot(df, layout.widths, layout.key, "left")
     at = F.col(layout.at)
     return df.withColumn("_run", F.coalesce(at - F.pmod(at, F.col("_width")), F.lit(0)))
 

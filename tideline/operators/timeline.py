@@ -99,30 +99,45 @@ def _rate(counts: DataFrame) -> DataFrame:
 def error_burst(log: DataFrame, layout: Layout, width: str = "1 hour", n: int = 3) -> DataFrame:
     """Events with at least ``n`` errors of the user in the trailing ``[ts - width, ts]``.
 
-    Without hot users this is one range frame. A frame cannot be cut into runs, so with hot
-    users the count is the difference of two running sums, read at ``ts`` and before
-    ``ts - width`` by probe rows that travel along with the errors.
+    A range frame would re-read its rows for every event and cannot be cut into runs. Instead:
+    counts of errors per (user, cell of ``width``) rule out the cells in which no frame can
+    reach ``n``; for the events of the rest, the count is the difference of two running sums,
+    read at ``ts`` and before ``ts - width`` by probe rows that travel along with the errors.
     """
     size = micros(width)
-    slim = log.select("event_id", "user_id", "ts", "ts_us", "kind")
-    if layout.flat:
-        frame = Window.partitionBy("user_id").orderBy("ts_us").rangeBetween(-size, 0)
-        out = slim.withColumn("errors_in_width", F.count_if(is_error()).over(frame))
-    else:
-        # side 0: before the errors at that time; 1: an error; 2: after them.
-        rows = slim.select("event_id", "user_id", "ts", "kind", F.explode(F.array(
-            F.struct((F.col("ts_us") - size).alias("ts_us"), F.lit(0).alias("side")),
-            F.struct(F.when(is_error(), F.col("ts_us")).alias("ts_us"), F.lit(1).alias("side")),
-            F.struct(F.col("ts_us").alias("ts_us"), F.lit(2).alias("side")))).alias("p")
-        ).select("event_id", "user_id", "ts", "kind", "p.*").where("ts_us is not null")
-        errors = F.when(F.col("side") == 1, 1).otherwise(0).cast("long")
-        walk = scan(rows, ["user_id"], ["ts_us", "side", "event_id"],
-                    {"_errors": Scan("sum", errors)}, layout)
-        signed = F.when(F.col("side") == 2, F.col("_errors")).otherwise(-F.col("_errors"))
-        out = (walk.where("side <> 1").groupBy("event_id", "user_id", "ts", "kind")
-               .agg(F.sum(signed).alias("errors_in_width")))
-    return out.where(F.col("errors_in_width") >= n).select(
-        "event_id", "user_id", "ts", "kind", "errors_in_width")
+    slim = log.where(F.col("user_id").isNotNull()).select(
+        "event_id", "user_id", "ts_us", "kind",
+        bucket_start(F.col("ts_us"), size).alias("_cell"))
+
+    # A frame that ends in a cell lies in it and the one before.
+    per_cell = slim.where(is_error()).groupBy("user_id", "_cell").agg(F.count("*").alias("_n"))
+    two = F.array(F.col("_cell"), F.col("_cell") + size)
+    busy = (per_cell.select("user_id", F.explode(two).alias("_cell"), "_n")
+            .groupBy("user_id", "_cell").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= n))
+    needed = busy.select("user_id", F.explode(F.array(
+        F.struct(F.col("_cell").alias("c"), F.lit(1).alias("ends")),
+        F.struct((F.col("_cell") - size).alias("c"), F.lit(0).alias("ends")))).alias("x"))
+    needed = needed.groupBy("user_id", F.col("x.c").alias("_cell")).agg(
+        F.max("x.ends").alias("_ends"))
+
+    # side 0: before the errors at that time; 1: an error; 2: after them.
+    at, none = F.col("ts_us"), F.lit(None).cast("long")
+    rows = slim.join(needed, ["user_id", "_cell"]).select("event_id", "user_id", "kind", F.explode(
+        F.array(F.struct(F.when(F.col("_ends") == 1, at - size).alias("ts_us"),
+                         F.lit(0).alias("side")),
+                F.struct(F.when(is_error(), at).otherwise(none).alias("ts_us"),
+                         F.lit(1).alias("side")),
+                F.struct(F.when(F.col("_ends") == 1, at).alias("ts_us"),
+                         F.lit(2).alias("side")))).alias("p")
+    ).select("event_id", "user_id", "kind", "p.*").where("ts_us is not null")
+    walk = scan(rows, ["user_id"], ["ts_us", "side", "event_id"],
+                {"_errors": Scan("sum", (F.col("side") == 1).cast("long"))}, layout)
+    signed = F.when(F.col("side") == 2, F.col("_errors")).otherwise(-F.col("_errors"))
+    return (walk.where("side <> 1").groupBy("event_id", "user_id", "kind")
+            .agg(F.max("ts_us").alias("ts_us"), F.sum(signed).alias("errors_in_width"))
+            .where(F.col("errors_in_width") >= n)
+            .select("event_id", "user_id", from_micros(F.col("ts_us")).alias("ts"), "kind",
+                    "errors_in_width"))
 
 
 def state_spans(log: DataFrame, layout: Layout) -> DataFrame:
@@ -130,16 +145,19 @@ def state_spans(log: DataFrame, layout: Layout) -> DataFrame:
 
     ``failed``: this and the previous event are errors; ``degraded``: only this one is.
     """
-    slim = log.select("event_id", "user_id", "ts", "ts_us", is_error().alias("_err"))
+    slim = log.select("event_id", "user_id", "ts_us", is_error().alias("_err"))
     slim = with_prior(slim, "user_id", ORDER, {"_err_before": "_err"}, layout)
+    # A healthy event after a healthy one starts nothing, and none of the others needs it.
+    slim = slim.where("_err or _err_before or _err_before is null")
     state = (F.when(~F.col("_err"), "healthy")
              .when(F.coalesce("_err_before", F.lit(False)), "failed").otherwise("degraded"))
-    states = slim.select("event_id", "user_id", "ts", "ts_us", state.alias("state"))
+    states = slim.select("event_id", "user_id", "ts_us", state.alias("state"))
     states = with_prior(states, "user_id", ORDER, {"_state_before": "state"}, layout)
     starts = states.where(~F.col("state").eqNullSafe(F.col("_state_before")))
-    spans = with_prior(starts, "user_id", ORDER, {"end_ts": "ts"}, layout, following=True)
+    spans = with_prior(starts, "user_id", ORDER, {"_end_us": "ts_us"}, layout, following=True)
     return spans.select("user_id", "state", F.col("event_id").alias("first_event_id"),
-                        F.col("ts").alias("start_ts"), "end_ts")
+                        from_micros(F.col("ts_us")).alias("start_ts"),
+                        from_micros(F.col("_end_us")).alias("end_ts"))
 
 
 def event_transitions(log: DataFrame, layout: Layout) -> DataFrame:
@@ -163,8 +181,11 @@ def timeline_grid(log: DataFrame, width: str = "1 hour") -> DataFrame:
     size = micros(width)
     cells = (log.groupBy(bucket_start(F.col("ts_us"), size).alias("cell"))
              .agg(F.count_if(is_error()).alias("n_errors")))
-    grid = cells.agg(F.min("cell").alias("a"), F.max("cell").alias("b")).where(
-        "a is not null").select(F.explode(F.sequence("a", "b", F.lit(size))).alias("cell"))
-    return (grid.join(cells, "cell", "left")
-            .select(from_micros(F.col("cell")).alias("window_start"),
-                    F.coalesce("n_errors", F.lit(0)).alias("n_errors")))
+    # Each window also stands for the silent ones up to the next; one row per window is ordered.
+    until = F.coalesce(F.lead("cell").over(Window.orderBy("cell")) - size, F.col("cell"))
+    return (cells.withColumn("_until", until)
+            .select("cell", "n_errors",
+                    F.explode(F.sequence("cell", "_until", F.lit(size))).alias("_at"))
+            .select(from_micros(F.col("_at")).alias("window_start"),
+                    F.when(F.col("_at") == F.col("cell"), F.col("n_errors"))
+                    .otherwise(F.lit(0)).alias("n_errors")))
