@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.functions import bucket_start, fingerprint, from_micros, micros, row_hash
+from tideline.functions import bucket_start, from_micros, micros, row_hash, sum_fingerprints
 from tideline.operators.normalise import KINDS, dedupe_events, total_order
 from tideline.operators.ordered import Layout
 from tideline.operators.replay import STATE, event_state, hash_chain, merge_states, replay_final_state
@@ -23,12 +23,12 @@ BROADCAST_BUCKETS = 1_000_000
 
 def row_digest(df: DataFrame, cols: Sequence[str], key: str = "event_id") -> DataFrame:
     """SHA-256 of the canonical text of each row."""
-    return df.select(key, row_hash(*cols).alias("digest"))
+    return df.select(key, row_hash(df, cols).alias("digest"))
 
 
 def multiset_digest(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Digest per key that ignores order but not multiplicity. A sum, so aggregated map-side."""
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sum(fingerprint(*cols)).alias("digest"))
+    return sum_fingerprints(df, key, cols)
 
 
 def ordered_digest(df: DataFrame, layout: Layout,
@@ -38,8 +38,9 @@ def ordered_digest(df: DataFrame, layout: Layout,
     Every event is fingerprinted together with its replay number, and the fingerprints are
     summed: order is covered, yet nothing has to be collected per user.
     """
-    return (total_order(df, layout).groupBy("user_id")
-            .agg(F.count("*").alias("n"), F.sum(fingerprint("seq", *cols)).alias("digest")))
+    needed = dict.fromkeys(["event_id", "user_id", "ts_us", *cols])
+    slim = total_order(df.select(*needed), layout)
+    return sum_fingerprints(slim, "user_id", ["seq", *cols])
 
 
 def paired_events(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ points as (
 
 
 def field(c: str) -> str:
-    t = f"cast({c} as varchar)"
-    return f"coalesce('V' || length({t}) || ':' || {t}, 'N')"
+    t = f"length({c}) || ':' || {c}" if c == "kind" else f"cast({c} as varchar)"
+    return f"coalesce({t}, 'N')"
 
 
 def canonical(*cols: str) -> str:
