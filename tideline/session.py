@@ -12,6 +12,10 @@ SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     # session_window: merge sessions map-side, so that a hot key ships sessions, not events
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # split a hot join key even where an aggregate on the same key follows the join
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # custom stream state is kept in RocksDB, off the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

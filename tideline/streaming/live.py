@@ -146,8 +146,15 @@ def first_recovery(pairs: DataFrame) -> DataFrame:
         F.min("recovered_ts").alias("recovered_ts"))
 
 
-def stream_enrich(stream: DataFrame, customer: DataFrame) -> DataFrame:
-    """Attach the segment of the entity; unknown entities are kept."""
+def stream_enrich(stream: DataFrame, customer: DataFrame, salts: int = 16) -> DataFrame:
+    """Attach the segment of the entity; unknown entities are kept.
+
+    Streams are not re-planned at run time, so the events of a hot entity are spread by salt
+    and the static side is repeated per salt.
+    """
     who = customer.select(F.col("c_custkey").alias("user_id"),
-                          F.col("c_mktsegment").alias("segment"))
-    return _ntz(stream.join(who, "user_id", "left"), "ts")
+                          F.col("c_mktsegment").alias("segment"),
+                          F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
+                          .alias("_salt"))
+    salted = stream.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
+    return _ntz(salted.join(who, ["user_id", "_salt"], "left").drop("_salt"), "ts")
