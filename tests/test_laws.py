@@ -89,6 +89,14 @@ def test_touching_incidents_merge(spark):
     assert [r.n_overlapping for r in near.orderBy("user_id").collect()] == [1, 1, 0]
 
 
+def test_outages_do_not_depend_on_the_runs(log, monkeypatch):
+    short = inc.detect_incidents(log, "6 hours")
+    one = sweep.merge_overlapping(short, 1).orderBy("outage_no").collect()
+    monkeypatch.setattr(sweep, "ONE_TASK_ROWS", 0)
+    runs = sweep.merge_overlapping(short, 1).orderBy("outage_no").collect()
+    assert one == runs and len(one) > 1
+
+
 def test_last_boundary_leaves_nothing_open(log):
     out = sweep.concurrent_incidents(inc.detect_incidents(log))
     last = out.orderBy(F.col("at_ts").desc(), F.col("side").desc()).first()

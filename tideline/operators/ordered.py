@@ -49,6 +49,13 @@ class FixedRuns:
     flat: bool = False
 
 
+@dataclass(frozen=True)
+class OneTask:
+    """No runs: for a table whose size was counted and fits one task."""
+
+    flat: bool = True
+
+
 @dataclass(frozen=True)
 class Scan:
     """A running value: ``kind`` is sum, max, min or last (last non-null value)."""
@@ -128,7 +135,7 @@ def _merge(s: Scan, local: str, carry: str) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan],
-         layout: Layout | FixedRuns, reverse: bool = False) -> DataFrame:
+         layout: Layout | FixedRuns | OneTask, reverse: bool = False) -> DataFrame:
     """Add the running values ``scans`` per ``keys`` in the total order ``order``.
 
     ``order[0]`` is the layout's order column; ``order`` must be unique within a key.

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions import from_micros
 from tideline.operators.incidents import INCIDENT
-from tideline.operators.ordered import FixedRuns, Scan, scan
+from tideline.operators.ordered import FixedRuns, OneTask, Scan, scan
 from tideline.session import stage
 
 MINUTE = 60_000_000
+# A staged table up to this long is ordered in one task; a longer one in runs.
+ONE_TASK_ROWS = 1_000_000
 OPENS, CLOSES = 0, 1
 
 
@@ -58,9 +60,10 @@ def merge_overlapping(incidents: DataFrame, min_events: int = 3) -> DataFrame:
     # totals, so an outage is the difference between two consecutive ends.
     edge = stage(walk.where((F.col("_open") == 0) | (
         (F.col("side") == OPENS) & (F.col("_open") == F.col("changes")))), "outage-edges")
+    few = edge.count() <= ONE_TASK_ROWS
     numbered = scan(edge, [], ["at_us", "side"], {
         "outage_no": Scan("sum", (F.col("side") == OPENS).cast("long"))},
-        FixedRuns("at_us", MINUTE))
+        OneTask() if few else FixedRuns("at_us", MINUTE))
     outage = numbered.groupBy("outage_no").agg(
         F.min("at_us").alias("start_us"), F.max("at_us").alias("end_us"),
         F.max(F.when(F.col("side") == CLOSES, F.col("_incidents"))).alias("_incidents"),
@@ -68,7 +71,7 @@ def merge_overlapping(incidents: DataFrame, min_events: int = 3) -> DataFrame:
     totals = scan(outage, [], ["start_us", "outage_no"], {
         "_incidents_before": Scan("max", F.col("_incidents"), inclusive=False),
         "_errors_before": Scan("max", F.col("_errors"), inclusive=False)},
-        FixedRuns("start_us", MINUTE))
+        OneTask() if few else FixedRuns("start_us", MINUTE))
     return totals.select(
         "outage_no", from_micros(F.col("start_us")).alias("start_ts"),
         from_micros(F.col("end_us")).alias("end_ts"),

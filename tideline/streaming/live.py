@@ -98,7 +98,7 @@ def _running_totals():
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame],
                             timerValues: Any) -> Iterator[pd.DataFrame]:
             pdf = pd.concat(list(rows)).sort_values("cut_us", ignore_index=True)
-            n, cents = self.total.get() if self.total.exists() else (0, 0)
+            n, cents = self.total.get() or (0, 0)
             pdf["n"] = pdf["n"].cumsum() + n
             pdf["cents"] = pdf["cents"].cumsum() + cents
             self.total.update((int(pdf["n"].iloc[-1]), int(pdf["cents"].iloc[-1])))
