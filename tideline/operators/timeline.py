@@ -8,6 +8,7 @@ from tideline.functions import bucket_start, from_micros, micros
 from tideline.operators.incidents import INCIDENT, is_error
 from tideline.operators.normalise import KINDS, ORDER
 from tideline.operators.ordered import Layout, Scan, scan, with_prior
+from tideline.session import stage
 
 PATH_PART = 1024
 
@@ -130,6 +131,8 @@ def error_burst(log: DataFrame, layout: Layout, width: str = "1 hour", n: int =
                 F.struct(F.when(F.col("_ends") == 1, at).alias("ts_us"),
                          F.lit(2).alias("side")))).alias("p")
     ).select("event_id", "user_id", "kind", "p.*").where("ts_us is not null")
+    if not layout.flat:
+        rows = stage(rows, "bursts")  # read twice by the scan over runs
     walk = scan(rows, ["user_id"], ["ts_us", "side", "event_id"],
                 {"_errors": Scan("sum", (F.col("side") == 1).cast("long"))}, layout)
     signed = F.when(F.col("side") == 2, F.col("_errors")).otherwise(-F.col("_errors"))
@@ -149,6 +152,8 @@ def state_spans(log: DataFrame, layout: Layout) -> DataFrame:
     slim = with_prior(slim, "user_id", ORDER, {"_err_before": "_err"}, layout)
     # A healthy event after a healthy one starts nothing, and none of the others needs it.
     slim = slim.where("_err or _err_before or _err_before is null")
+    if not layout.flat:
+        slim = stage(slim, "spans")  # each scan over runs below reads its input twice
     state = (F.when(~F.col("_err"), "healthy")
              .when(F.coalesce("_err_before", F.lit(False)), "failed").otherwise("degraded"))
     states = slim.select("event_id", "user_id", "ts_us", state.alias("state"))
