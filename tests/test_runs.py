@@ -15,11 +15,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def log(spark):
-    """A third of the events moved to user 0, many to no user, and many times tied."""
+    """A third of the events moved to user 0, many to no user, and many times tied: some to
+    the hour, and a whole day of user 0 to one instant."""
     log = norm.canonical_events(read_events(spark, SF))
     log = log.withColumn("user_id", F.expr(
         "case when event_id % 3 = 0 then 0 when event_id % 5 = 1 then null else user_id end"))
-    tied = F.expr("if(event_id % 2 = 0, ts_us - ts_us % 3600000000, ts_us)")
+    tied = F.expr("""case when user_id = 0 and day(ts) = 9 then 1704800000000000
+        when event_id % 2 = 0 then ts_us - ts_us % 3600000000 else ts_us end""")
     return log.withColumn("ts_us", tied).withColumn(
         "ts", F.timestamp_micros("ts_us").cast("timestamp_ntz")).cache()
 
@@ -29,8 +31,11 @@ def layouts(log):
     cut = measure(log, rows_per_run=60)
     assert not cut.flat
     hot = [r.user_id for r in cut.widths.collect()]
+    tied = measure(log, rows_per_run=3)
+    assert any(r._instants and r._step > 1 for r in tied.widths.collect())
     assert {0, None} <= set(hot) and len(hot) < 15
-    return {"flat": Layout("user_id", "ts_us", None, 500), "cut": cut}
+    return {"flat": Layout("user_id", "ts_us", max_rows=500), "cut": cut,
+            "tied": tied}
 
 
 OPERATORS = {
@@ -49,9 +54,9 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_runs_do_not_change_results(name, log, layouts):
     flat = rows_of_spark(OPERATORS[name](log, layouts["flat"]))
-    cut = rows_of_spark(OPERATORS[name](log, layouts["cut"]))
     assert flat[1].total() > 0
-    assert flat == cut
+    assert flat == rows_of_spark(OPERATORS[name](log, layouts["cut"]))
+    assert flat == rows_of_spark(OPERATORS[name](log, layouts["tied"]))
 
 
 def test_result_types_do_not_depend_on_the_layout(log, layouts):
@@ -145,6 +150,6 @@ def test_fold_py_merges_stretches(spark, log, layouts):
 
 
 def test_fold_refuses_a_layout_that_is_too_small(log):
-    small = Layout("user_id", "ts_us", None, 2)
+    small = Layout("user_id", "ts_us", max_rows=2)
     with pytest.raises(Exception, match="outgrew"):
         rep.hash_chain(log, small, fan=8).collect()

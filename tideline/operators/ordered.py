@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.functions import bucket_start
 
-ROWS_PER_RUN = 2_000_000
+ROWS_PER_RUN = 1_000_000
 # Hot keys number at most rows / ROWS_PER_RUN. Beyond this many the lookup is not broadcast.
 BROADCAST_HOT_KEYS = 100_000
 HOUR = 3_600_000_000
@@ -32,6 +32,7 @@ class Layout:
 
     key: str
     at: str
+    tie: str = "event_id"
     widths: DataFrame | None = None
     max_rows: int = ROWS_PER_RUN
 
@@ -65,25 +66,42 @@ class Scan:
     inclusive: bool = True
 
 
-def measure(df: DataFrame, key: str = "user_id", at: str = "ts_us",
+def measure(df: DataFrame, key: str = "user_id", at: str = "ts_us", tie: str = "event_id",
             rows_per_run: int = ROWS_PER_RUN, bin_width: int = HOUR) -> Layout:
-    """Measure a log: rows per key, counted map-side over one column, and for the keys beyond
-    ``rows_per_run`` also their busiest bin, which sets the width of their runs. The driver
-    gets one row, plus the hot keys if there are few enough to broadcast."""
-    dated = df.where(F.col(at).isNotNull()).select(key, at)
+    """Measure a log: rows per key, counted map-side over one column. Only for the keys beyond
+    ``rows_per_run`` also their busiest bin, which sets the width of their runs, and the single
+    instants with more rows than a run, which are cut by ``tie`` instead. The driver gets one
+    row, plus the hot keys if there are few enough to broadcast."""
+    dated = df.where(F.col(at).isNotNull()).select(key, at, tie)
     per_key = dated.groupBy(key).agg(F.count("*").alias("n"))
     head = per_key.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_rows"),
+                       F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                        F.count_if(F.col("n") > rows_per_run).alias("hot")).first()
     if head.hot == 0:
-        return Layout(key, at, None, max(head.max_rows, 1))
+        return Layout(key, at, tie, None, max(head.max_rows, 1))
     hot = _pinned(per_key.where(F.col("n") > rows_per_run).select(key), head.hot)
-    bins = (_with_hot(dated, hot, key, "left_semi")
-            .groupBy(key, bucket_start(F.col(at), bin_width).alias("_bin"))
-            .agg(F.count("*").alias("n")))
+    rows = _with_hot(dated, hot, key, "left_semi").withColumn(
+        "_bin", bucket_start(F.col(at), bin_width))
+    bins = rows.groupBy(key, "_bin").agg(F.count("*").alias("n"))
     widths = bins.groupBy(key).agg(F.max("n").alias("peak")).select(key, F.expr(
         f"greatest(1L, cast({bin_width} * (cast({rows_per_run} as double) / peak) as bigint))"
     ).alias("_width"))
-    return Layout(key, at, _pinned(widths, head.hot), head.max_rows)
+
+    # An instant can only be that large inside a bin that is; neither is more frequent than
+    # one in ``rows_per_run`` rows.
+    large = bins.where(F.col("n") > rows_per_run).select(
+        F.col(key).alias("_large_key"), F.col("_bin").alias("_large_bin"))
+    if head.rows // rows_per_run <= BROADCAST_HOT_KEYS:
+        large = F.broadcast(large)
+    step = (F.max(tie) - F.min(tie) + 1) * rows_per_run / F.count("*")
+    instants = (rows.join(large, F.col(key).eqNullSafe(F.col("_large_key"))
+                          & (F.col("_bin") == F.col("_large_bin")), "left_semi")
+                .groupBy(key, at).agg(F.count("*").alias("n"), step.alias("step"))
+                .where(F.col("n") > rows_per_run)
+                .groupBy(key).agg(F.collect_list(at).alias("_instants"),
+                                  F.greatest(F.min("step"), F.lit(1)).cast("long").alias("_step")))
+    widths = _with_hot(widths, instants, key, "left")
+    return Layout(key, at, tie, _pinned(widths, head.hot), head.max_rows)
 
 
 def _pinned(hot: DataFrame, n: int) -> DataFrame:
@@ -100,14 +118,31 @@ def _with_hot(df: DataFrame, hot: DataFrame, key: str, how: str) -> DataFrame:
     return out.drop("_hot_key")
 
 
-def with_runs(df: DataFrame, layout: Layout | FixedRuns) -> DataFrame:
-    """Add ``_width`` (null for a key that needs no cutting) and ``_run``."""
+def with_runs(df: DataFrame, layout: Layout | FixedRuns,
+              order: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add ``_width`` (null for a key that needs no cutting) and the columns that number the
+    runs of a key in the total order; also return the names of the latter.
+
+    A run is a stretch of time. An instant too large for a run is a part of its own between
+    the rows before and after it, cut by the second order column.
+    """
+    names, zero = ["_run"], F.lit(0).cast("long")
     if isinstance(layout, FixedRuns):
         df = df.withColumn("_width", F.lit(layout.width).cast("long"))
     else:
         df = _with_hot(df, layout.widths, layout.key, "left")
+        if list(order[:2]) == [layout.at, layout.tie]:
+            names += ["_part", "_tie_run"]
+            at, tie = F.col(layout.at), F.col(layout.tie)
+            here = F.coalesce(F.array_contains("_instants", at), F.lit(False))
+            before = F.size(F.filter("_instants", lambda i: i < at))
+            df = df.withColumns({
+                "_part": F.when(F.col("_instants").isNull(), zero)
+                          .otherwise(2 * before + here.cast("int")).cast("long"),
+                "_tie_run": F.when(here, tie - F.pmod(tie, F.col("_step"))).otherwise(zero)})
+        df = df.drop("_instants", "_step")
     at = F.col(layout.at)
-    return df.withColumn("_run", F.coalesce(at - F.pmod(at, F.col("_width")), F.lit(0)))
+    return df.withColumn("_run", F.coalesce(at - F.pmod(at, F.col("_width")), zero)), names
 
 
 def _local(s: Scan, window) -> Column:
@@ -148,24 +183,24 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[s
         return df.withColumns({name: _local(s, window) for name, s in scans.items()})
 
     # Joins drop null keys, so a null key is replaced by a value and a flag.
-    cut, group = with_runs(df, layout), []
+    (cut, runs), group = with_runs(df, layout, order), []
     for k in keys:
         zero = F.lit(0).cast(df.schema[k].dataType)
         cut = cut.withColumns({f"_k_{k}": F.coalesce(F.col(k), zero),
                                f"_null_{k}": F.col(k).isNull()})
         group += [f"_k_{k}", f"_null_{k}"]
-    window = Window.partitionBy(*group, "_run").orderBy(*along(*order))
+    window = Window.partitionBy(*group, *runs).orderBy(*along(*order))
     local = cut.withColumns({name: _local(s, window) for name, s in scans.items()})
-    totals = (cut.where("_width is not null").groupBy(*group, "_run")
+    totals = (cut.where("_width is not null").groupBy(*group, *runs)
               .agg(*[_total(s, order, reverse).alias(f"_t_{n}") for n, s in scans.items()]))
     # One row per run of a hot key: few, whatever the number of events.
-    before = (Window.partitionBy(*group).orderBy(*along("_run"))
+    before = (Window.partitionBy(*group).orderBy(*along(*runs))
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*group, "_run", *[
+    carry = totals.select(*group, *runs, *[
         (F.last(F.col(f"_t_{n}"), ignorenulls=True) if s.kind == "last" else
          {"sum": F.sum, "max": F.max, "min": F.min}[s.kind](f"_t_{n}"))
         .over(before).alias(f"_c_{n}") for n, s in scans.items()])
-    joined = local.join(carry, [*group, "_run"], "left")
+    joined = local.join(carry, [*group, *runs], "left")
     return joined.select(*df.columns, *[
         _merge(s, n, f"_c_{n}").cast(local.schema[n].dataType).alias(n) for n, s in scans.items()])
 
