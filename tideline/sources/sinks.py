@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def write_timeline(df: DataFrame, path: str, files_per_day: int = 8) -> None:
+def write_timeline(df: DataFrame, path: str) -> None:
     """Timeline as Parquet by incident start day. Days not in ``df`` are left as they are.
 
-    Rows are spread over ``files_per_day`` writers per day by event, so that neither one day
-    nor one incident makes one huge task or file.
+    Rows are gathered by day with a rebalance, which the adaptive planner splits into files of
+    the advisory size: neither one day nor one incident makes one huge task or file.
     """
     (df.withColumn("incident_date", F.to_date("start_ts"))
-     .withColumn("_slot", F.pmod(F.xxhash64("event_id"), F.lit(files_per_day)))
-     .repartition("incident_date", "_slot")
-     .drop("_slot")
+     .hint("rebalance", F.col("incident_date"))
      .sortWithinPartitions("incident_date", "user_id", "ts", "event_id")
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
