@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_and_decode
+from tideline.llm.decontaminate import mark_benchmark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +29,48 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = mark_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return marked.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"))
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op2_benchmark"] = f"""
+with item as (
+  select item_id, regexp_extract_all({LOWER.format("text")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w
+  from benchmark),
+win as (
+  select distinct item_id, least(len(w), 10) as n, list_aggregate(w[k:k + 9], 'string_agg', ' ') as words
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as k from item where len(w) > 0)),
+doc as (
+  select doc_id, coalesce(
+    regexp_extract_all({LOWER.format("text")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), []) as w
+  from documents),
+place as (
+  select doc_id, k, n, list_aggregate(w[k:k + n - 1], 'string_agg', ' ') as words
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as k
+        from doc, (select distinct n from win) where len(w) >= n)),
+hit as (select doc_id, k, p.n, item_id from place p join win using (words)),
+word as (select doc_id, count(distinct j) as n_hit
+  from (select doc_id, unnest(generate_series(k, k + n - 1)) as j from hit) group by doc_id),
+ids as (select doc_id, count(distinct item_id) as n_items,
+    sha256(string_agg(distinct item_id::varchar, ',' order by item_id::varchar)) as items_sha256
+  from hit group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  n_hit is not null as contaminated
+from doc left join word using (doc_id) left join ids using (doc_id)
+"""
+
+
 def digests_of_tokens(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
         "doc_id", *more,
