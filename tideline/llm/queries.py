@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.bpe import encode_and_decode
 from tideline.llm.decontaminate import mark_benchmark
+from tideline.llm.language import identify, learn_profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,6 +72,19 @@ from doc left join word using (doc_id) left join ids using (doc_id)
 """
 
 
+def remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn_profiles(docs.where(remainder(3) != 1))
+    told = identify(docs.select("doc_id", "text"), profiles)
+    return told.select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def digests_of_tokens(coded: DataFrame, *more: str) -> DataFrame:
     return coded.select(
         "doc_id", *more,
