@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tideline.session import Scratch
 from tideline.session import stage as stage_table
 
 #: Bytes of the first input column that a task works on at once; a longer value is a slice alone.
@@ -23,17 +25,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder, read it back, and drop the shuffle files of the write."""
-    spark = df.sparkSession
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Drop the shuffle files of what is written inside, once it is written."""
     before = spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
-        return stage_table(df, name)
+        yield
     finally:
         spark.conf.set(_CLEAN, before)
 
 
+def staged(df: DataFrame, name: str, scratch: Scratch | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; a table in ``scratch`` goes with it."""
+    with cleaning(df.sparkSession):
+        return scratch.stage(df, name) if scratch else stage_table(df, name)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

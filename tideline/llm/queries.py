@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.llm.bpe import encode_and_decode
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
+from tideline.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +98,12 @@ def digests_of_tokens(coded: DataFrame, *more: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests_of_tokens(encode_and_decode(docs, tokenizer_file()))
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return remove_repeats(docs).select(
+        "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
