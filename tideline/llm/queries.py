@@ -11,6 +11,7 @@ from tideline.llm.bpe import encode_and_decode
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
 from tideline.llm.repeats import remove_repeats
+from tideline.llm.simhash import group_near_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +108,9 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select(
         "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "fingerprint", "component_id")
