@@ -12,6 +12,7 @@ from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
+from tideline.llm.toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +115,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "fingerprint", "component_id")
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
+    return score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
