@@ -15,6 +15,7 @@ from tideline.llm.language import identify, learn_profiles
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
+from tideline.llm.vectors import group_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -154,3 +155,9 @@ select conv_id, count(*)::bigint as n_turns,
     as formatted_chars
 from marked group by conv_id
 """
+
+
+@query
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "n_links", "component_id", "kept")
