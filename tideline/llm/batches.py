@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from tideline.session import Scratch
 from tideline.session import stage as stage_table
@@ -118,3 +118,34 @@ def with_results(
     return out.select(
         *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)],
         *[F.col(f"r{k}").alias(f.name) for k, f in enumerate(result)])
+
+
+#: A block of a long vector of doubles that a task adds to the sum.
+BLOCKS = StructType([
+    StructField("block", IntegerType()), StructField("part", IntegerType()), StructField("sums", BinaryType())])
+_BLOCK = 8192
+
+
+def blocks_of(vector: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    """``vector`` as rows of ``BLOCKS``; blocks of zeros are left out."""
+    for k in range(0, len(vector), _BLOCK):
+        block = vector[k:k + _BLOCK]
+        if block.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k // _BLOCK], pa.int32()), pa.array([part % 256], pa.int32()),
+                 pa.array([np.ascontiguousarray(block, np.float64).tobytes()])], names=BLOCKS.names)
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b) for b in sorted(table.column("sums").to_pylist()))
+    return pa.table([table.column("block").slice(0, 1), table.column("part").slice(0, 1),
+                     pa.array([total.tobytes()])], names=BLOCKS.names)
+
+
+def sum_blocks(blocks: DataFrame, length: int) -> np.ndarray:
+    """The sum of the vectors of all tasks, added up in two steps, so that no group is large."""
+    added = blocks.groupBy("block", "part").applyInArrow(_add, BLOCKS).groupBy("block").applyInArrow(_add, BLOCKS)
+    total = np.zeros(length)
+    for r in added.toLocalIterator():
+        total[r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] = np.frombuffer(r["sums"])
+    return total

@@ -12,6 +12,7 @@ from tideline.llm.bpe import encode_and_decode
 from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
+from tideline.llm.pseudo import learn_model, score_texts
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
@@ -161,3 +162,10 @@ from marked group by conv_id
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select(
         "vec_id", "n_links", "component_id", "kept")
+
+
+@query
+def op4_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, learn_model(docs))
+    return scored.withColumn("mean", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))

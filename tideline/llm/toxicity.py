@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType,
-)
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tideline.llm.batches import others, prepare, quoted, slices, spans, with_results
+from tideline.llm.batches import (
+    BLOCKS, blocks_of, others, prepare, quoted, slices, spans, sum_blocks, with_results,
+)
 
 #: Lengths of n-grams in bytes, and bits of their hash.
 LENGTHS = (4, 5, 6)
@@ -30,7 +31,6 @@ FEATURES = 2048
 #: Labelled texts of each class that the regression is fitted on, the first by hash of their id.
 SAMPLE = 2000
 _ROUNDS, _RATE, _DECAY = 300, 0.05, 1e-3
-_CHUNK = 4096
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -67,13 +67,9 @@ class Toxicity:
     intercept: float
 
 
-PART = StructType([
-    StructField("chunk", IntegerType()), StructField("part", IntegerType()), StructField("sums", BinaryType())])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 1 << HASH_BITS
-    sums = np.zeros((2, size + _CHUNK))  # behind the features: the number of texts
+    sums = np.zeros((2, size + 1))  # behind the features: the number of texts
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for part in slices(batch, at):
@@ -82,32 +78,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in (0, 1):
                 sums[c, :size] += np.bincount(f[label[doc] == c], minlength=size)
                 sums[c, size] += (label == c).sum()
-    if sums[:, size].any():
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() % 256
-        for k in range(0, size + _CHUNK, _CHUNK):
-            block = np.ascontiguousarray(sums[:, k:k + _CHUNK])
-            if block.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k // _CHUNK], pa.int32()), pa.array([part], pa.int32()), pa.array([block.tobytes()])],
-                    names=PART.names)
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
-    return pa.table([table.column("chunk").slice(0, 1), table.column("part").slice(0, 1),
-                     pa.array([total.tobytes()])], names=PART.names)
+    yield from blocks_of(sums.ravel(), TaskContext.get().partitionId())
 
 
 def log_ratios(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Log-count ratios of all features, and the number of texts of each class."""
-    parts = labelled.mapInArrow(_count, PART)
-    total = parts.groupBy("chunk", "part").applyInArrow(_add, PART).groupBy("chunk").applyInArrow(_add, PART)
     size = 1 << HASH_BITS
-    sums = np.zeros((2, size + _CHUNK))
-    for r in total.toLocalIterator():
-        sums[:, r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["sums"]).reshape(2, -1)
+    sums = sum_blocks(labelled.mapInArrow(_count, BLOCKS), 2 * (size + 1)).reshape(2, -1)
     texts = sums[:, size]
     if not texts.all():
         return np.zeros(size), texts
