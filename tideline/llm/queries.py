@@ -12,6 +12,7 @@ from tideline.llm.bpe import encode_and_decode
 from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
+from tideline.llm.licenses import scan_licenses
 from tideline.llm.pseudo import learn_model, score_texts
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
@@ -169,3 +170,11 @@ def op4_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_texts(docs, learn_model(docs))
     return scored.withColumn("mean", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists are joined by commas, so that rows can be compared as text."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
