@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -33,8 +34,9 @@ TOKENS = CLASSES * SIZE
 #: Places around a masked token, and the width of the network.
 PLACES, WIDTH = (-2, -1, 1, 2), 16
 #: One in so many positions is masked in training; rounds; positions of a step; step size.
-MASKED, ROUNDS, STEP, RATE = 7, 2, 1024, 0.1
-_BLOCK = 1 << 15
+MASKED, ROUNDS, STEP, RATE = 7, 2, 4096, 0.15
+_BLOCK = 1 << 13
+_REMEMBERED = 400_000
 
 
 class Network:
@@ -69,7 +71,7 @@ class Network:
 
     def classes(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Rows of each class that occurs."""
-        kind = target // SIZE
+        kind = (target // SIZE).astype(np.uint8)
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
@@ -81,14 +83,9 @@ class Network:
         for k in range(0, len(at), _BLOCK):
             here = at[k:k + _BLOCK]
             h, target = self.hidden(ids, here), ids[here]
-            logit = h @ self.parts[1] + self.parts[2]
-            top = logit.max(1)
-            score = logit[np.arange(len(here)), target // SIZE] - top - np.log(np.exp(logit - top[:, None]).sum(1))
+            score = _log_softmax_at(h @ self.parts[1] + self.parts[2], target // SIZE)
             for c, rows in self.classes(target):
-                logit = h[rows] @ self.parts[3][c] + self.parts[4][c]
-                top = logit.max(1)
-                score[rows] += logit[np.arange(len(rows)), target[rows] % SIZE] - top - np.log(
-                    np.exp(logit - top[:, None]).sum(1))
+                score[rows] += _log_softmax_at(h[rows] @ self.parts[3][c] + self.parts[4][c], target[rows] % SIZE)
             out[k:k + _BLOCK] = score
         return out
 
@@ -121,34 +118,50 @@ class Network:
                 embed[place][which] -= RATE * g / (np.sqrt(seen[0][place][which]) + 1e-6)
 
 
+_ONES = np.ones(SIZE, np.float32)
+assert CLASSES == SIZE
+
+
+def _exp(logit: np.ndarray) -> np.ndarray:
+    """In place; the logits are held where their exponentials fit."""
+    np.clip(logit, -60, 60, out=logit)
+    return np.exp(logit, out=logit)
+
+
 def _softmax(logit: np.ndarray) -> np.ndarray:
-    p = np.exp(logit - logit.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    p = _exp(logit)
+    p /= (p @ _ONES)[:, None]
     return p
 
 
-class Tokens:
-    """Words as token numbers."""
+def _log_softmax_at(logit: np.ndarray, which: np.ndarray) -> np.ndarray:
+    p = _exp(logit)
+    return np.log(p[np.arange(len(p)), which] / (p @ _ONES))
+
+
+class Tokens(dict):
+    """Words (as bytes) to token numbers."""
 
     def __init__(self, words: list[str]):
-        self.known = {w.encode(): k + 1 for k, w in enumerate(words)}
+        super().__init__((w.encode(), k + 1) for k, w in enumerate(words))
+        self.room = len(self) + _REMEMBERED
 
     def __missing__(self, word: bytes) -> int:
-        return TOKENS - HASHED + crc32(word) % HASHED
+        token = TOKENS - HASHED + crc32(word) % HASHED
+        if len(self) < self.room:
+            self[word] = token
+        return token
 
     def of(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of all texts with two edges before and after each; where words are, and of which text."""
         data, ends = raw.tobytes().lower(), offsets.tolist()
-        get, rare = self.known.get, self.__missing__
-        out, counts = [0, 0], []
-        for a, b in zip(ends, ends[1:]):
-            words = data[a:b].split()
-            out.extend([get(w) or rare(w) for w in words])
-            out.extend((0, 0))
-            counts.append(len(words))
-        count = np.array(counts, np.int64)
+        words = [data[a:b].split() for a, b in zip(ends, ends[1:])]
+        count = np.array([len(w) for w in words], np.int64)
         doc = np.repeat(np.arange(len(count)), count)
-        return np.array(out, np.int64), np.arange(len(doc)) + 2 + 2 * doc, doc
+        at = np.arange(len(doc)) + 2 + 2 * doc
+        ids = np.zeros(len(doc) + 2 * len(count) + 2, np.int64)
+        ids[at] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(doc))
+        return ids, at, doc
 
 
 @dataclass

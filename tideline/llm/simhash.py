@@ -71,8 +71,7 @@ def balls(prints: DataFrame) -> DataFrame:
         # the block's own bits are free to hold its number
         mask = F.lit(_signed(sum(1 << b for b in rest))).cast("long")
         base = F.col("fp").bitwiseAND(mask).bitwiseOR(F.lit(k << low).cast("long"))
-        arrays.append(F.transform(
-            F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, base=base: base.bitwiseXOR(x)))
+        arrays.append(F.array(*[base.bitwiseXOR(F.lit(x).cast("long")) for x in flips]))
     return prints.select(F.explode(F.concat(*arrays)).alias("key"), "fp")
 
 
