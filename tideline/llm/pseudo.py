@@ -34,7 +34,7 @@ TOKENS = CLASSES * SIZE
 #: Places around a masked token, and the width of the network.
 PLACES, WIDTH = (-2, -1, 1, 2), 16
 #: One in so many positions is masked in training; rounds; positions of a step; step size.
-MASKED, ROUNDS, STEP, RATE = 7, 2, 4096, 0.15
+MASKED, ROUNDS, STEP, RATE = 7, 2, 2048, 0.15
 _BLOCK = 1 << 13
 _REMEMBERED = 400_000
 
