@@ -127,7 +127,8 @@ def learn_toxicity(
     marks = labels.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(label)).cast("int").alias("label")).where(
         train & F.col("label").isin(0, 1))
     texts_of = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
-    ratio, texts = log_ratios(texts_of.where(train).join(marks, "doc_id").select("text", "label"))
+    # the same join at every size, also where the labels are few enough to be broadcast
+    ratio, texts = log_ratios(texts_of.where(train).join(marks.hint("merge"), "doc_id").select("text", "label"))
     if not texts.all():
         share = texts[1] / texts.sum() if texts.sum() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
