@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from compare import rows_of_spark
 from tideline.operators import incidents as inc, normalise as norm, recovery as rec
 from tideline.operators import replay as rep, sweep, timeline as tl, validate as val
 from tideline.operators.ordered import measure
@@ -92,7 +93,7 @@ def test_touching_incidents_merge(spark):
 def test_outages_do_not_depend_on_the_runs(log, monkeypatch):
     short = inc.detect_incidents(log, "6 hours")
     one = sweep.merge_overlapping(short, 1).orderBy("outage_no").collect()
-    monkeypatch.setattr(sweep, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(sweep, "MINUTE", 30 * inc.DAY)
     runs = sweep.merge_overlapping(short, 1).orderBy("outage_no").collect()
     assert one == runs and len(one) > 1
 
@@ -228,7 +229,7 @@ def test_digests_see_order_and_multiplicity(spark):
 def test_determinism_check(log, layout):
     assert failed(val.determinism_check(log, layout)) == 0
     # A replay that takes its order from the layout of the data must be caught.
-    careless = lambda df: df.withColumn("p", F.monotonically_increasing_id()).groupBy(
+    careless = lambda df, _: df.withColumn("p", F.monotonically_increasing_id()).groupBy(
         "user_id").agg(F.max_by("kind", "p").alias("digest"))
     assert failed(val.determinism_check(log, layout, careless)) > 0
 
@@ -239,13 +240,16 @@ def test_idempotence_check(log):
         "user_id").distinct().count()
 
 
-def test_snapshot_check(log):
+def test_snapshot_check(log, monkeypatch):
     assert failed(val.snapshot_check(log, CUT)) == 0
-    snap = rec.snapshot_at(rec.snapshots(norm.replay_slice(log, end=CUT)), CUT)
-    assert failed(val.snapshot_check(log, CUT, snap)) == 0
-    broken = snap.withColumn("n", F.expr("if(user_id = 3, n + 1, n)"))
+    snaps = rec.snapshots(norm.replay_slice(log, end=CUT))
+    assert failed(val.snapshot_check(log, CUT, snaps)) == 0
+    broken = snaps.withColumn("n", F.expr("if(user_id = 3, n + 1, n)"))
     assert failed(val.snapshot_check(log, CUT, broken)) == 1
-    assert failed(val.snapshot_check(log, CUT, snap.where("user_id <> 3"))) == 1
+    assert failed(val.snapshot_check(log, CUT, snaps.where("user_id <> 3"))) == 1
+    real = rec.snapshots
+    monkeypatch.setattr(rec, "snapshots", lambda df: real(df).where("user_id <> 4"))
+    assert failed(val.snapshot_check(log, CUT)) == 1
 
 
 def test_invariants(spark, log):
@@ -351,3 +355,30 @@ def test_paths_come_in_bounded_parts(log, layout):
         assert r.n_events <= 4
         joined.setdefault((r.user_id, r.incident_no), []).append(r.path)
     assert {k: ">".join(v) for k, v in joined.items()} == whole
+
+
+def test_recovery_reads_only_the_days_after_the_cut(spark, log, tmp_path):
+    from tideline.plans.catalog import stored_recovery
+    got = stored_recovery(spark, log, str(tmp_path))
+    assert rows_of_spark(got) == rows_of_spark(rep.replay_final_state(log))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+
+
+def test_events_without_an_id_stay(spark, log):
+    some = log.withColumn("event_id", F.expr("if(event_id % 20 = 3, null, event_id)"))
+    n = some.where("event_id is null").count()
+    assert n and norm.dedupe_events(some).count() == log.count()
+    status = {r.status: r["count"] for r in val.reconcile_events(some, some).groupBy("status").count().collect()}
+    assert status == {"match": log.count() - n, "unidentified": 2 * n}
+    assert rec.repair_log(some, some).count() == log.count()
+
+
+def test_short_gaps_meet_few_incidents(log):
+    one = log.withColumn("user_id", F.lit(1).cast("long"))
+    incidents = inc.detect_incidents(one, "1 minute")
+    slow, fast = (rows_of_spark(inc.time_to_recovery(one, incidents, g)) for g in ("24 hours", "1 minute"))
+    assert slow == fast
+    slow, fast = (rows_of_spark(tl.incident_timeline(one, incidents, "10 seconds", "10 seconds", g))
+                  for g in ("24 hours", "1 minute"))
+    assert slow == fast

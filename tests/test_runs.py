@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from compare import rows_of_spark
 from tideline.operators import normalise as norm, replay as rep, timeline as tl, validate as val
-from tideline.operators.ordered import Layout, measure
+from tideline.operators.ordered import Layout, hot_runs, measure
 from tideline.sources import read_events
 
 SF = "/root/testdata/sf0.001"
@@ -29,13 +29,9 @@ def log(spark):
 @pytest.fixture(scope="module")
 def layouts(log):
     cut = measure(log, rows_per_run=60)
-    assert not cut.flat
-    hot = [r.user_id for r in cut.widths.collect()]
-    tied = measure(log, rows_per_run=3)
-    assert any(r._instants and r._step > 1 for r in tied.widths.collect())
+    hot = [r.user_id for r in cut.hot.collect()]
     assert {0, None} <= set(hot) and len(hot) < 15
-    return {"flat": Layout("user_id", "ts_us", max_rows=500), "cut": cut,
-            "tied": tied}
+    return {"flat": Layout("user_id"), "cut": cut, "tied": measure(log, rows_per_run=10)}
 
 
 OPERATORS = {
@@ -64,12 +60,26 @@ def test_result_types_do_not_depend_on_the_layout(log, layouts):
         assert op(log, layouts["flat"]).dtypes == op(log, layouts["cut"]).dtypes
 
 
-def test_many_hot_keys_are_not_broadcast(log, monkeypatch):
-    from tideline.operators import ordered
-    monkeypatch.setattr(ordered, "BROADCAST_HOT_KEYS", 0)
-    lay = measure(log, rows_per_run=20)
-    flat = rows_of_spark(norm.total_order(log, Layout("user_id", "ts_us")))
-    assert rows_of_spark(norm.total_order(log, lay)) == flat
+ODD = {
+    "burst": "timestamp_micros(1704800000000000 + id * 10)",
+    "instant": "timestamp_micros(1704800000000000)",
+    "no time": "if(id % 3 = 0, null, timestamp_micros(1704800000000000 + id))",
+    "before 1970": "if(id % 4 = 0, null, timestamp_micros(-1000000000 + id * 7))",
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_runs_hold_what_they_promise(name, spark):
+    """A burst, one instant with an outlying id, missing times, and times before 1970."""
+    n, most = 4000, 200
+    log = spark.range(n).select(
+        F.expr("if(id = 7, 1000000000000, id)").alias("event_id"), F.lit(1).cast("long").alias("user_id"),
+        F.expr(f"unix_micros({ODD[name]})").alias("ts_us")).repartition(4)
+    layout = measure(log, rows_per_run=most)
+    runs = hot_runs(log, layout, ["ts_us", "event_id"]).groupBy("_run").count()
+    assert runs.agg(F.max("count")).first()[0] <= 2 * most and runs.count() > n / most / 2
+    flat = rows_of_spark(norm.total_order(log, Layout("user_id")))
+    assert rows_of_spark(norm.total_order(log, layout)) == flat
 
 
 def by_user(log):
@@ -90,7 +100,7 @@ def test_error_burst_against_python(log, layouts):
     width = 6 * 3_600_000_000
     wanted = Counter()
     for user, rows in by_user(log).items():
-        for r in rows if user is not None else []:
+        for r in rows:
             n = sum(e.kind == "error" and r.ts_us - width <= e.ts_us <= r.ts_us for e in rows)
             if n >= 2:
                 wanted[(r.event_id, n)] += 1
@@ -149,7 +159,7 @@ def test_fold_py_merges_stretches(spark, log, layouts):
         assert got[user] == ("".join(r.kind[0] for r in rows), len(rows))
 
 
-def test_fold_refuses_a_layout_that_is_too_small(log):
-    small = Layout("user_id", "ts_us", max_rows=2)
-    with pytest.raises(Exception, match="outgrew"):
-        rep.hash_chain(log, small, fan=8).collect()
+def test_folds_do_not_depend_on_the_age_of_the_layout(log):
+    old = measure(log.where("event_id % 10 = 0"), rows_per_run=20)
+    want = rows_of_spark(rep.hash_chain(log, Layout("user_id"), fan=4))
+    assert rows_of_spark(rep.hash_chain(log, old, fan=4)) == want

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from compare import rows_of_spark
 from tideline.operators import normalise as norm, timeline as tl
 from tideline.sources import idempotent_sink, read_batches, read_events, read_events_stream
-from tideline.streaming import (deliver, drain, drain_batches, rows_dropped_late, stream_dedupe,
+from tideline.streaming import (LateRows, deliver, drain, drain_batches, stream_dedupe,
                                 stream_error_rate, stream_replay_state)
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def arrivals(spark, root):
 
 
 def test_sliding_windows_match_batch(spark):
-    live = drain(stream_error_rate(read_events_stream(spark, SF), "1 hour", "15 minutes"))[0]
+    live = drain(stream_error_rate(read_events_stream(spark, f"{SF}/events.parquet"), "1 hour", "15 minutes"))[0]
     batch = tl.error_rate_sliding(norm.canonical_events(read_events(spark, SF)))
     end = batch.agg(F.max("window_start")).first()[0]
     mark = read_events(spark, SF).agg(F.max("ts") - F.expr("interval 1 hour")).first()[0]
@@ -30,11 +30,13 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     events, root = read_events(spark, SF), str(tmp_path / "in")
     part = "if(event_id % 10 = 1, 1, 0)"
     deliver(events, part, root, 0)
-    out, first = drain(stream_error_rate(arrivals(spark, root)), str(tmp_path / "out"))
-    assert rows_dropped_late(first) == 0
+    with LateRows(spark) as late:
+        drain(stream_error_rate(arrivals(spark, root)), str(tmp_path / "out"))
+    assert late.dropped == 0
     deliver(events, part, root, 1)
-    out, second = drain(stream_error_rate(arrivals(spark, root)), str(tmp_path / "out"))
-    assert rows_dropped_late(second) > 0
+    with LateRows(spark) as late:
+        out, _ = drain(stream_error_rate(arrivals(spark, root)), str(tmp_path / "out"))
+    assert late.dropped > 0
     assert out.agg(F.sum("n_events")).first()[0] < events.count()
 
 
@@ -50,7 +52,7 @@ def test_failure_before_commit_loses_and_repeats_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost after the write"):
         drain_batches(stream_error_rate(arrivals(spark, root)), path, before_commit=fail)
     got = drain_batches(stream_error_rate(arrivals(spark, root)), path)
-    want = drain(stream_error_rate(read_events_stream(spark, SF)))[0]
+    want = drain(stream_error_rate(read_events_stream(spark, f"{SF}/events.parquet")))[0]
     assert rows_of_spark(got) == rows_of_spark(want)
 
 
@@ -59,7 +61,7 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
     for number in (0, 1):
         deliver(events, "day(ts) div 16", root, number)
         got = drain(stream_replay_state(arrivals(spark, root)), path)[0]
-    want = drain(stream_replay_state(read_events_stream(spark, SF)))[0]
+    want = drain(stream_replay_state(read_events_stream(spark, f"{SF}/events.parquet")))[0]
     assert rows_of_spark(got) == rows_of_spark(want)
 
 
@@ -79,3 +81,14 @@ def test_sink_replaces_a_retried_batch(spark, tmp_path):
     for batch in (0, 1, 1):
         idempotent_sink(df, batch, path)
     assert read_batches(spark, path, df.schema).count() == 10
+
+
+def test_files_and_their_order_do_not_matter(spark, tmp_path):
+    """One file, a folder of four, and 120 files in mixed order of time."""
+    log = read_events(spark, SF)
+    log.repartition(4).write.parquet(str(tmp_path / "four" / "events.parquet"))
+    log.repartition(120, F.xxhash64("event_id")).write.parquet(str(tmp_path / "many" / "events.parquet"))
+    want = rows_of_spark(drain(stream_error_rate(read_events_stream(spark, f"{SF}/events.parquet")))[0])
+    for name in ("four", "many"):
+        stream = read_events_stream(spark, str(tmp_path / name / "events.parquet"))
+        assert rows_of_spark(drain(stream_error_rate(stream))[0]) == want

@@ -53,14 +53,16 @@ def incident_sessions(log: DataFrame, gap: str = "24 hours") -> DataFrame:
                     (F.col("w.end") - F.expr(f"interval {gap}")).alias("end_ts"), "n_errors"))
 
 
-def time_to_recovery(log: DataFrame, incidents: DataFrame, bucket: str = "1 day") -> DataFrame:
+def time_to_recovery(log: DataFrame, incidents: DataFrame, gap: str = "24 hours") -> DataFrame:
     """First non-error event strictly after the end of each incident; null if there is none.
 
     Two reductions replace a range join: the first such event inside the bucket of the end
     (equi join on (user, bucket)), and the first one of any later bucket (one row per user and
-    bucket, scanned backwards). The earlier of the two is the answer.
+    bucket, scanned backwards). The earlier of the two is the answer. ``gap`` is that of the
+    incidents: ends of one user lie further apart, so a bucket as wide as the gap holds at most
+    one, and an event meets at most one end.
     """
-    width = micros(bucket)
+    width = micros(gap)
     calm = (log.where(~is_error() & F.col("user_id").isNotNull())
             .select("user_id", "ts_us", bucket_start(F.col("ts_us"), width).alias("_cell")))
     ends = incidents.where("user_id is not null and end_us is not null").select(
@@ -105,8 +107,8 @@ def recovery_percentiles(ttr: DataFrame, ps: tuple[float, ...] = (0.5, 0.9, 0.99
     """Exact percentiles of the recovery time, with linear interpolation.
 
     The built-in exact percentile holds every distinct value in one task. Here values are
-    counted per cell, a running count over the cells (one row per second of recovery time)
-    finds the few cells holding the wanted ranks, and only their values are ranked.
+    counted per day and, for the few days holding the wanted ranks, per cell; only the values of
+    the cells holding them are ranked.
     ``approximate`` uses the built-in sketch instead.
     """
     names = [f"p{round(p * 100)}_us" for p in ps]
@@ -116,18 +118,31 @@ def recovery_percentiles(ttr: DataFrame, ps: tuple[float, ...] = (0.5, 0.9, 0.99
 
     width = micros(cell)
     counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    cells = counts.groupBy(bucket_start(F.col("v"), width).alias("c")).agg(F.sum("n").alias("n"))
+    days = counts.groupBy(bucket_start(F.col("v"), DAY).alias("c")).agg(F.sum("n").alias("n"))
+    # One row per day of recovery time.
     upto = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy()
-    cells = cells.select("c", (F.sum("n").over(upto) - F.col("n")).alias("lo"),
-                         F.sum("n").over(upto).alias("hi"), F.sum("n").over(everything)
-                         .alias("total"))
+    days = days.select("c", (F.sum("n").over(upto) - F.col("n")).alias("lo"),
+                       F.sum("n").over(upto).alias("hi"),
+                       F.sum("n").over(everything).alias("total"))
     # Ranks (from 0) that a percentile interpolates between.
-    wanted = cells.select("*", F.explode(F.array(*[F.struct(
+    wanted = days.select("*", F.explode(F.array(*[F.struct(
         F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("total") - 1)).alias("rank"))
         for i, p in enumerate(ps)])).alias("w")).select(
         "c", "lo", "hi", F.col("w.i").alias("i"), F.col("w.rank").alias("rank"))
-    wanted = wanted.where((F.ceil("rank") >= F.col("lo")) & (F.floor("rank") < F.col("hi")))
+
+    def holding(cells: DataFrame) -> DataFrame:
+        return cells.where((F.ceil("rank") >= F.col("lo")) & (F.floor("rank") < F.col("hi")))
+
+    # Of the days that hold a wanted rank, the cells that do.
+    inside = counts.withColumn("c", bucket_start(F.col("v"), DAY)).join(
+        holding(wanted).select("c", "lo", "i", "rank"), "c")
+    inside = inside.groupBy("i", "c", "lo", "rank", bucket_start(F.col("v"), width).alias("s")).agg(
+        F.sum("n").alias("n"))
+    upto = Window.partitionBy("i", "c").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.col("lo") + F.sum("n").over(upto)
+    wanted = holding(inside.withColumn("hi", hi).select(
+        F.col("s").alias("c"), (F.col("hi") - F.col("n")).alias("lo"), "hi", "i", "rank"))
     # At most two cells per percentile, each with at most its width in distinct values.
     inside = counts.withColumn("c", bucket_start(F.col("v"), width)).join(wanted, "c")
     ranked = inside.withColumn("upto", F.col("lo") + F.sum("n").over(

@@ -28,14 +28,16 @@ def canonical_events(events: DataFrame) -> DataFrame:
 
 def dedupe_events(df: DataFrame, key: str = "event_id",
                   order: Sequence[str] = ("ts_us", "user_id", "kind", "amount", "k")) -> DataFrame:
-    """Keep the first row per ``key``.
+    """Keep the first row per ``key`` in ``order``; rows without a key are no repeats and stay.
 
     Written as ``row_number() = 1``, which Spark limits before the shuffle: every map task
-    sends at most one row per key, however many copies of it there are.
+    sends at most one row per key, however many copies of it there are. With an arrival column
+    in ``order``, the copy that came first stays.
     """
     window = Window.partitionBy(key).orderBy(*order)
-    return (df.withColumn("_rank", F.row_number().over(window))
-            .where("_rank = 1").drop("_rank"))
+    first = (df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(window))
+             .where("_rank = 1").drop("_rank"))
+    return first.unionByName(df.where(F.col(key).isNull()))
 
 
 def total_order(df: DataFrame, layout: Layout, entity: str = "user_id") -> DataFrame:

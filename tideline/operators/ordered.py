@@ -1,12 +1,12 @@
 """Ordered scans that survive hot keys.
 
 A window over one key puts all its rows in one task. That is fine for most entities and fatal
-for one that owns a third of the log. A :class:`Layout` therefore records which keys are too
-large for a task and how wide (in units of the order column) a *run* of each may be. ``scan``
-computes running values inside every (key, run), aggregates one row per run of the hot keys
-with a map-side partial aggregate, carries the running values over those few rows, and adds
-the carry back. The join for the carry is on (key, run), the partitioning the window already
-has, so the log itself is shuffled once.
+for one that owns a third of the log. A :class:`Layout` therefore names the keys that are too
+large for a task. ``scan`` orders the rows of these keys by ranges of the whole order, sampled
+from the rows themselves, and every range is a *run*: neither a burst, nor one instant, nor rows
+without a time can make one large. Running values are computed inside every (key, run), reduced
+to one row per run with a map-side partial aggregate, carried over those few rows, and added
+back. All other keys are plain windows.
 
 A layout never changes results, only how they are computed: any layout is valid for any log.
 """
@@ -18,27 +18,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.functions import bucket_start
+from tideline.session import stage
 
 ROWS_PER_RUN = 1_000_000
-# Hot keys number at most rows / ROWS_PER_RUN. Beyond this many the lookup is not broadcast.
-BROADCAST_HOT_KEYS = 100_000
-HOUR = 3_600_000_000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Hot keys of a log and the width of their runs; ``widths`` is None when there are none."""
+    """Hot keys of a log and how many runs their rows are cut into; ``hot`` is None if there
+    are none."""
 
     key: str
-    at: str
-    tie: str = "event_id"
-    widths: DataFrame | None = None
-    max_rows: int = ROWS_PER_RUN
+    hot: DataFrame | None = None
+    runs: int = 0
 
     @property
     def flat(self) -> bool:
-        return self.widths is None
+        return self.hot is None
 
 
 @dataclass(frozen=True)
@@ -50,13 +46,6 @@ class FixedRuns:
     flat: bool = False
 
 
-@dataclass(frozen=True)
-class OneTask:
-    """No runs: for a table whose size was counted and fits one task."""
-
-    flat: bool = True
-
-
 @dataclass(frozen=True)
 class Scan:
     """A running value: ``kind`` is sum, max, min or last (last non-null value)."""
@@ -66,83 +55,27 @@ class Scan:
     inclusive: bool = True
 
 
-def measure(df: DataFrame, key: str = "user_id", at: str = "ts_us", tie: str = "event_id",
-            rows_per_run: int = ROWS_PER_RUN, bin_width: int = HOUR) -> Layout:
-    """Measure a log: rows per key, counted map-side over one column. Only for the keys beyond
-    ``rows_per_run`` also their busiest bin, which sets the width of their runs, and the single
-    instants with more rows than a run, which are cut by ``tie`` instead. The driver gets one
-    row, plus the hot keys if there are few enough to broadcast."""
-    dated = df.where(F.col(at).isNotNull()).select(key, at, tie)
-    per_key = dated.groupBy(key).agg(F.count("*").alias("n"))
-    head = per_key.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_rows"),
-                       F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                       F.count_if(F.col("n") > rows_per_run).alias("hot")).first()
-    if head.hot == 0:
-        return Layout(key, at, tie, None, max(head.max_rows, 1))
-    hot = _pinned(per_key.where(F.col("n") > rows_per_run).select(key), head.hot)
-    rows = _with_hot(dated, hot, key, "left_semi").withColumn(
-        "_bin", bucket_start(F.col(at), bin_width))
-    bins = rows.groupBy(key, "_bin").agg(F.count("*").alias("n"))
-    widths = bins.groupBy(key).agg(F.max("n").alias("peak")).select(key, F.expr(
-        f"greatest(1L, cast({bin_width} * (cast({rows_per_run} as double) / peak) as bigint))"
-    ).alias("_width"))
-
-    # An instant can only be that large inside a bin that is; neither is more frequent than
-    # one in ``rows_per_run`` rows.
-    large = bins.where(F.col("n") > rows_per_run).select(
-        F.col(key).alias("_large_key"), F.col("_bin").alias("_large_bin"))
-    if head.rows // rows_per_run <= BROADCAST_HOT_KEYS:
-        large = F.broadcast(large)
-    step = (F.max(tie) - F.min(tie) + 1) * rows_per_run / F.count("*")
-    instants = (rows.join(large, F.col(key).eqNullSafe(F.col("_large_key"))
-                          & (F.col("_bin") == F.col("_large_bin")), "left_semi")
-                .groupBy(key, at).agg(F.count("*").alias("n"), step.alias("step"))
-                .where(F.col("n") > rows_per_run)
-                .groupBy(key).agg(F.collect_list(at).alias("_instants"),
-                                  F.greatest(F.min("step"), F.lit(1)).cast("long").alias("_step")))
-    widths = _with_hot(widths, instants, key, "left")
-    return Layout(key, at, tie, _pinned(widths, head.hot), head.max_rows)
-
-
-def _pinned(hot: DataFrame, n: int) -> DataFrame:
-    """Hot keys as a broadcast table of known size, or left to the optimizer if there are many."""
-    if n > BROADCAST_HOT_KEYS:
-        return hot
-    return F.broadcast(hot.sparkSession.createDataFrame(hot.collect(), hot.schema))
-
-
-def _with_hot(df: DataFrame, hot: DataFrame, key: str, how: str) -> DataFrame:
-    """Join with a table of hot keys; a null key may be one of them."""
-    hot = hot.withColumnRenamed(key, "_hot_key")
-    out = df.join(hot, F.col(key).eqNullSafe(F.col("_hot_key")), how)
-    return out.drop("_hot_key")
-
-
-def with_runs(df: DataFrame, layout: Layout | FixedRuns,
-              order: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Add ``_width`` (null for a key that needs no cutting) and the columns that number the
-    runs of a key in the total order; also return the names of the latter.
-
-    A run is a stretch of time. An instant too large for a run is a part of its own between
-    the rows before and after it, cut by the second order column.
+def measure(df: DataFrame, key: str = "user_id", rows_per_run: int = ROWS_PER_RUN) -> Layout:
+    """Measure a log: rows per key, counted map-side over one column. The driver gets one row.
+
+    Ranges are sampled, so runs are planned at half of ``rows_per_run``.
     """
-    names, zero = ["_run"], F.lit(0).cast("long")
-    if isinstance(layout, FixedRuns):
-        df = df.withColumn("_width", F.lit(layout.width).cast("long"))
-    else:
-        df = _with_hot(df, layout.widths, layout.key, "left")
-        if list(order[:2]) == [layout.at, layout.tie]:
-            names += ["_part", "_tie_run"]
-            at, tie = F.col(layout.at), F.col(layout.tie)
-            here = F.coalesce(F.array_contains("_instants", at), F.lit(False))
-            before = F.size(F.filter("_instants", lambda i: i < at))
-            df = df.withColumns({
-                "_part": F.when(F.col("_instants").isNull(), zero)
-                          .otherwise(2 * before + here.cast("int")).cast("long"),
-                "_tie_run": F.when(here, tie - F.pmod(tie, F.col("_step"))).otherwise(zero)})
-        df = df.drop("_instants", "_step")
-    at = F.col(layout.at)
-    return df.withColumn("_run", F.coalesce(at - F.pmod(at, F.col("_width")), zero)), names
+    per_key = df.groupBy(key).agg(F.count("*").alias("n"))
+    hot = stage(per_key.where(F.col("n") > rows_per_run), "hot-keys")
+    rows = hot.agg(F.sum("n")).first()[0]
+    return Layout(key, hot.select(key), -(-2 * rows // rows_per_run)) if rows else Layout(key)
+
+
+def _of_hot(df: DataFrame, layout: Layout, how: str) -> DataFrame:
+    """Rows of hot keys (``left_semi``) or of the others (``left_anti``); a null key may be hot."""
+    hot = layout.hot.select(F.col(layout.key).alias("_hot_key"))
+    return df.join(hot, F.col(layout.key).eqNullSafe(F.col("_hot_key")), how)
+
+
+def hot_runs(df: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
+    """The rows of hot keys with the number of their run, written so that numbers stay."""
+    ranged = _of_hot(df, layout, "left_semi").repartitionByRange(layout.runs, layout.key, *order)
+    return stage(ranged.withColumn("_run", F.spark_partition_id().cast("long")), "runs")
 
 
 def _local(s: Scan, window) -> Column:
@@ -170,39 +103,53 @@ def _merge(s: Scan, local: str, carry: str) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan],
-         layout: Layout | FixedRuns | OneTask, reverse: bool = False) -> DataFrame:
+         layout: Layout | FixedRuns, reverse: bool = False) -> DataFrame:
     """Add the running values ``scans`` per ``keys`` in the total order ``order``.
 
-    ``order[0]`` is the layout's order column; ``order`` must be unique within a key.
+    ``order`` must be unique within a key; nulls come first. With a :class:`Layout` the key is
+    the layout's, and ``df`` is read several times if there are hot keys.
     """
     def along(*names):
         return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
 
-    if layout.flat:
+    def flat(rows):
         window = Window.partitionBy(*keys).orderBy(*along(*order))
-        return df.withColumns({name: _local(s, window) for name, s in scans.items()})
+        return rows.withColumns({name: _local(s, window) for name, s in scans.items()})
+
+    if isinstance(layout, FixedRuns):
+        at = F.col(layout.at)
+        cut = df.withColumn("_run", F.coalesce(at - F.pmod(at, F.lit(layout.width)),
+                                               F.lit(-(1 << 63)).cast("long")))
+    elif layout.flat:
+        return flat(df)
+    else:
+        cut = hot_runs(df, layout, order)
+    types = {f.name: f.dataType for f in df.schema.fields}
 
     # Joins drop null keys, so a null key is replaced by a value and a flag.
-    (cut, runs), group = with_runs(df, layout, order), []
+    group = []
     for k in keys:
-        zero = F.lit(0).cast(df.schema[k].dataType)
+        zero = F.lit(0).cast(types[k])
         cut = cut.withColumns({f"_k_{k}": F.coalesce(F.col(k), zero),
                                f"_null_{k}": F.col(k).isNull()})
         group += [f"_k_{k}", f"_null_{k}"]
-    window = Window.partitionBy(*group, *runs).orderBy(*along(*order))
+    window = Window.partitionBy(*group, "_run").orderBy(*along(*order))
     local = cut.withColumns({name: _local(s, window) for name, s in scans.items()})
-    totals = (cut.where("_width is not null").groupBy(*group, *runs)
-              .agg(*[_total(s, order, reverse).alias(f"_t_{n}") for n, s in scans.items()]))
-    # One row per run of a hot key: few, whatever the number of events.
-    before = (Window.partitionBy(*group).orderBy(*along(*runs))
+    totals = cut.groupBy(*group, "_run").agg(
+        *[_total(s, order, reverse).alias(f"_t_{n}") for n, s in scans.items()])
+    # One row per run: few, whatever the number of events.
+    before = (Window.partitionBy(*group).orderBy(*along("_run"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = totals.select(*group, *runs, *[
+    carry = totals.select(*group, "_run", *[
         (F.last(F.col(f"_t_{n}"), ignorenulls=True) if s.kind == "last" else
          {"sum": F.sum, "max": F.max, "min": F.min}[s.kind](f"_t_{n}"))
         .over(before).alias(f"_c_{n}") for n, s in scans.items()])
-    joined = local.join(carry, [*group, *runs], "left")
-    return joined.select(*df.columns, *[
+    joined = local.join(carry, [*group, "_run"], "left")
+    out = joined.select(*df.columns, *[
         _merge(s, n, f"_c_{n}").cast(local.schema[n].dataType).alias(n) for n, s in scans.items()])
+    if isinstance(layout, FixedRuns):
+        return out
+    return flat(_of_hot(df, layout, "left_anti")).unionByName(out)
 
 
 def with_prior(df: DataFrame, key: str, order: Sequence[str], columns: dict[str, str],

@@ -61,8 +61,10 @@ def tail_events(log: DataFrame, points: DataFrame) -> DataFrame:
 
 def repair_log(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """The observed log made good: missing events added, altered ones restored, extra ones and
-    repeats dropped. ``action`` says what was done to each remaining event."""
-    pairs = paired_events(expected, observed).where("status <> 'extra'")
+    repeats dropped. ``action`` says what was done to each remaining event; expected events
+    without an id stay and are called ``unidentified``."""
+    pairs = paired_events(expected, observed).where("status <> 'extra' and e is not null")
     action = (F.when(F.col("status") == "missing", "added")
-              .when(F.col("status") == "altered", "restored").otherwise("kept"))
+              .when(F.col("status") == "altered", "restored")
+              .when(F.col("status") == "unidentified", "unidentified").otherwise("kept"))
     return pairs.select("event_id", "e.*", action.alias("action"))

@@ -7,7 +7,6 @@ is what makes map-side aggregation, snapshots and recovery possible.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideline.operators.normalise import ORDER, total_order
 from tideline.operators.ordered import Layout, Scan, scan
+from tideline.session import stage
 
 STATE = ["n", "amount", "last_kind", "last_ts_us", "last_event_id"]
 FAN = 1024
@@ -60,32 +60,34 @@ def replay_final_state(log: DataFrame) -> DataFrame:
     return event_state(log, "user_id")
 
 
-def _levels(layout: Layout, fan: int) -> int:
-    """Rounds of a fold with groups of ``fan`` until one group per entity is left. Twice the
-    measured size is allowed for, since the layout may come from another copy of the log."""
-    return max(1, math.ceil(math.log(2 * layout.max_rows + 1) / math.log(fan)))
+def _rounds(level: DataFrame, up: Callable[[DataFrame], DataFrame], fan: int) -> DataFrame:
+    """Merge the stretches (``user_id``, ``_seg``, state) of a fold upwards until one is left per
+    user. Each round is written once, and how many are needed is read off the rows."""
+    while True:
+        level = stage(level, "fold")
+        if (level.agg(F.max("_seg")).first()[0] or 0) == 0:
+            return level
+        level = up(level.withColumn("_up", F.expr(f"_seg div {fan}")))
 
 
 def _fold(log: DataFrame, layout: Layout, fields: Sequence[str],
           leaf: Callable[[Column], Column], node: Callable[[Column], Column],
           fan: int) -> DataFrame:
     """Ordered fold in rounds. No group of any round has more than ``fan`` members."""
-    level = total_order(log, layout).withColumn("_seg", F.expr(f"(seq - 1) div {fan}"))
-    level = (level.groupBy("user_id", "_seg")
-             .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_rows"))
-             .select("user_id", "_seg", leaf(F.col("_rows")).alias("acc")))
-    for _ in range(_levels(layout, fan) - 1):
-        level = (level.withColumn("_up", F.expr(f"_seg div {fan}"))
-                 .groupBy("user_id", F.col("_up").alias("_seg"))
-                 .agg(F.array_sort(F.collect_list(F.struct(F.col("_seg").alias("s"), "acc")))
-                      .alias("_parts"))
-                 .select("user_id", "_seg", F.transform("_parts", lambda p: p["acc"])
-                         .alias("_parts"))
-                 .select("user_id", "_seg", F.when(F.size("_parts") == 1, F.col("_parts")[0])
-                         .otherwise(node(F.col("_parts"))).alias("acc")))
-    too_long = F.raise_error(F.lit("an entity outgrew the layout; measure the log again"))
-    return level.select("user_id", F.when(F.col("_seg") == 0, F.col("acc"))
-                        .otherwise(too_long).alias("acc"))
+    def up(level: DataFrame) -> DataFrame:
+        return (level.groupBy("user_id", F.col("_up").alias("_seg"))
+                .agg(F.array_sort(F.collect_list(F.struct(F.col("_seg").alias("s"), "acc")))
+                     .alias("_parts"))
+                .select("user_id", "_seg", F.transform("_parts", lambda p: p["acc"])
+                        .alias("_parts"))
+                .select("user_id", "_seg", F.when(F.size("_parts") == 1, F.col("_parts")[0])
+                        .otherwise(node(F.col("_parts"))).alias("acc")))
+
+    leaves = total_order(log, layout).withColumn("_seg", F.expr(f"(seq - 1) div {fan}"))
+    leaves = (leaves.groupBy("user_id", "_seg")
+              .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_rows"))
+              .select("user_id", "_seg", leaf(F.col("_rows")).alias("acc")))
+    return _rounds(leaves, up, fan).select("user_id", "acc")
 
 
 def fold_events(log: DataFrame, layout: Layout, fields: Sequence[str], init: Column,
@@ -147,14 +149,10 @@ def fold_events_py(log: DataFrame, layout: Layout,
         pdf = pdf.sort_values("_seg")
         return row(key, merge(pdf[names].to_dict("records")))
 
-    level = total_order(log, layout).withColumn("_seg", F.expr(f"(seq - 1) div {fan}"))
-    level = level.groupBy("user_id", "_seg").applyInPandas(leaf, full)
-    for _ in range(_levels(layout, fan) - 1):
-        level = (level.withColumn("_up", F.expr(f"_seg div {fan}"))
-                 .groupBy("user_id", "_up").applyInPandas(node, full))
-    too_long = F.raise_error(F.lit("an entity outgrew the layout; measure the log again"))
-    return level.select("user_id", *[
-        F.when(F.col("_seg") == 0, F.col(n)).otherwise(too_long).alias(n) for n in names])
+    leaves = total_order(log, layout).withColumn("_seg", F.expr(f"(seq - 1) div {fan}"))
+    leaves = leaves.groupBy("user_id", "_seg").applyInPandas(leaf, full)
+    return _rounds(leaves, lambda level: level.groupBy("user_id", "_up").applyInPandas(node, full),
+                   fan).select("user_id", *names)
 
 
 def error_streaks(log: DataFrame, layout: Layout, fan: int = FAN) -> DataFrame:

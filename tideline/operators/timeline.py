@@ -14,15 +14,16 @@ PATH_PART = 1024
 
 
 def incident_timeline(log: DataFrame, incidents: DataFrame, lead: str = "1 hour",
-                      trail: str = "1 hour", bucket: str = "1 day") -> DataFrame:
+                      trail: str = "1 hour", gap: str = "24 hours") -> DataFrame:
     """All events of the entity in ``[start - lead, end + trail]``, both ends closed.
 
     Incidents are listed once per bucket they touch and events belong to one bucket, so the
     range join becomes an equi join on (user, bucket) with a residual test and no repeats.
-    Incidents of one user lie apart, so an event meets few of them; a hot (user, bucket) is
-    split by the adaptive skew join.
+    ``gap`` is that of the incidents: those of one user lie further apart, and a bucket is as
+    wide as the gap or the reach around an incident, whichever is more, so an event meets few of
+    them. A hot (user, bucket) is split by the adaptive skew join.
     """
-    width = micros(bucket)
+    width = max(micros(gap), micros(lead) + micros(trail))
     first = bucket_start(F.col("start_us") - micros(lead), width)
     last = bucket_start(F.col("end_us") + micros(trail), width)
     spread = incidents.select(*INCIDENT, "start_ts", "end_ts", "start_us", "end_us",
@@ -49,9 +50,12 @@ def incident_path(timeline: DataFrame, part: int = PATH_PART) -> DataFrame:
     """Ordered kinds of an incident as a ``>``-joined string.
 
     Needs the replay number ``seq`` on the timeline. A long incident gives several rows, each
-    with at most ``part`` events and its first ``seq``, so that no row or group is unbounded.
+    with at most ``part`` events from its start on and its first ``seq``, so that no row or
+    group is unbounded.
     """
-    return (timeline.withColumn("_part", F.expr(f"(seq - 1) div {part}"))
+    begin = timeline.groupBy(*INCIDENT).agg(F.min("seq").alias("_begin"))
+    return (timeline.select(*INCIDENT, "seq", "kind").join(begin, INCIDENT)
+            .withColumn("_part", F.expr(f"(seq - _begin) div {part}"))
             .groupBy(*INCIDENT, "_part")
             .agg(F.min("seq").alias("from_seq"), F.count("*").alias("n_events"),
                  F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("_events"))
@@ -102,11 +106,11 @@ def error_burst(log: DataFrame, layout: Layout, width: str = "1 hour", n: int =
 
     A range frame would re-read its rows for every event and cannot be cut into runs. Instead:
     counts of errors per (user, cell of ``width``) rule out the cells in which no frame can
-    reach ``n``; for the events of the rest, the count is the difference of two running sums,
+    reach ``n`` (events without a user count as those of one); for the events of the rest, the count is the difference of two running sums,
     read at ``ts`` and before ``ts - width`` by probe rows that travel along with the errors.
     """
     size = micros(width)
-    slim = log.where(F.col("user_id").isNotNull()).select(
+    slim = log.select(
         "event_id", "user_id", "ts_us", "kind",
         bucket_start(F.col("ts_us"), size).alias("_cell"))
 
@@ -123,7 +127,9 @@ def error_burst(log: DataFrame, layout: Layout, width: str = "1 hour", n: int =
 
     # side 0: before the errors at that time; 1: an error; 2: after them.
     at, none = F.col("ts_us"), F.lit(None).cast("long")
-    rows = slim.join(needed, ["user_id", "_cell"]).select("event_id", "user_id", "kind", F.explode(
+    needed = needed.select(F.col("user_id").alias("_user"), F.col("_cell").alias("_at"), "_ends")
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_cell") == F.col("_at"))
+    rows = slim.join(needed, same).select("event_id", "user_id", "kind", F.explode(
         F.array(F.struct(F.when(F.col("_ends") == 1, at - size).alias("ts_us"),
                          F.lit(0).alias("side")),
                 F.struct(F.when(is_error(), at).otherwise(none).alias("ts_us"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.functions import bucket_start, from_micros, micros, row_hash, sum_fingerprints
 from tideline.operators.normalise import KINDS, dedupe_events, total_order
 from tideline.operators.ordered import Layout
-from tideline.operators.replay import STATE, event_state, hash_chain, merge_states, replay_final_state
+from tideline.operators.replay import STATE, hash_chain, replay_final_state
 from tideline.session import stage
 
 CONTENT = ["user_id", "ts_us", "kind", "amount"]
@@ -47,20 +47,27 @@ def paired_events(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Both logs side by side per event: structs ``e`` and ``o`` and a ``status``.
 
     Repeats are dropped first, which shuffles by event id; the full outer join reuses that.
+    Events without an id cannot be paired: each is a row of its own, ``unidentified``.
     """
     def side(df, name):
-        first = dedupe_events(df.select("event_id", *CONTENT), order=CONTENT)
+        first = dedupe_events(df.where("event_id is not null").select("event_id", *CONTENT), order=CONTENT)
         return first.select("event_id", F.struct(*CONTENT).alias(name))
     same = reduce(lambda a, b: a & b, [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}"))
                                        for c in CONTENT])
     status = (F.when(F.col("o").isNull(), "missing").when(F.col("e").isNull(), "extra")
               .when(same, "match").otherwise("altered"))
-    return side(expected, "e").join(side(observed, "o"), "event_id", "full").withColumn(
+    both = side(expected, "e").join(side(observed, "o"), "event_id", "full").withColumn(
         "status", status)
+    content = F.struct(*CONTENT)
+    none, lost = F.lit(None).cast(both.schema["e"].dataType), F.lit("unidentified")
+    return both.unionByName(expected.where("event_id is null").select(
+        "event_id", content.alias("e"), none.alias("o"), lost.alias("status"))).unionByName(
+        observed.where("event_id is null").select(
+            "event_id", none.alias("e"), content.alias("o"), lost.alias("status")))
 
 
 def reconcile_events(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """match / missing / extra / altered per event."""
+    """match / missing / extra / altered / unidentified per event."""
     return paired_events(expected, observed).select(
         "event_id", F.coalesce("e.user_id", "o.user_id").alias("user_id"), "status",
         F.col("e.amount").alias("expected_amount"), F.col("o.amount").alias("observed_amount"))
@@ -73,29 +80,31 @@ def first_divergence(expected: DataFrame, observed: DataFrame) -> DataFrame:
     first differing event: a minimum per user over the differences, with no ordered replay of
     either log. The states at that point are sums over the events up to it.
     """
-    both = paired_events(expected, observed).where("status <> 'match'")
-    places = both.select("event_id", "status", F.explode(F.array_distinct(F.filter(
-        F.array(F.struct("e.user_id", "e.ts_us"), F.struct("o.user_id", "o.ts_us")),
-        lambda s: s["user_id"].isNotNull()))).alias("at"))
-    first = stage(
+    pairs = stage(paired_events(expected, observed).where("event_id is not null"), "pairs")
+    sides = F.array(F.struct("e.user_id", "e.ts_us"), F.struct("o.user_id", "o.ts_us"))
+    places = pairs.where("status <> 'match'").select("event_id", "status", F.explode(
+        F.array_distinct(F.filter(sides, lambda s: s["user_id"].isNotNull()))).alias("at"))
+    first = (
         places.groupBy("at.user_id")
         .agg(F.min(F.struct("at.ts_us", "event_id", "status")).alias("_f"))
         .select("user_id", F.col("_f.ts_us").alias("_ts"), F.col("_f.event_id").alias("_id"),
-                F.col("_f.status").alias("status")), "divergence")
-
-    def states(log, name):
-        rows = dedupe_events(log.select("event_id", *CONTENT), order=CONTENT)
-        upto = F.struct("ts_us", "event_id") <= F.struct("_ts", "_id")
-        return (rows.join(first, "user_id").where(upto)
-                .groupBy("user_id").agg(F.count("*").alias(f"{name}_n"),
-                                        F.sum("amount").alias(f"{name}_amount")))
-
-    return (first.join(states(expected, "expected"), "user_id", "left")
-            .join(states(observed, "observed"), "user_id", "left")
-            .select("user_id", F.col("_id").alias("event_id"),
-                    from_micros(F.col("_ts")).alias("ts"), "status",
-                    F.coalesce("expected_n", F.lit(0)).alias("expected_n"), "expected_amount",
-                    F.coalesce("observed_n", F.lit(0)).alias("observed_n"), "observed_amount"))
+                F.col("_f.status").alias("status")))
+
+    # Both states at once: every event of either log, up to its user's first difference.
+    def rows(side):
+        return F.struct(F.col(f"{side}.user_id").alias("user_id"), F.col(f"{side}.ts_us").alias("ts_us"),
+                        F.lit(side).alias("side"), F.col(f"{side}.amount").alias("amount"))
+    upto = F.struct("at.ts_us", "event_id") <= F.struct("_ts", "_id")
+    events = pairs.select("event_id", F.explode(F.array(rows("e"), rows("o"))).alias("at")).where(
+        "at.user_id is not null").select("event_id", "at", F.col("at.user_id").alias("user_id"))
+    states = (events.join(first, "user_id").where(upto).groupBy("user_id").agg(
+        *[x for side, name in (("e", "expected"), ("o", "observed")) for x in (
+            F.count_if(F.col("at.side") == side).alias(f"{name}_n"),
+            F.sum(F.when(F.col("at.side") == side, F.col("at.amount"))).alias(f"{name}_amount"))]))
+    return first.join(states, "user_id", "left").select(
+        "user_id", F.col("_id").alias("event_id"), from_micros(F.col("_ts")).alias("ts"), "status",
+        F.coalesce("expected_n", F.lit(0)).alias("expected_n"), "expected_amount",
+        F.coalesce("observed_n", F.lit(0)).alias("observed_n"), "observed_amount")
 
 
 Rearrange = Callable[[DataFrame], DataFrame]
@@ -106,20 +115,26 @@ ARRANGEMENTS: dict[str, Rearrange] = {
 }
 
 
-def determinism_check(log: DataFrame, layout: Layout,
-                      replay: Callable[[DataFrame], DataFrame] | None = None,
+def determinism_check(log: DataFrame, layouts: Layout | Sequence[Layout],
+                      replay: Callable[[DataFrame, Layout], DataFrame] | None = None,
                       arrangements: dict[str, Rearrange] = ARRANGEMENTS) -> DataFrame:
-    """Replay the log under several partitionings and input orders; one digest per user.
+    """Replay the log under several partitionings, input orders and layouts; one digest per user.
 
-    ``replay`` returns ``user_id`` and ``digest``; by default it is the hash chain.
+    ``replay`` returns ``user_id`` and ``digest``; by default it is the hash chain. Arrangements
+    take the layouts in turn, every layout at least once. The log is written once and all
+    arrangements read that.
     """
-    replay = replay or (lambda df: hash_chain(df, layout).withColumnRenamed("chain", "digest"))
+    layouts = [layouts] if isinstance(layouts, Layout) else list(layouts)
+    replay = replay or (
+        lambda df, layout: hash_chain(df, layout).withColumnRenamed("chain", "digest"))
+    log, ways = stage(log, "replayed"), list(arrangements.values())
+    n = max(len(ways), len(layouts))
     runs = reduce(DataFrame.unionByName, [
-        replay(arrange(log)).select("user_id", F.col("digest").cast("string").alias("digest"))
-        for arrange in arrangements.values()])
+        replay(ways[k % len(ways)](log), layouts[k % len(layouts)]).select(
+            "user_id", F.col("digest").cast("string").alias("digest")) for k in range(n)])
     return runs.groupBy("user_id").agg(
         F.min("digest").alias("digest"), F.count("*").alias("runs"),
-        ((F.min("digest") == F.max("digest")) & (F.count("*") == len(arrangements))).alias("ok"))
+        ((F.min("digest") == F.max("digest")) & (F.count("*") == n)).alias("ok"))
 
 
 def compare_states(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -139,13 +154,17 @@ def idempotence_check(log: DataFrame, dedupe: Rearrange = dedupe_events) -> Data
                           replay_final_state(dedupe(log.unionByName(log))))
 
 
-def snapshot_check(log: DataFrame, cut: str, snapshot: DataFrame | None = None) -> DataFrame:
-    """Snapshot at ``cut`` plus tail against full replay, per user."""
+def snapshot_check(log: DataFrame, cut: str, snaps: DataFrame | None = None) -> DataFrame:
+    """State recovered from the snapshots at ``cut`` and the tail against full replay, per user.
+
+    ``cut`` is the end of a snapshot period. ``snaps`` are stored snapshots, made anew if absent.
+    """
+    from tideline.operators import recovery
+
     at = F.expr(f"timestamp_ntz'{cut}'")
-    if snapshot is None:
-        snapshot = event_state(log.where(F.col("ts") < at), "user_id")
-    tail = event_state(log.where(F.col("ts") >= at), "user_id")
-    recovered = merge_states(snapshot.select("user_id", *STATE).unionByName(tail), "user_id")
+    if snaps is None:
+        snaps = recovery.snapshots(log.where(F.col("ts") < at))
+    recovered = recovery.recover_state(recovery.snapshot_at(snaps, cut), log.where(F.col("ts") >= at))
     return compare_states(replay_final_state(log), recovered)
 
 

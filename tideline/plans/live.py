@@ -16,20 +16,30 @@ from tideline.streaming.live import first_recovery
 
 HOUR = 3_600_000_000
 
-# Deliveries of the log. Time order by ten days, and with stragglers.
-IN_ORDER = "day(ts) div 10"
-WITH_STRAGGLERS = "if(event_id % 53 = 11, 3, day(ts) div 10)"
+# The log comes in deliveries that cover equal stretches of its time. Some events
+# come with the last one, however old.
 DELIVERIES = 4
+STRAGGLERS = "event_id % 53 = 11"
 
 
 def stream_of(spark, sf_dir) -> DataFrame:
-    return read_events_stream(configure(spark), sf_dir)
+    return read_events_stream(configure(spark), f"{sf_dir}/events.parquet")
 
 
-def delivered(spark, sf_dir, part: str, build, run) -> DataFrame:
+def delivery_of(events: DataFrame, stragglers: bool) -> str:
+    """The number of each event's delivery as an expression, for a log of any length."""
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
+                           F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    span = max(1, (high or 0) - (low or 0) + 1)
+    part = f"cast((unix_micros(cast(ts as timestamp)) - {low or 0}) * {DELIVERIES} div {span} as int)"
+    return f"if({STRAGGLERS}, {DELIVERIES - 1}, {part})" if stragglers else part
+
+
+def delivered(spark, sf_dir, stragglers: bool, build, run) -> DataFrame:
     """Deliver the log part by part; the stream is restarted from its checkpoint each time."""
     root, path = fresh_path(spark, "arrivals"), fresh_path(spark, "stream")
     events = read_events(configure(spark), sf_dir)
+    part = delivery_of(events, stragglers)
     out = None
     for number in range(DELIVERIES):
         deliver(events, part, root, number)
@@ -79,11 +89,11 @@ def stream_late_audit(spark, sf_dir):
     A row is late if its hour had closed before its delivery, by the latest time of the
     deliveries before it. The three numbers must add up for every closed hour.
     """
-    streamed = delivered(spark, sf_dir, WITH_STRAGGLERS, stream_error_rate,
+    streamed = delivered(spark, sf_dir, True, stream_error_rate,
                          lambda out, path: drain(out, path)[0])
     log = log_of(spark, sf_dir).select(
         "ts_us", bucket_start(F.col("ts_us"), HOUR).alias("_cell"),
-        F.expr(WITH_STRAGGLERS).alias("_part"))
+        F.expr(delivery_of(read_events(spark, sf_dir), True)).alias("_part"))
     cells = log.groupBy("_part", "_cell").agg(F.count("*").alias("n"),
                                               F.max("ts_us").alias("max_us"))
     # One row per delivery.
@@ -118,7 +128,7 @@ def stream_batch_parity(spark, sf_dir):
 @query
 def stream_restart(spark, sf_dir):
     """Four deliveries in time order, a restart from the checkpoint after each."""
-    return delivered(spark, sf_dir, IN_ORDER, stream_error_rate, drain_batches)
+    return delivered(spark, sf_dir, False, stream_error_rate, drain_batches)
 
 
 @query

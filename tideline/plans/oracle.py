@@ -207,7 +207,8 @@ seqs as (select event_id, row_number() over (partition by user_id order by ts, e
   from ev)
 select user_id, incident_no, min(seq) as from_seq, count(*) as n_events,
   string_agg(kind, '>' order by ts, event_id) as path
-from tl join seqs using (event_id) group by user_id, incident_no, (seq - 1) // 1024""",
+from (select *, min(seq) over (partition by user_id, incident_no) as b from tl join seqs using (event_id))
+group by user_id, incident_no, (seq - b) // 1024""",
 
     "precursor_event": f"""with {EV},
 p as (
@@ -457,7 +458,8 @@ window w as (partition by user_id order by cut_ts rows unbounded preceding)""",
 
     "stream_late_audit": f"""with {EV},
 p as (select ts, time_bucket(interval '1 hour', ts) as h,
-  case when event_id % 53 = 11 then 3 else day(ts) // 10 end as part from ev),
+  case when event_id % 53 = 11 then 3
+    else (ts_us - min(ts_us) over ()) * 4 // (max(ts_us) over () - min(ts_us) over () + 1) end as part from ev),
 m as (select a.part, max(b.ts) - interval '1 hour' as mark
   from (select distinct part from p) a join p b on b.part < a.part group by a.part),
 l as (select h, coalesce(h + interval '1 hour' <= mark, false) as late

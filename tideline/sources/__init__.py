@@ -1,6 +1,9 @@
 from tideline.sources.faults import observed_log, with_arrival
-from tideline.sources.logs import (parse_quarantine, read_events, read_events_stream, read_table)
-from tideline.sources.sinks import idempotent_sink, read_batches, write_timeline
+from tideline.sources.logs import (parse_quarantine, read_events, read_events_stream, read_lines,
+                                   read_table)
+from tideline.sources.sinks import (idempotent_sink, read_batches, read_dated, write_dated,
+                                    write_timeline)
 
-__all__ = ["idempotent_sink", "observed_log", "parse_quarantine", "read_batches",
-           "read_events", "read_events_stream", "read_table", "with_arrival", "write_timeline"]
+__all__ = ["idempotent_sink", "observed_log", "parse_quarantine", "read_batches", "read_dated",
+           "read_events", "read_events_stream", "read_lines", "read_table", "with_arrival",
+           "write_dated", "write_timeline"]

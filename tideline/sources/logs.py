@@ -48,14 +48,27 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events")
 
 
-def read_events_stream(spark: SparkSession, path: str, max_files: int = 100,
-                       glob: str = "events.parquet") -> DataFrame:
-    """File stream of the log. ``ts`` becomes TIMESTAMP, the type watermarks need."""
-    return (spark.readStream.schema(EVENTS)
-            .option("pathGlobFilter", glob)
-            .option("maxFilesPerTrigger", max_files)
-            .parquet(path)
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+def read_events_stream(spark: SparkSession, path: str, max_files: int | None = None,
+                       glob: str | None = None) -> DataFrame:
+    """File stream of the log at ``path``, a file, a folder of part files, or a pattern of them.
+
+    ``ts`` becomes TIMESTAMP, the type watermarks need. A batch takes all files that have
+    arrived: the first batch moves the watermark, so rows of files left for later could come too
+    late. Set ``max_files`` only for files that arrive in the order of their events.
+    """
+    # Only a pattern may name a file as well as a folder.
+    pattern = path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(EVENTS)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines (column ``line``) for :func:`parse_quarantine`."""
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 def parse_quarantine(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,29 @@ def write_timeline(df: DataFrame, path: str) -> None:
      .parquet(path))
 
 
+def write_dated(df: DataFrame, path: str, time: str = "ts") -> None:
+    """A log (or snapshots, by their ``cut_ts``) as Parquet by ``event_date``, the date of
+    ``time``. Dates not in ``df`` are left as they are, so a log grows by the days that are new."""
+    (df.withColumn("event_date", F.to_date(time))
+     .hint("rebalance", F.col("event_date"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_date").parquet(path))
+
+
+def read_dated(spark: SparkSession, path: str, schema: T.StructType, time: str = "ts",
+               start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows of :func:`write_dated` with ``time`` in ``[start, end)``; only their days are read."""
+    full = T.StructType(schema.fields + [T.StructField("event_date", T.DateType())])
+    df = spark.read.schema(full).parquet(path)
+    if start is not None:
+        at = F.expr(f"timestamp_ntz'{start}'")
+        df = df.where((F.col("event_date") >= F.to_date(at)) & (F.col(time) >= at))
+    if end is not None:
+        at = F.expr(f"timestamp_ntz'{end}'")
+        df = df.where((F.col("event_date") <= F.to_date(at)) & (F.col(time) < at))
+    return df.drop("event_date")
+
+
 def idempotent_sink(df: DataFrame, batch_id: int, path: str) -> None:
     """Write one micro-batch to its own folder; a retry replaces it instead of adding to it."""
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -1,7 +1,7 @@
-from tideline.streaming.drain import deliver, drain, drain_batches, rows_dropped_late
+from tideline.streaming.drain import LateRows, deliver, drain, drain_batches
 from tideline.streaming.live import (stream_dedupe, stream_enrich, stream_error_rate,
                                      stream_error_recovery, stream_incidents, stream_replay_state)
 
-__all__ = ["deliver", "drain", "drain_batches", "rows_dropped_late", "stream_dedupe",
+__all__ = ["LateRows", "deliver", "drain", "drain_batches", "stream_dedupe",
            "stream_enrich", "stream_error_rate", "stream_error_recovery", "stream_incidents",
            "stream_replay_state"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StreamingQuery
+import threading
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tideline.session import fresh_path
 from tideline.sources import idempotent_sink, read_batches
@@ -43,7 +45,37 @@ def deliver(events: DataFrame, part: str, root: str, number: int) -> None:
     (events.where(F.expr(part) == number).write.parquet(f"{root}/delivery-{number}"))
 
 
-def rows_dropped_late(query: StreamingQuery) -> int:
-    """Rows (after map-side aggregation) that stateful operators dropped as too late."""
-    return sum(op["numRowsDroppedByWatermark"]
-               for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows (after map-side aggregation) that stateful operators dropped as too late.
+
+    Listens to every batch of all queries started inside the ``with`` block, however many there
+    are. ``dropped`` is complete once the block is left.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.dropped = spark, 0
+        self._open, self._ended = 0, threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        with self._ended:
+            self._open += 1
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._ended:
+            self._open -= 1
+            self._ended.notify_all()
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self._ended:
+            self._ended.wait_for(lambda: self._open == 0, timeout=60)
+        self.spark.streams.removeListener(self)
