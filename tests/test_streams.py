@@ -7,7 +7,9 @@ from compare import rows_of_spark
 from tideline.operators import normalise as norm, timeline as tl
 from tideline.sources import idempotent_sink, read_batches, read_events, read_events_stream
 from tideline.streaming import (LateRows, deliver, drain, drain_batches, stream_dedupe,
-                                stream_error_rate, stream_replay_state)
+                                stream_error_rate, stream_error_recovery,
+                                stream_replay_state)
+from tideline.streaming.live import first_recovery
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +94,19 @@ def test_files_and_their_order_do_not_matter(spark, tmp_path):
     for name in ("four", "many"):
         stream = read_events_stream(spark, str(tmp_path / name / "events.parquet"))
         assert rows_of_spark(drain(stream_error_rate(stream))[0]) == want
+
+
+def test_recovery_is_found_per_error(spark, tmp_path):
+    """Recoveries within a period, in a later one, too late, and none."""
+    rows = [(1, "00:01:05", "error"), (1, "00:01:05.5", "view"), (1, "00:01:20", "error"), (1, "00:01:40", "error"),
+            (1, "00:20:00", "click"), (2, "00:30:00", "error"), (2, "01:30:00.000001", "view"), (3, "00:00:00", "view"),
+            (3, "00:00:00", "error"), (4, "12:00:00", "view"), (4, "12:00:00", "error")]
+    df = spark.createDataFrame([(k, f"2024-01-01 {t}", u, kind) for k, (u, t, kind) in enumerate(rows)],
+                               "event_id long, ts string, user_id long, event_type string").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "cast(1 as double) value", "'{}' props")
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    stream = read_events_stream(spark, str(tmp_path / "events.parquet"))
+    got = sorted((r.user_id, str(r.error_ts)[11:], r.recovered_ts and str(r.recovered_ts)[11:])
+                 for r in first_recovery(drain(stream_error_recovery(stream))[0]).collect())
+    assert got == [(1, "00:01:05", "00:01:05.500000"), (1, "00:01:20", "00:20:00"), (1, "00:01:40", "00:20:00"),
+                   (2, "00:30:00", None), (3, "00:00:00", None)]

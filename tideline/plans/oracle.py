@@ -485,17 +485,17 @@ having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
   <= (select max(ts) from ev) - interval '1 hour'""",
 
     "stream_error_recovery": f"""with {EV},
-w as (select least(max(ts) filter (kind = 'error'), max(ts) filter (kind <> 'error'))
-  - interval '1 hour' as mark from ev),
-b as (select user_id, kind = 'error' as err, ts,
-  time_bucket(interval '5 minutes', ts) + interval '5 minutes' as period_end from ev),
-c as (select user_id, period_end, err, count(*) as n, min(ts) as first_ts from b
-  where period_end <= (select mark from w) group by user_id, period_end, err)
-select e.user_id, e.period_end, e.n as n_error, min(o.first_ts) as recovered_ts
-from c e left join c o on o.user_id = e.user_id and not o.err
-  and o.period_end > e.period_end and o.period_end <= e.period_end + interval '1 hour'
-where e.err group by e.user_id, e.period_end, e.n
-having min(o.first_ts) is not null or e.period_end + interval '1 hour' <= (select mark from w)""",
+w as (select max(ts) - interval '1 hour' as mark from ev),
+c as (select distinct user_id, ts, kind = 'error' as err,
+  time_bucket(interval '1 minute', ts) + interval '1 minute' as period_end from ev
+  where time_bucket(interval '1 minute', ts) + interval '1 minute' <= (select mark from w)),
+r as (select e.user_id, e.ts as error_ts, e.period_end, min(o.ts) as recovered_ts,
+  min(o.ts) filter (o.period_end > e.period_end) as later_ts
+  from c e left join c o on o.user_id = e.user_id and not o.err
+    and o.ts > e.ts and o.ts <= e.ts + interval '1 hour'
+  where e.err group by e.user_id, e.ts, e.period_end)
+select user_id, error_ts, recovered_ts from r
+where recovered_ts = later_ts or period_end + interval '61 minutes' <= (select mark from w)""",
 
     "stream_enrich": """
 select event_id, user_id, ts, event_type, c_mktsegment as segment
