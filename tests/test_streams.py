@@ -69,13 +69,16 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
 
 def test_dedupe_drops_copies_across_deliveries(spark, tmp_path):
     events, root = read_events(spark, SF).where("event_id < 20"), str(tmp_path / "in")
+    nameless = events.limit(3).withColumn("event_id", F.lit(None).cast("long"))
+    nameless.write.parquet(f"{root}/delivery-9")
     many = events.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("_c")
     out = None
     for number in (0, 1):
         many.write.parquet(f"{root}/delivery-{number}")
         out = drain(stream_dedupe(arrivals(spark, root), "30 days", salts=4),
                     str(tmp_path / "out"))[0]
-    assert sorted(r.event_id for r in out.collect()) == list(range(20))
+    ids = [r.event_id for r in out.collect()]
+    assert sorted(i for i in ids if i is not None) == list(range(20)) and ids.count(None) == 3
 
 
 def test_sink_replaces_a_retried_batch(spark, tmp_path):

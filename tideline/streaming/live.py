@@ -52,12 +52,15 @@ def stream_dedupe(stream: DataFrame, delay: str = "1 hour", salts: int = SALTS)
 
     Copies of one event meet in one task. So that a storm of copies does not, repeats are
     dropped per (event, salt) first and then per event, which leaves at most ``salts`` copies
-    for the second step. Which salt a copy gets does not matter for the result.
+    for the second step. Which salt a copy gets does not matter for the result. Events without
+    an id are no repeats and pass.
     """
-    salted = stream.withWatermark("ts", delay).withColumn(
+    marked = stream.withWatermark("ts", delay)
+    salted = marked.where("event_id is not null").withColumn(
         "_salt", F.floor(F.rand() * salts).cast("int"))
-    return (salted.dropDuplicatesWithinWatermark(["event_id", "_salt"])
-            .dropDuplicatesWithinWatermark(["event_id"]).drop("_salt"))
+    first = (salted.dropDuplicatesWithinWatermark(["event_id", "_salt"])
+             .dropDuplicatesWithinWatermark(["event_id"]).drop("_salt"))
+    return first.unionByName(marked.where("event_id is null"))
 
 
 def stream_replay_state(stream: DataFrame, every: str = "1 hour",
