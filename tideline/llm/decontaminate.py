@@ -24,7 +24,7 @@ from tideline.llm.batches import others, quoted, spans, staged, with_results
 #: Words of a window.
 WORDS = 10
 #: Bytes of benchmark text that a pass over the documents searches for.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 2 << 20
 _LANE = 1024  # positions that are searched one after the other; lanes advance together
 _K = np.uint64(0x9E3779B97F4A7C15)
 
