@@ -264,8 +264,9 @@ def find_repeats(source: DataFrame, length: int) -> DataFrame:
     with Scratch(source.sparkSession) as scratch:
         texts = _texts(source, scratch)
         found = staged(texts.select("text", "h1", "h2").mapInArrow(_find_anchors(length), ANCHORS), "anchors", scratch)
-        shared = found.groupBy("key").count().where("count > 1").select(
-            "key", F.ceil(F.col("count") / TOGETHER).cast("int").alias("salts"))
+        # written, so that the rows of a hot key are on the side of a join that can be split
+        shared = staged(found.groupBy("key").count().where("count > 1").select(
+            "key", F.ceil(F.col("count") / TOGETHER).cast("int").alias("salts")), "shared", scratch)
         runs = found.join(shared, "key").groupBy("h1", "h2").agg(
             F.collect_list(F.struct("first", "n", "key", "salts")).alias("runs"))
         refined = texts.select("text", "h1", "h2").join(runs, ["h1", "h2"]).mapInArrow(_refine_runs(length), RUNS)
