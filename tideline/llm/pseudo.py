@@ -20,7 +20,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField
 
@@ -202,11 +202,13 @@ def learn_model(docs: DataFrame, text: str = "text") -> Model:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     counted = texts.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy(
         "word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(TOKENS - HASHED - 1).collect()
+    seen = Observation("words")  # their sum, taken while the most frequent ones are found
+    top = counted.observe(seen, F.sum("count").alias("all")).orderBy(F.desc("count"), "word").limit(
+        TOKENS - HASHED - 1).collect()
     words = [r["word"] for r in top]
     counts = np.zeros(TOKENS)
     counts[1:1 + len(top)] = [r["count"] for r in top]
-    rest = (counted.agg(F.sum("count")).first()[0] or 0) - counts.sum()
+    rest = (seen.get["all"] or 0) - counts.sum()
     counts[TOKENS - HASHED:] = max(0, rest) / HASHED
     model = Model(words, Network.fresh(counts).values)
     for _ in range(ROUNDS):
