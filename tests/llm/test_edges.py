@@ -1,5 +1,8 @@
 """Every operator and stage: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
+from collections import defaultdict
+from zlib import crc32
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
 from tideline.llm.licenses import scan_licenses
-from tideline.llm.pseudo import learn_model, score_texts
+from tideline.llm.pseudo import FIRST, HASHED, learn_model, score_texts
 from tideline.llm.queries import tokenizer_file
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
@@ -157,3 +160,19 @@ def test_stages(k, spark, docs, bench, tmp_path):
         assert out.columns == list(corpus_pipeline.COLUMNS)
     want = {"language": 6, "near_copies": 6, "repeats": 9, "benchmark": 6, "tokens": 9}[name]
     assert out.count() == want
+
+
+def test_rare_words_are_told_apart(spark):
+    """Of words with one token and the same neighbours: the frequent one, the rare one, one never seen."""
+    bucket = lambda w: crc32(w.encode()) % HASHED
+    common = [f"c{k}" for k in range(FIRST - 1)]
+    by = defaultdict(list)
+    for k in range(6 * HASHED):
+        by[bucket(f"r{k}")].append(f"r{k}")
+    often, seldom, never = next(ws for ws in by.values() if len(ws) > 2)[:3]
+    texts = [" ".join(common * 9), f"c1 {often} c2 " * 6, f"c1 {seldom} c2"]
+    model = learn_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    asked = [(w, f"c1 {w} c2") for w in (often, seldom, never)]
+    got = {r["word"]: r["word_log_likelihood"] for r in score_texts(
+        spark.createDataFrame(asked, "word string, text string"), model).collect()}
+    assert got[often] > got[seldom] + 1 > got[never] + 2

@@ -5,7 +5,10 @@ table for each place, are added and squashed, and the result predicts first the
 masked token and then the token within its class, so that probabilities are exact and cheap. The
 score of a text is the sum of the log-probabilities of all its tokens, each given its neighbours.
 
-Tokens are the most frequent words of the corpus; rarer words share hashed tokens. Training masks
+Tokens are the most frequent words of the corpus; rarer words share hashed tokens. The network gives
+the probability of such a token, and a Spark table with the count of every word, which grows with the
+corpus, that of the word among the words of its token (Witten-Bell): in proportion to its count,
+with a share for words never counted, which are spelled out byte by byte. Training masks
 a fixed share of the positions of every text. Each task trains a copy of the network on its rows,
 and the copies are averaged by Spark, weighted by masked positions; then the next round begins.
 """
@@ -20,17 +23,18 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StructField
 
 from tideline.llm.batches import (
-    BLOCKS, blocks_of, others, prepare, quoted, slices, spans, sum_blocks, with_results,
+    BLOCKS, blocks_of, others, prepare, quoted, slices, spans, staged, sum_blocks, with_results,
 )
 
 #: Classes, and tokens of a class; of all tokens so many are for hashed words; one is the edge of a text.
 CLASSES, SIZE, HASHED = 64, 64, 1024
 TOKENS = CLASSES * SIZE
+FIRST = TOKENS - HASHED
 #: Places around a masked token, and the width of the network.
 PLACES, WIDTH = (-2, -1, 1, 2), 16
 #: One in so many positions is masked in training; rounds; positions of a step; step size.
@@ -147,15 +151,18 @@ class Tokens(dict):
         self.room = len(self) + _REMEMBERED
 
     def __missing__(self, word: bytes) -> int:
-        token = TOKENS - HASHED + crc32(word) % HASHED
+        token = FIRST + crc32(word) % HASHED
         if len(self) < self.room:
             self[word] = token
         return token
 
-    def of(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of all texts with two edges before and after each; where words are, and of which text."""
+    @staticmethod
+    def split(offsets: np.ndarray, raw: np.ndarray) -> list[list[bytes]]:
         data, ends = raw.tobytes().lower(), offsets.tolist()
-        words = [data[a:b].split() for a, b in zip(ends, ends[1:])]
+        return [data[a:b].split() for a, b in zip(ends, ends[1:])]
+
+    def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of all texts with two edges before and after each; where words are, and of which text."""
         count = np.array([len(w) for w in words], np.int64)
         doc = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(doc)) + 2 + 2 * doc
@@ -164,20 +171,65 @@ class Tokens(dict):
         return ids, at, doc
 
 
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring bytes of all words, a line feed before and after each, and where a word begins."""
+    raw = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
+    return raw[:-1] * 256 + raw[1:], np.flatnonzero(raw[:-1] == 10)
+
+
+@dataclass
+class Rare:
+    """What is known of the words that share hashed tokens."""
+
+    #: ``word`` (as bytes) and ``count`` of every word of the corpus.
+    counts: DataFrame
+    #: Occurrences and different words of each hashed token, log-probabilities of a byte after another.
+    number: np.ndarray
+    kinds: np.ndarray
+    spelling: np.ndarray
+
+
+def _spelled(words: list[bytes], token: np.ndarray, kinds: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts that the words have before any is counted."""
+    if not words:
+        return np.empty(0)
+    pairs, first = _letters(words)
+    return np.log(np.maximum(1, kinds[token - FIRST])) + np.add.reduceat(spelling[pairs], first)
+
+
+def _gather(top: list[str]):
+    """Sums over counted words: occurrences and kinds of each hashed token, pairs of bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = {w.encode() for w in top}
+        total = np.zeros(2 * HASHED + (1 << 16))
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            if not words:
+                continue
+            total[2 * HASHED:] += np.bincount(_letters(words)[0], minlength=1 << 16)
+            rest = np.array([w not in head for w in words])
+            token = np.array([crc32(w) % HASHED for w in words])[rest]
+            total[:HASHED] += np.bincount(token, batch.column(1).to_numpy()[rest], HASHED)
+            total[HASHED:2 * HASHED] += np.bincount(token, minlength=HASHED)
+        yield from blocks_of(total, TaskContext.get().partitionId())
+    return run
+
+
 @dataclass
 class Model:
     words: list[str]
     values: np.ndarray
+    rare: Rare
 
 
-def _train(model: Model):
+def _train(words: list[str], values: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, net = Tokens(model.words), Network(model.values)
+        tokens, net = Tokens(words), Network(values)
         seen = Network._cut(np.full(Network.LENGTH, 1e-3, np.float32))
         masked = 0
         for batch in batches:
             for part in slices(batch, 0):
-                ids, at, _ = tokens.of(*spans(part.column(0)))
+                ids, at, _ = tokens.of(tokens.split(*spans(part.column(0))))
                 # which positions are masked depends on what is there
                 mixed = (ids[at] * 31 + ids[at - 1] * 7 + ids[at + 1] * 3 + np.arange(len(at))) % MASKED
                 at = at[mixed == 0]
@@ -193,49 +245,86 @@ def learn_model(docs: DataFrame, text: str = "text") -> Model:
     """Words and network learned from the whole texts of all rows of ``docs``.
 
     The words of a text lie between ASCII white space, A-Z are lower-cased. All words are counted
-    by Spark; equally frequent ones are taken in their order. Empty and null texts teach nothing,
+    by Spark and stay in a table; equally frequent ones are taken in their order. Empty and null texts teach nothing,
     and without any words all tokens are equally likely. Copies of the network are averaged, so
     the result depends a little on how rows are dealt to tasks.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counted = texts.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy(
-        "word").count()
-    seen = Observation("words")  # their sum, taken while the most frequent ones are found
-    top = counted.observe(seen, F.sum("count").alias("all")).orderBy(F.desc("count"), "word").limit(
-        TOKENS - HASHED - 1).collect()
+    counted = staged(texts.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where(
+        "word <> ''").groupBy("word").count(), "words")
+    top = counted.orderBy(F.desc("count"), "word").limit(FIRST - 1).collect()
     words = [r["word"] for r in top]
+    table = counted.select(F.col("word").cast("binary").alias("word"), "count")
+    sums = sum_blocks(table.mapInArrow(_gather(words), BLOCKS), 2 * HASHED + (1 << 16))
+    number, kinds, pairs = np.split(sums, [HASHED, 2 * HASHED])
+    pairs = pairs.reshape(256, 256) + 1
+    rare = Rare(table, number, kinds, np.log(pairs / pairs.sum(1, keepdims=True)).ravel())
     counts = np.zeros(TOKENS)
     counts[1:1 + len(top)] = [r["count"] for r in top]
-    rest = (seen.get["all"] or 0) - counts.sum()
-    counts[TOKENS - HASHED:] = max(0, rest) / HASHED
-    model = Model(words, Network.fresh(counts).values)
+    counts[FIRST:] = number
+    values = Network.fresh(counts).values
     for _ in range(ROUNDS):
-        total = sum_blocks(texts.mapInArrow(_train(model), BLOCKS), Network.LENGTH + 1)
+        total = sum_blocks(texts.mapInArrow(_train(words, values), BLOCKS), Network.LENGTH + 1)
         if total[-1]:
-            model = Model(words, (total[:-1] / total[-1]).astype(np.float32))
-    return model
+            values = (total[:-1] / total[-1]).astype(np.float32)
+    return Model(words, values, rare)
 
 
-RESULT = [StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType())]
+RESULT = [
+    StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()),
+    StructField("word_log_likelihood", DoubleType())]
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the pseudo-likelihood of every whole text.
 
-    Adds ``n_tokens`` and ``log_likelihood``, the sum of the log-probabilities of all tokens given
-    their neighbours; a text without words, or null, has 0 of both. Rows are scored one by one, so
+    Adds ``n_tokens``, ``log_likelihood``, the sum of the log-probabilities of all tokens given
+    their neighbours, and ``word_log_likelihood``, that of all words: the same, and for rare words
+    their log-probability among the words of their token. A text without words, or null, has 0 of all. Rows are scored one by one, so
     repeated rows stay; older columns of these names are replaced.
     """
+    top, values, rare = model.words, model.values, model.rare
+    number, kinds, spelling = rare.number, rare.kinds, rare.spelling
+
     def make():
-        tokens, net = Tokens(model.words), Network(model.values)
+        tokens, net = Tokens(top), Network(values)
+        all_of = np.log(number + np.maximum(1, kinds))
 
         def work(column: pa.Array) -> list[pa.Array]:
-            ids, at, doc = tokens.of(*spans(column))
+            words = tokens.split(*spans(column))
+            ids, at, doc = tokens.of(words)
             n = len(column)
-            score = np.bincount(doc, weights=net.log_probability(ids, at), minlength=n)
-            return [pa.array(np.bincount(doc, minlength=n), pa.int64()), pa.array(score, pa.float64())]
+            each, token = net.log_probability(ids, at), ids[at]
+            hashed = np.flatnonzero(token >= FIRST)
+            word = each.copy()
+            word[hashed] -= all_of[token[hashed] - FIRST]
+            flat = list(chain.from_iterable(words))
+            shared = [flat[k] for k in hashed.tolist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[hashed], minlength=n))]), pa.int32())
+            return [
+                pa.array(np.bincount(doc, minlength=n), pa.int64()),
+                pa.array(np.bincount(doc, weights=each, minlength=n), pa.float64()),
+                pa.array(np.bincount(doc, weights=word, minlength=n), pa.float64()),
+                pa.ListArray.from_arrays(ends, pa.array(shared, pa.binary())),
+                pa.ListArray.from_arrays(ends, pa.array(
+                    _spelled(shared, token[hashed], kinds, spelling), pa.float32()))]
         return work
 
-    return with_results(docs, [text], others(docs, [f.name for f in RESULT]), RESULT, make)
+    keep = others(docs, [f.name for f in RESULT])
+    row = docs.select(F.col(quoted(text)).alias("text"), F.struct(
+        F.lit(0).alias("none"), *[F.col(quoted(c)) for c in keep]).alias("row"))
+    lists = [StructField("words", ArrayType(BinaryType())), StructField("spelled", ArrayType(FloatType()))]
+    scored = staged(with_results(row, ["text"], ["row"], [*RESULT, *lists], make).withColumn(
+        "id", F.monotonically_increasing_id()), "scored")
+    shared = scored.select("id", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select(
+        "id", F.col("w.words").alias("word"), F.col("w.spelled").alias("spelled"))
+    # written, so that the words' shuffle files are gone when the texts are dealt
+    counted = staged(shared.join(rare.counts, "word", "left").groupBy("id").agg(F.sum(F.when(
+        F.col("count").isNull(), F.col("spelled")).otherwise(
+        F.log(F.col("count") + F.exp("spelled")))).alias("more")), "rare-words")
+    # built from the sums, so that no text is sorted
+    return scored.join(counted.hint("shuffle_hash"), "id", "left").select(
+        *[F.col("row").getField(c).alias(c) for c in keep], "n_tokens", "log_likelihood",
+        (F.col("word_log_likelihood") + F.coalesce("more", F.lit(0.0))).alias("word_log_likelihood"))

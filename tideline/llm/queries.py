@@ -169,7 +169,9 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_texts(docs, learn_model(docs))
-    return scored.withColumn("mean", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
+    n = F.nullif(F.col("n_tokens"), F.lit(0))
+    return scored.withColumn("mean", F.col("log_likelihood") / n).withColumn(
+        "word_mean", F.col("word_log_likelihood") / n)
 
 
 @query
