@@ -3,16 +3,18 @@
 from collections import defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tideline.llm.batches import BLOCKS, sum_blocks
 from tideline.llm.bpe import decode_ids, encode_and_decode, encode_texts
 from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
 from tideline.llm.licenses import scan_licenses
-from tideline.llm.pseudo import FIRST, HASHED, learn_model, score_texts
+from tideline.llm.pseudo import FIRST, HASHED, TOKENS, Network, _train, learn_model, score_texts
 from tideline.llm.queries import tokenizer_file
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
@@ -176,3 +178,10 @@ def test_rare_words_are_told_apart(spark):
     got = {r["word"]: r["word_log_likelihood"] for r in score_texts(
         spark.createDataFrame(asked, "word string, text string"), model).collect()}
     assert got[often] > got[seldom] + 1 > got[never] + 2
+
+
+def test_every_word_is_predicted_in_training(spark):
+    texts = spark.createDataFrame([(f"a b c d e {k} g h",) for k in range(50)] + [("",), (None,)], "text string")
+    values = Network.fresh(np.ones(TOKENS)).values
+    total = sum_blocks(texts.mapInArrow(_train(["a", "b", "c"], values), BLOCKS), Network.LENGTH + 1)
+    assert total[-1] == 50 * 8

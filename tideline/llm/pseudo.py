@@ -8,9 +8,9 @@ score of a text is the sum of the log-probabilities of all its tokens, each give
 Tokens are the most frequent words of the corpus; rarer words share hashed tokens. The network gives
 the probability of such a token, and a Spark table with the count of every word, which grows with the
 corpus, that of the word among the words of its token (Witten-Bell): in proportion to its count,
-with a share for words never counted, which are spelled out byte by byte. Training masks
-a fixed share of the positions of every text. Each task trains a copy of the network on its rows,
-and the copies are averaged by Spark, weighted by masked positions; then the next round begins.
+with a share for words never counted, which are spelled out byte by byte. In every
+round of training each position of every text is masked once. Each task trains a copy of the network on its rows,
+and the copies are averaged by Spark, weighted by positions; then the next round begins.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ TOKENS = CLASSES * SIZE
 FIRST = TOKENS - HASHED
 #: Places around a masked token, and the width of the network.
 PLACES, WIDTH = (-2, -1, 1, 2), 16
-#: One in so many positions is masked in training; rounds; positions of a step; step size.
-MASKED, ROUNDS, STEP, RATE = 7, 2, 2048, 0.15
+#: Rounds of training over all positions; positions of a step; step size.
+ROUNDS, STEP, RATE = 2, 2048, 0.15
 _BLOCK = 1 << 13
 _REMEMBERED = 400_000
 
@@ -226,18 +226,15 @@ def _train(words: list[str], values: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, net = Tokens(words), Network(values)
         seen = Network._cut(np.full(Network.LENGTH, 1e-3, np.float32))
-        masked = 0
+        trained = 0
         for batch in batches:
             for part in slices(batch, 0):
                 ids, at, _ = tokens.of(tokens.split(*spans(part.column(0))))
-                # which positions are masked depends on what is there
-                mixed = (ids[at] * 31 + ids[at - 1] * 7 + ids[at + 1] * 3 + np.arange(len(at))) % MASKED
-                at = at[mixed == 0]
                 net.train(ids, at, seen)
-                masked += len(at)
-        if masked:
+                trained += len(at)
+        if trained:
             yield from blocks_of(
-                np.append(net.values.astype(np.float64) * masked, masked), TaskContext.get().partitionId())
+                np.append(net.values.astype(np.float64) * trained, trained), TaskContext.get().partitionId())
     return run
 
 
