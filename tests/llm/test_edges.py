@@ -13,7 +13,7 @@ from tideline.llm.bpe import decode_ids, encode_and_decode, encode_texts
 from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
-from tideline.llm.licenses import scan_licenses
+from tideline.llm.licenses import SENTENCES, scan_licenses, sentences
 from tideline.llm.pseudo import FIRST, HASHED, TOKENS, Network, _train, learn_model, score_texts
 from tideline.llm.queries import tokenizer_file
 from tideline.llm.repeats import remove_repeats
@@ -185,3 +185,31 @@ def test_every_word_is_predicted_in_training(spark):
     values = Network.fresh(np.ones(TOKENS)).values
     total = sum_blocks(texts.mapInArrow(_train(["a", "b", "c"], values), BLOCKS), Network.LENGTH + 1)
     assert total[-1] == 50 * 8
+
+
+SHORTEST = {
+    "GPL": ["Released under the GPL v3."], "LGPL": ["Distributed under the terms of the LGPL."],
+    "AGPL": ["Available under the AGPL"], "Apache": ["Licensed under the Apache License"],
+    "MIT": ["Released under the MIT license"], "BSD": ["Released under the BSD license"],
+    "MPL": ["Subject to the Mozilla Public License"],
+    "CC": ["Available under CC BY 4.0.", "Available under Creative Commons BY-SA 4.0", "Released under CC-0"],
+    "Grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+              "associated documentation files to"],
+    "MITCondition": ["The above copyright notice and this permission notice shall be included in all copies or "
+                     "substantial portions of the software"],
+    "AsIs": ["The software is provided as is here"],
+    "BSDGrant": ["Redistribution and use in source and binary forms, with or without modification, are permitted "
+                 "provided that the following conditions are met"],
+    "BSDSource": ["Redistributions of source code must retain the above copyright notice and"],
+    "BSDBinary": ["Redistributions in binary form must reproduce the above copyright notice and"],
+    "BSDName": ["Neither the name X may be used to endorse or promote products here"],
+    "SPDX": ["SPDX-License-Identifier: MIT"], "Copyright": ["(c) 2020", "C 2020 X", "© 2020", "Copyright 2020"],
+    "AllRights": ["All rights reserved"], "PublicDomain": ["Placed in the public-domain", "Dedicated to the public  domain"],
+}
+
+
+def test_shortest_licence_sentences_pass_the_cues():
+    assert set(SHORTEST) == {name for name, _ in SENTENCES}
+    for name, texts in SHORTEST.items():
+        for text in texts:
+            assert [s.name for s in sentences(text)] == [name], text

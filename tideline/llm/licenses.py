@@ -60,8 +60,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("Copyright", "AllRights")),
     ("Proprietary", ("AllRights",)),
 )
-# What most sentences lack: only those with one of these are compared with the patterns.
-CUES = re.compile(r"licen[sc]e|copyright|\(c\)|©|permission|redistribut|software|endorse|rights|public domain", re.I)
+# What most sentences lack: only those with one of these are compared with the patterns. Every
+# pattern implies one of them.
+CUES = re.compile(
+    r"licen[sc]e|copyright|©|permission|redistribut|software|endorse|rights|domain|gpl|commons"
+    r"|(?<![a-z0-9])cc(?![a-z0-9])|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)[0-9]{2}", re.I | re.A)
 _END = re.compile(r"[\n\r]+|(?<=[.!?;])\s+")
 _OTHER = re.compile(r"[^a-z0-9.+]+")
 _DOTS = re.compile(r"(?<![0-9])\.|\.(?![0-9])")
