@@ -13,7 +13,7 @@ from tideline.llm.bpe import decode_ids, encode_and_decode, encode_texts
 from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
-from tideline.llm.licenses import SENTENCES, scan_licenses, sentences
+from tideline.llm.licenses import SENTENCES, match, scan_licenses, sentences
 from tideline.llm.pseudo import FIRST, HASHED, TOKENS, Network, _train, learn_model, score_texts
 from tideline.llm.queries import tokenizer_file
 from tideline.llm.repeats import remove_repeats
@@ -213,3 +213,47 @@ def test_shortest_licence_sentences_pass_the_cues():
     for name, texts in SHORTEST.items():
         for text in texts:
             assert [s.name for s in sentences(text)] == [name], text
+
+
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above
+   copyright notice, this list of conditions and the following disclaimer.
+3. Neither the name of X nor the names of its contributors
+   may be used to endorse or promote products
+   derived from this software.
+
+THIS SOFTWARE IS PROVIDED BY X
+"AS IS" AND ANY EXPRESS WARRANTIES ARE DISCLAIMED.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS",
+WITHOUT WARRANTY OF ANY KIND.
+"""
+NOTICE = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation; either version {} of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_licences(mark):
+    def found(text):
+        return match(sentences("\n".join(mark + line for line in text.split("\n"))))
+
+    assert found(MIT) == ["MIT"] and found(BSD3) == ["BSD-3-Clause"]
+    assert found("Licensed under the Apache License,\nVersion 2.0 (the \"License\");") == ["Apache-2.0"]
+    for kind, name, version in (("", "GPL", "2"), ("Lesser ", "LGPL", "2.1"), ("Affero ", "AGPL", "3")):
+        assert found(NOTICE.format(";", kind, version)) == [f"{name}-{version}-or-any-later-version"]
+    assert found(NOTICE.format(":", "", "3").replace("; either", ", either")) == ["GPL-3-or-any-later-version"]
+    lines = "Some words\nReleased under the MIT License\nCopyright 2020 X\nAll rights reserved"
+    assert found(lines) == ["MIT", "Proprietary"]

@@ -1,7 +1,8 @@
 """Licence statements in texts, recognised by sentence rules.
 
-A text is cut into sentences, which are brought into one form: lower case, and only words and
-numbers. Known sentences become identifiers with their parameter, such as a version. Ordered rules
+A text is cut into sentences at punctuation and blank lines, which are brought into one form: lower
+case, and only words and numbers. A sentence may run over lines, wrapped and behind comment marks,
+and a line may be a notice by itself: known sentences begin and end with lines. Known sentences become identifiers with their parameter, such as a version. Ordered rules
 then match runs of identifiers and say which licence they stand for; a rule takes the identifiers
 it matches, so that later, more general rules see only what is left.
 """
@@ -18,12 +19,15 @@ from pyspark.sql.types import ArrayType, StringType, StructField
 
 from tideline.llm.batches import others, with_results
 
-# What licence texts say. A sentence's pattern is matched against all of its form;
-# groups are parameters of the identifier.
+# What licence texts say. A sentence's pattern is matched against all of its form,
+# or against some of its lines, where a space may be a line break; groups are parameters of the identifier.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("GPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
+    ("GPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
     ("LGPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:lesser general public license|lgpl)(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
+    ("LGPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?(?:lesser|library) general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
     ("AGPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:affero general public license|agpl)(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
+    ("AGPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?affero general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
     ("Apache", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?apache license(?: version ([0-9.]+))?(?: the license)?"),
     ("MIT", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?mit license"),
     ("BSD", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:([234]) clause )?bsd license"),
@@ -65,7 +69,12 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 CUES = re.compile(
     r"licen[sc]e|copyright|©|permission|redistribut|software|endorse|rights|domain|gpl|commons"
     r"|(?<![a-z0-9])cc(?![a-z0-9])|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)[0-9]{2}", re.I | re.A)
-_END = re.compile(r"[\n\r]+|(?<=[.!?;])\s+")
+# Ends of lines, marks of comments around them, blank lines, and ends of sentences; the notices of the
+# GPL have a semicolon before their version.
+_LINE = re.compile(r"\r\n|\r|\n")
+_BEFORE, _AFTER = "/*#-;%<!>| \t", "/*#->| \t"
+_BLANK = re.compile(r"\n{2,}")
+_END = re.compile(r"(?<=[.!?])\s+|(?<=;)(?!\s*either\s+version)\s+", re.I)
 _OTHER = re.compile(r"[^a-z0-9.+]+")
 _DOTS = re.compile(r"(?<![0-9])\.|\.(?![0-9])")
 
@@ -86,6 +95,23 @@ class Sentence:
 
 
 _PATTERNS = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+#: A line that begins a sentence with an open middle ends the middle of the one before.
+_AGAIN = "(?:the|this) software is provided|(?:[34] )?neither the name"
+
+
+def _over_lines(pattern: str) -> re.Pattern:
+    """``pattern`` for whole lines of a sentence: what is open before or after stays on its line."""
+    head, tail = "(?:.* )?", "(?: .*)?"
+    first = head if pattern.startswith(head) else ""
+    last = tail if pattern.endswith(tail) else ""
+    core = pattern[len(first):len(pattern) - len(last)]
+    end = ".*" if core.endswith(".*") else ""
+    core = core[:len(core) - len(end)].replace(".*", f"(?:.|\n(?!{_AGAIN}))*?")
+    core = re.sub(r"\[[^\]]*\]| ", lambda m: "[ \n]" if m[0] == " " else m[0], core)
+    return re.compile(f"^{first}{core}{end}{last}$", re.M)
+
+
+_WRAPPED = [(name, _over_lines(pattern)) for name, pattern in SENTENCES]
 
 
 def identify(sentence: str) -> Sentence | None:
@@ -96,12 +122,32 @@ def identify(sentence: str) -> Sentence | None:
     return None
 
 
+def _of_lines(lines: str) -> list[Sentence]:
+    """Identifiers of a sentence in its normal form by lines; earlier patterns take their lines first."""
+    if "\n" not in lines:
+        return [s] if (s := identify(lines)) else []
+    took: list[tuple[int, Sentence]] = []
+    taken = bytearray(len(lines))
+    for name, pattern in _WRAPPED:
+        for m in pattern.finditer(lines):
+            if taken.find(1, m.start(), m.end()) < 0:
+                detail = tuple("-".join(g.split()) for g in m.groups() if g)
+                took.append((m.start(), Sentence(name, detail)))
+                taken[m.start():m.end()] = b"\1" * (m.end() - m.start())
+    return [s for _, s in sorted(took, key=lambda t: t[0])]
+
+
 def sentences(text: str | None) -> list[Sentence]:
     """Identifiers of the known sentences of a text, in order."""
     if not text or not CUES.search(text):
         return []
-    found = (identify(normalise(s)) for s in _END.split(text) if CUES.search(s))
-    return [s for s in found if s]
+    found = []
+    for paragraph in _BLANK.split("\n".join(line.strip().lstrip(_BEFORE).rstrip(_AFTER) for line in _LINE.split(text))):
+        if CUES.search(paragraph):
+            for s in _END.split(paragraph):
+                if CUES.search(s):
+                    found += _of_lines("\n".join(filter(None, map(normalise, s.split("\n")))))
+    return found
 
 
 def match(found: list[Sentence]) -> list[str]:
