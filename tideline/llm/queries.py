@@ -15,8 +15,11 @@ from tideline.llm.language import identify, learn_profiles
 from tideline.llm.licenses import scan_licenses
 from tideline.llm.pseudo import learn_model, score_texts
 from tideline.llm.repeats import remove_repeats
+from tideline.llm.runs import find_runs
 from tideline.llm.simhash import group_near_copies
+from tideline.llm.topk import scaled, search
 from tideline.llm.toxicity import learn_toxicity, score_toxicity
+from tideline.llm.variants import count_words, group_variants
 from tideline.llm.vectors import group_near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +183,118 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
         F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
+
+
+#: One word and document in so many loses a code point; words that occur less often are left out.
+MISPRINT, OFTEN = 199, 5
+
+
+@query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = count_words(docs, doc_id="doc_id", misprint=MISPRINT).where(F.col("n") >= OFTEN)
+    return group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def crc_of_bit(k: int) -> int:
+    """The remainder of one bit of a byte in a CRC-32; those of a byte are the sum (xor) of its bits'."""
+    c = 1 << k
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes as a DuckDB expression."""
+    step = "c >> 8"
+    for k in range(8):
+        step = f"xor({step}, (xor(c, b) >> {k} & 1) * {crc_of_bit(k)})"
+    code = f"hex(encode({text}))"
+    octets = f"list_transform(range(1, len({code}), 2), lambda i: ('0x' || substr({code}, i, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: {step}, 4294967295), 4294967295)"
+
+
+ORACLE["op11_variants"] = f"""
+with recursive found as materialized (
+  select doc_id, word, count(*) as n from (
+    select doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) as word
+    from documents) where length(word) >= 6 group by all),
+hashed as materialized (select word, n, {crc_sql("doc_id::varchar || ':' || word")} as h from found),
+vocabulary as materialized (
+  select word, sum(n)::bigint as n from (
+    select case when h % {MISPRINT} = 0
+      then word[:h % length(word)] || word[(h % length(word) + 2):] else word end as word, n from hashed)
+  where length(word) >= 6 group by word having sum(n) >= {OFTEN}),
+cut as materialized (
+  select word, i, word[:i - 1] || word[i + 1:] as rest
+  from (select word, unnest(range(1, length(word) + 1)) as i from vocabulary)),
+near as materialized (
+  select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select cut.word, v.word from cut join vocabulary v on v.word = rest
+  union select v.word, cut.word from cut join vocabulary v on v.word = rest),
+best as (
+  select near.word, count(*) as n_near, min({{'less': -v.n, 'other': other}}) as b
+  from near join vocabulary v on v.word = other group by near.word),
+told as materialized (
+  select v.word, v.n, coalesce(n_near, 0)::bigint as n_near,
+    case when -b.less >= 5 * v.n then b.other end as form, case when -b.less >= 5 * v.n then -b.less end as form_n
+  from vocabulary v left join best on best.word = v.word),
+up as (
+  select word, word as last_word, form as next from told
+  union all select up.word, told.word, told.form from up join told on told.word = up.next)
+select word, form, last_word as root, n, n_near, form_n
+from told join (select word, last_word from up where next is null) using (word)
+"""
+
+
+@query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled("embedding").alias("vector"))
+    return search(vectors, F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op12_search"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pair)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words from some place on replaced by repetitions, in a tenth of the texts.
+
+    Place and period follow from the id. Texts without an id stay, and so does a text with no words.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("h", h).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn(
+        "n", F.coalesce(F.size("words"), F.lit(0)).cast("long"))
+    g = F.floor(F.col("h") / 10)
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, g % F.col("n"))).withColumn(
+        "p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    repeated = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get(
+        "words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the longest, of several the first, of several the one of the smallest period
+    top = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(
+        ",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    told = found.withColumn("top", top)
+    length = -F.col("top.less")
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        length.alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * length / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
