@@ -47,23 +47,30 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the bytes of repeated passages; ``n_chars`` counts what is left.
+    """All documents without repeated passages of 50 words; ``n_chars`` counts what is left.
 
-    A character of which only some bytes go becomes U+FFFD. Null texts become empty.
+    A passage goes wherever it is found, in one document or in several. Null texts become empty,
+    texts of fewer words stay as they are, and rows that repeat a long text lose all its words.
     """
-    cut = remove_repeats(docs)
+    cut = remove_repeats(docs, unit="words")
     return cut.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).withColumn(
         "n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none and stay, as does every row that repeats a clean one.
+    """
     marked = mark_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return marked.where(F.size("hits") == 0).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and the digests of the round trip."""
+    """Token ids of every text and the digests of the round trip.
+
+    Null and empty texts have no tokens; each row is encoded for itself, repeated ones too.
+    """
     return digests_of_tokens(encode_and_decode(docs, tokenizer_file()), "lang", "source", "ids")
 
 

@@ -165,9 +165,25 @@ def removed(texts, length):
         yield gone
 
 
+def without_passages(texts, length):
+    """Kept bytes and number of removed runs, by words."""
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    words = [[t[a:b] for a, b in ps] for t, ps in zip(texts, places)]
+    seen = Counter(tuple(w[i:i + length]) for w in words for i in range(len(w) - length + 1))
+    for t, ps, w in zip(texts, places, words):
+        lost = {j for i in range(len(w) - length + 1) if seen[tuple(w[i:i + length])] > 1 for j in range(i, i + length)}
+        gone = bytearray(len(t))
+        for j in lost:
+            a, b = ps[j][0], ps[j + 1][0] if j + 1 in lost else ps[j][1]
+            gone[a:b] = b"\1" * (b - a)
+        yield bytes(b for b, g in zip(t, gone) if not g), len(re.findall(rb"\x01+", bytes(gone)))
+
+
 def test_repeats(spark, docs):
     got = rows(spark, "op10_repeats")
     texts = {k: d["text"].encode() for k, d in docs.items()}
+    for (k, t), (kept, n) in zip(texts.items(), without_passages(list(texts.values()), 50)):
+        assert (got[k]["n_passages"], got[k]["n_passage_bytes"]) == (n, len(t) - len(kept))
     for (k, t), gone in zip(texts.items(), removed(list(texts.values()), 400)):
         runs = len(re.findall(rb"\x01+", bytes(gone)))
         kept = bytes(b for b, g in zip(t, gone) if not g)
@@ -193,6 +209,24 @@ def test_repeats_in_split_buckets(length, together, at_once, spark, monkeypatch)
     assert got == {k: bytes(b for b, g in zip(raw[k], gone) if not g) for k, gone in enumerate(removed(raw, length))}
 
 
+@pytest.mark.parametrize("length,together,at_once", [(4, 1000, 1 << 20), (6, 1, 50), (12, 2, 50), (50, 1000, 1 << 20)])
+def test_repeated_passages_of_words(length, together, at_once, spark, monkeypatch):
+    from tideline.llm import repeats
+
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    monkeypatch.setattr(repeats, "SORTED", at_once)
+    rng = np.random.default_rng(length)
+    base = rng.choice(["a", "b", "dé", "x\u00a0y", "long-word"], 300).tolist()
+    texts = [None, "", " \t ", "a " * 70, " ".join(base), "\n".join(base[:60]) + " ", " ".join(base[:60])] + ["  b c  " * 40] * 3
+    for _ in range(40):
+        words = [w for a in rng.integers(0, 250, 3) for w in [*base[a:a + rng.integers(1, 70)], f"w{rng.integers(0, 9)}"]]
+        texts.append("".join(w + str(rng.choice([" ", "  ", "\n", "\t "])) for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in repeats.remove_repeats(df, length=length, unit="words").collect()}
+    want = without_passages([(t or "").encode() for t in texts], length)
+    assert got == dict(enumerate(want))
+
+
 def test_balls_hold_all_variants_within_a_flip(spark):
     from tideline.llm.simhash import _BLOCKS, balls
 
@@ -252,8 +286,7 @@ def test_pipeline(spark, docs):
     near = rows(spark, "op3_simhash")
     left = [k for k in sorted(docs) if re.search(r"[^\W\d_]", docs[k]["text"]) and near[k]["component_id"] == k]
     raw = [docs[k]["text"].encode() for k in left]
-    texts = {k: bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "replace")
-             for k, t, gone in zip(left, raw, removed(raw, 400))}
+    texts = {k: kept.decode() for k, (kept, _) in zip(left, without_passages(raw, 50))}
 
     def words(text):
         return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower())

@@ -114,9 +114,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return remove_repeats(docs).select(
-        "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+    cut = remove_repeats(docs).select(
+        "doc_id", "text", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    # besides, passages of 50 words, most of which are shorter than 400 bytes
+    passages = remove_repeats(cut, unit="words")
+    return passages.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256",
+        F.size("spans").cast("long").alias("n_passages"),
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_passage_bytes"))
 
 
 @query

@@ -11,6 +11,9 @@ Not every position is shuffled at half the length. Of all positions within reach
 one with the least 16-gram identifier is its anchor; equal strings have equal anchors at the same
 distance. So buckets of anchors at half the length decide first, and only strings whose anchor
 shares its bucket are refined to the whole length and sorted.
+
+Strings are measured in bytes, or in words between ASCII white space. Then a position is a word,
+and the first buckets are those of equal words.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -30,8 +34,8 @@ from pyspark.sql.window import Window
 from tideline.llm.batches import cleaning, others, prepare, quoted, slices, spans, staged
 from tideline.session import Scratch
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
+#: Bytes of a string that counts as repeated, and words of one that is measured in words.
+LENGTH, WORDS = 400, 50
 #: Anchors of one bucket that are sorted together; larger buckets are split.
 TOGETHER = 1000
 #: Positions that a task sorts at once.
@@ -51,20 +55,70 @@ def refine(near: np.ndarray, far: np.ndarray) -> np.ndarray:
     return out
 
 
-def identifiers(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of all positions for 16-grams and for ``length`` bytes.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Bytes:
+    """The positions of texts: all bytes, with the identifiers of their 8-grams."""
+
+    gram, least = 8, 16
+
+    def __init__(self, column: pa.Array):
+        self.offsets, self.raw = spans(column)
+
+    def first(self, length: int) -> np.ndarray:
+        data = np.concatenate([self.raw, np.zeros(2 * length + 16, np.uint8)])
+        return np.ndarray(len(self.raw) + 2 * length, "<u8", data, strides=(1,)).copy()
+
+    def places(self, k: int, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of text ``k`` from a position to before another one."""
+        return first, after
+
+
+class Words:
+    """The positions of texts: their words, with the hashes of these."""
+
+    gram, least = 1, 4
+
+    def __init__(self, column: pa.Array):
+        self.at, self.raw = spans(column)
+        inside = np.append(~_SPACE[self.raw], False)
+        before = np.concatenate([[False], inside[:-1]])
+        before[self.at] = False
+        self.begin = np.flatnonzero(inside & ~before)
+        cut = inside.copy()
+        cut[self.at[self.at > 0] - 1] = False  # a text ends its last word
+        ends = np.flatnonzero(inside[:-1] & (~inside[1:] | ~cut[:-1])) + 1
+        self.end = ends
+        self.offsets = np.searchsorted(self.begin, self.at)
+
+    def first(self, length: int) -> np.ndarray:
+        data, digest = self.raw.tobytes(), xxhash.xxh64_intdigest
+        hashes = np.fromiter((digest(data[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist())),
+                             np.uint64, len(self.begin))
+        return np.concatenate([hashes, np.zeros(2 * length, np.uint64)])
+
+    def places(self, k: int, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = self.offsets[k]
+        return self.begin[words + first] - self.at[k], self.end[words + after - 1] - self.at[k]
+
+
+UNITS = {"bytes": Bytes, "words": Words}
+
+
+def identifiers(text: Bytes | Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket identifiers of all positions for twice the first gram and for ``length``.
 
     Positions less than that before the end of a text get numbers without a meaning.
     """
-    data = np.concatenate([raw, np.zeros(2 * length + 16, np.uint8)])
-    ids: np.ndarray = np.ndarray(len(raw) + 2 * length, "<u8", data, strides=(1,)).copy()
-    at, seed = 8, None
+    ids, at, seed, n = text.first(length), text.gram, None, text.offsets[-1]
     while at < length:
         step = min(at, length - at)
         ids = refine(ids[:-step], ids[step:])
         at += step
         seed = ids if seed is None else seed
-    return (ids if seed is None else seed)[:len(raw)], ids
+    return (ids if seed is None else seed)[:n], ids
 
 
 def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -73,15 +127,15 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def anchors(offsets: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(text: Bytes | Words, length: int) -> tuple[np.ndarray, ...]:
     """Runs of positions with the same anchor: text, first position in it, how many, and the
     anchor's identifier at half the length."""
-    half = length // 2
+    half, offsets = length // 2, text.offsets
     sizes = np.diff(offsets)
     strings = np.maximum(0, sizes - length + 1)
     if not strings.any():
         return tuple(np.empty(0, np.int64) for _ in range(4))
-    seed, ids = identifiers(raw, half)
+    seed, ids = identifiers(text, half)
     least = (seed & _HIGH) | np.arange(len(seed), dtype=np.uint64)
     width, wide = 1, half + 1
     while width < wide:
@@ -128,30 +182,30 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(_at(batch, name)).to_numpy(zero_copy_only=False)
 
 
-def _find_anchors(length: int):
+def _find_anchors(length: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _at(batch, "text")):
-                doc, first, n, key = anchors(*spans(part.column(_at(part, "text"))), length)
+                doc, first, n, key = anchors(UNITS[unit](part.column(_at(part, "text"))), length)
                 if len(doc):
                     yield _batch(ANCHORS, _numbers(part, "h1")[doc], _numbers(part, "h2")[doc], first, n, key)
     return run
 
 
-def _refine_runs(length: int):
+def _refine_runs(length: int, unit: str):
     """Identifiers at the whole length for the runs whose anchors share a bucket."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _at(batch, "text")):
-                offsets, raw = spans(part.column(_at(part, "text")))
+                text = UNITS[unit](part.column(_at(part, "text")))
                 runs = part.column(_at(part, "runs"))
                 each = np.diff(runs.offsets.to_numpy())
                 first, n, key, salts = (f.to_numpy(zero_copy_only=False) for f in runs.flatten().flatten())
                 doc = np.repeat(np.arange(part.num_rows), each)
-                _, ids = identifiers(raw, half)
-                at = ranges(offsets[doc] + first, n)
+                _, ids = identifiers(text, half)
+                at = ranges(text.offsets[doc] + first, n)
                 full = refine(ids[at], ids[at + half])
                 ends = np.concatenate([[0], np.cumsum(8 * n.astype(np.int64))]).astype(np.int32)
                 blob = pa.Array.from_buffers(
@@ -217,10 +271,18 @@ def _sort(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(FOUND, h1[of], h2[of], at, at, key[of], ids[open_])
 
 
-def _cut(length: int):
+def _removed(part: pa.RecordBatch, found: list, kept: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        part.column(_at(part, "h1")), part.column(_at(part, "h2")),
+        pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        pa.array(kept, pa.binary())], names=CHANGED.names)
+
+
+def _cut(length: int, unit: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, _at(batch, "text")):
+                text = UNITS[unit](part.column(_at(part, "text")))
                 offsets, raw = spans(part.column(_at(part, "text")))
                 runs = part.column(_at(part, "runs"))
                 at = runs.offsets.to_numpy()
@@ -233,16 +295,32 @@ def _cut(length: int):
                     a, b = a[order], np.maximum.accumulate(b[order])
                     new = np.concatenate([[True], a[1:] > b[:-1]])
                     a, b = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)]
-                    text = raw[offsets[k]:offsets[k + 1]]
-                    gone = np.zeros(len(text) + 1, np.int8)
+                    a, b = text.places(k, a, b)
+                    held = raw[offsets[k]:offsets[k + 1]]
+                    gone = np.zeros(len(held) + 1, np.int8)
                     gone[a] += 1
                     gone[b] -= 1
-                    kept.append(text[np.cumsum(gone[:-1]) == 0].tobytes())
+                    kept.append(held[np.cumsum(gone[:-1]) == 0].tobytes())
                     found.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b)])
-                yield pa.RecordBatch.from_arrays([
-                    part.column(_at(part, "h1")), part.column(_at(part, "h2")),
-                    pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array(kept, pa.binary())], names=CHANGED.names)
+                yield _removed(part, found, kept)
+    return run
+
+
+def _cut_copies(length: int, unit: str):
+    """Of texts with copies all goes, but for white space around the words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, _at(batch, "text")):
+                text = UNITS[unit](part.column(_at(part, "text")))
+                offsets, raw = spans(part.column(_at(part, "text")))
+                long = np.flatnonzero(np.diff(text.offsets) >= length)
+                found, kept = [], []
+                for k in long.tolist():
+                    (a,), (b,) = text.places(k, np.array([0]), np.array([text.offsets[k + 1] - text.offsets[k]]))
+                    held = raw[offsets[k]:offsets[k + 1]].tobytes()
+                    found.append([{"start": int(a), "end": int(b)}])
+                    kept.append(held[:a] + held[b:])
+                yield _removed(part.take(pa.array(long)), found, kept)
     return run
 
 
@@ -258,18 +336,20 @@ def _texts(source: DataFrame, scratch: Scratch) -> DataFrame:
     return spark.table(name)
 
 
-def find_repeats(source: DataFrame, length: int) -> DataFrame:
+def find_repeats(source: DataFrame, length: int, unit: str = "bytes") -> DataFrame:
     """``h1``, ``h2``, ``spans`` and ``kept`` of every different text that loses bytes."""
     prepare(source.sparkSession)
     with Scratch(source.sparkSession) as scratch:
         texts = _texts(source, scratch)
-        found = staged(texts.select("text", "h1", "h2").mapInArrow(_find_anchors(length), ANCHORS), "anchors", scratch)
+        found = staged(texts.select("text", "h1", "h2").mapInArrow(
+            _find_anchors(length, unit), ANCHORS), "anchors", scratch)
         # written, so that the rows of a hot key are on the side of a join that can be split
         shared = staged(found.groupBy("key").count().where("count > 1").select(
             "key", F.ceil(F.col("count") / TOGETHER).cast("int").alias("salts")), "shared", scratch)
         runs = found.join(shared, "key").groupBy("h1", "h2").agg(
             F.collect_list(F.struct("first", "n", "key", "salts")).alias("runs"))
-        refined = texts.select("text", "h1", "h2").join(runs, ["h1", "h2"]).mapInArrow(_refine_runs(length), RUNS)
+        refined = texts.select("text", "h1", "h2").join(runs, ["h1", "h2"]).mapInArrow(
+            _refine_runs(length, unit), RUNS)
         parts = refined.repartition(F.col("key"), F.col("salt")).sortWithinPartitions("key", "salt")
         ordered = staged(parts.mapInArrow(_sort_runs, FOUND), "repeats", scratch)
         across = Window.partitionBy("key", "id")
@@ -279,34 +359,38 @@ def find_repeats(source: DataFrame, length: int) -> DataFrame:
         places = twice.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
         copied = (F.col("copies") > 1) & (F.octet_length("text") >= length)
         some = texts.where(~copied).select("text", "h1", "h2").join(places, ["h1", "h2"]).mapInArrow(
-            _cut(length), CHANGED)
-        whole = texts.where(copied).select(
-            "h1", "h2",
-            F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end"))).alias("spans"),
-            F.lit(b"").alias("kept"))
+            _cut(length, unit), CHANGED)
+        whole = texts.where(copied).select("text", "h1", "h2").mapInArrow(_cut_copies(length, unit), CHANGED)
         return staged(some.unionByName(whole), "changed")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", length: int | None = None, unit: str = "bytes",
+) -> DataFrame:
     """``docs`` without the bytes of repeated strings.
 
     Texts are UTF-8 bytes (null: empty). Adds ``spans``, the maximal runs of removed bytes (from
     ``start`` to before ``end``), and ``kept``, the bytes that remain, joined. A byte goes if it
     lies in a string of ``length`` bytes that starts a second time anywhere, be it in the same
     text, overlapping itself, or in a copy. Strings never reach from one text into the next, and
-    are judged on the texts as given. ``length`` is even and at least 16.
+    are judged on the texts as given. ``length`` is even and at least 16 (or 4 words).
+
+    With ``unit="words"``, ``length`` counts words between ASCII white space, whatever that space
+    is. Words of such strings go, and the space between two words that go. By default strings
+    have 400 bytes or 50 words.
 
     Texts shorter than ``length`` keep all bytes, so empty texts and tables are no special case.
     Rows are told apart by nothing: copies and repeated ids all count. Older columns of these
     names are replaced. Equality is that of two 64-bit identifiers of the string, at half and at
     the whole length; texts are the same if two 64-bit hashes are.
     """
-    if length < 16 or length % 2:
-        raise ValueError("length must be even and at least 16")
+    length = length or {"bytes": LENGTH, "words": WORDS}[unit]
+    if length < UNITS[unit].least or length % 2:
+        raise ValueError(f"length must be even and at least {UNITS[unit].least}")
     keep = others(docs, ["spans", "kept"])
     raw = F.coalesce(F.col(quoted(text)), F.lit(""))
     hashes = [F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2")]
-    changed = find_repeats(docs.select(raw.alias("text"), *hashes), length)
+    changed = find_repeats(docs.select(raw.alias("text"), *hashes), length, unit)
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in keep]).alias("row"), raw.alias("text"), *hashes)
     joined = rows.join(changed, ["h1", "h2"], "left")
     return joined.select(
