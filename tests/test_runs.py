@@ -163,3 +163,29 @@ def test_folds_do_not_depend_on_the_age_of_the_layout(log):
     old = measure(log.where("event_id % 10 = 0"), rows_per_run=20)
     want = rows_of_spark(rep.hash_chain(log, Layout("user_id"), fan=4))
     assert rows_of_spark(rep.hash_chain(log, old, fan=4)) == want
+
+
+def test_disorder_with_one_arrival_for_a_third_and_none_for_some(spark):
+    import random
+
+    from tideline.operators import out_of_order_audit
+    from tideline.operators.ordered import RangedRuns, ranged, ranged_runs
+
+    rng = random.Random(4)
+    rows = [(k if k % 7 else None, rng.randint(0, 10 ** 6), rng.choice([None, 5, 5, rng.randint(0, 99)])) for k in range(900)]
+    rows += [(1, 77, 5)] * 400  # equal rows, too
+    df = spark.createDataFrame(rows, "event_id long, ts_us long, arrival long").selectExpr(
+        "*", "1L as user_id", "cast(timestamp_micros(ts_us) as timestamp_ntz) as ts").repartition(5)
+    order = sorted(rows, key=lambda r: tuple((x is not None, x or 0) for x in (r[2], r[0], r[1])))
+    want, top = [], None
+    for event_id, ts_us, arrival in order:
+        if top is not None and ts_us < top:
+            want.append((event_id or -1, arrival or -1, top - ts_us, top - ts_us > 500_000))
+        top = ts_us if top is None else max(top, ts_us)
+    for size in (100_000, 100):
+        got = out_of_order_audit(df, lateness=500_000, rows_per_run=size)
+        assert sorted((r.event_id or -1, r.arrival or -1, r.late_us, r.beyond_lateness) for r in got.collect()) == sorted(want)
+    layout = ranged(df, 100)
+    assert layout == RangedRuns(26) and ranged(df, 10_000).flat
+    sizes = [r["count"] for r in ranged_runs(df, layout, ["arrival", "event_id", "ts_us"]).groupBy("_run").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 200

@@ -4,12 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from compare import rows_of_spark
-from tideline.operators import normalise as norm, timeline as tl
+from tideline.operators import Layout, normalise as norm, replay_running_state, timeline as tl
 from tideline.sources import idempotent_sink, read_batches, read_events, read_events_stream
 from tideline.streaming import (LateRows, deliver, drain, drain_batches, stream_dedupe,
                                 stream_error_rate, stream_error_recovery,
-                                stream_replay_state)
-from tideline.streaming.live import first_recovery
+                                stream_period_state, stream_replay_state)
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,11 +61,74 @@ def test_state_goes_on_after_a_restart(spark, tmp_path):
     events, root, path = read_events(spark, SF), str(tmp_path / "in"), str(tmp_path / "out")
     for number in (0, 1):
         deliver(events, "day(ts) div 16", root, number)
-        got = drain(stream_replay_state(arrivals(spark, root)), path)[0]
-    want = drain(stream_replay_state(read_events_stream(spark, f"{SF}/events.parquet")))[0]
+        got = drain(stream_period_state(arrivals(spark, root)), path)[0]
+    want = drain(stream_period_state(read_events_stream(spark, f"{SF}/events.parquet")))[0]
     assert rows_of_spark(got) == rows_of_spark(want)
 
 
+CLOSING = "2024-03-01 00:00:00"
+
+
+def disordered(spark, tmp_path, build):
+    """The log in five deliveries, up to three days out of order, and an event that closes it all.
+    The result, the log, and the checkpoint."""
+    events, root, path = read_events(spark, SF), str(tmp_path / "in"), str(tmp_path / "out")
+    late = F.pmod(F.xxhash64("event_id"), F.lit(3)).cast("int")
+    arrives = F.greatest(F.lit(0), F.least(F.lit(4), F.floor((F.dayofmonth("ts") + late) / 7))).cast("int")
+    events = events.withColumn("part", arrives).withColumn("event_id", F.expr("if(event_id % 50 = 3, null, event_id)"))
+    out = None
+    for number in range(5):
+        deliver(events.where(F.col("part") == number).drop("part"), "0", f"{root}/{number}", 0)
+        out = drain(build(read_events_stream(spark, f"{root}/*/delivery-*", glob="*.parquet")), path)[0]
+    last = events.limit(1).drop("part").withColumns({
+        "ts": F.expr(f"timestamp_ntz'{CLOSING}'"), "user_id": F.lit(-1).cast("long"), "event_type": F.lit("error")})
+    deliver(last, "0", f"{root}/5", 0)
+    out = drain(build(read_events_stream(spark, f"{root}/*/delivery-*", glob="*.parquet")), path)[0]
+    return out, norm.canonical_events(events), f"{path}/checkpoint"
+
+
+def waiting(spark, checkpoint):
+    """Timers and waiting rows in the state store, by user."""
+    timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(checkpoint)
+    rows = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    return [[r[0] for r in df.select("key.user_id").distinct().collect()] for df in (timers, rows)]
+
+
+def test_disordered_events_are_replayed_in_order(spark, tmp_path):
+    out, log, checkpoint = disordered(spark, tmp_path, lambda s: stream_replay_state(s, "4 days"))
+    want = replay_running_state(log, Layout("user_id"))
+    assert rows_of_spark(out) == rows_of_spark(want.select(*out.columns))
+    assert waiting(spark, checkpoint) == [[-1], [-1]]
+
+
+def test_disordered_recoveries_are_found(spark, tmp_path):
+    out, log, checkpoint = disordered(spark, tmp_path, lambda s: stream_error_recovery(s, "20 hours", "4 days"))
+    errors = log.where("kind = 'error'").select("user_id", "ts").distinct()
+    calm = log.where("kind <> 'error'").select(F.col("user_id").alias("u"), F.col("ts").alias("t"))
+    reach = F.col("ts") + F.expr("interval 20 hours")
+    want = errors.join(calm, (F.col("u") == F.col("user_id")) & (F.col("t") > F.col("ts")) & (F.col("t") <= reach), "left").groupBy(
+        "user_id", F.col("ts").alias("error_ts")).agg(F.min("t").alias("recovered_ts"))
+    assert rows_of_spark(out) == rows_of_spark(want)
+    assert waiting(spark, checkpoint) == [[-1], [-1]]
+
+
+def test_missing_times_users_and_amounts(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", None, "view", 2.0), (2, "2024-01-01 00:00:01", None, None, None),
+            (3, None, 5, "view", 1.0), (None, "2024-01-01 00:00:01", None, "error", 1.0), (4, "2024-01-02 00:00:00", 5, "view", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "'{}' props").write.parquet(
+        str(tmp_path / "events.parquet"))
+    out = drain(stream_replay_state(read_events_stream(spark, str(tmp_path / "events.parquet"))))[0]
+    assert sorted([(r.n, r.event_id, float(r.amount), r.last_kind, r.user_id) for r in out.collect()]) == [
+        (1, 1, 2.0, "view", None), (2, None, 3.0, "error", None), (3, 2, 3.0, None, None)]
+
+
+def test_a_count_of_late_rows_that_is_not_complete_fails(spark):
+    with pytest.raises(TimeoutError):
+        with LateRows(spark, timeout=0.1) as late:
+            late._open = 1
+
+
 def test_dedupe_drops_copies_across_deliveries(spark, tmp_path):
     events, root = read_events(spark, SF).where("event_id < 20"), str(tmp_path / "in")
     nameless = events.limit(3).withColumn("event_id", F.lit(None).cast("long"))
@@ -110,6 +172,6 @@ def test_recovery_is_found_per_error(spark, tmp_path):
     df.write.parquet(str(tmp_path / "events.parquet"))
     stream = read_events_stream(spark, str(tmp_path / "events.parquet"))
     got = sorted((r.user_id, str(r.error_ts)[11:], r.recovered_ts and str(r.recovered_ts)[11:])
-                 for r in first_recovery(drain(stream_error_recovery(stream))[0]).collect())
+                 for r in drain(stream_error_recovery(stream))[0].collect())
     assert got == [(1, "00:01:05", "00:01:05.500000"), (1, "00:01:20", "00:20:00"), (1, "00:01:40", "00:20:00"),
                    (2, "00:30:00", None), (3, "00:00:00", None)]

@@ -6,8 +6,9 @@ from tideline.operators.normalise import (canonical_events, dedupe_events, dupli
                                           enrich_entity, out_of_order_audit, replay_slice,
                                           sequence_gaps, total_order)
 from tideline.operators.ordered import Layout, measure
-from tideline.operators.recovery import (recover_state, recovery_point, repair_log, snapshot_at,
-                                         snapshots, tail_events)
+from tideline.operators.recovery import (cuts, extend_cuts, read_cut, recover_state, recovery_point,
+                                         repair_log, snapshot_at, snapshots, state_at, tail_events,
+                                         withdraw_cuts)
 from tideline.operators.replay import (error_streaks, fold_events, fold_events_py, hash_chain,
                                        replay_as_of, replay_final_state, replay_running_state)
 from tideline.operators.sweep import (concurrent_incidents, merge_overlapping,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.functions import bucket_start, micros, micros_of
-from tideline.operators.ordered import FixedRuns, Layout, Scan, scan
+from tideline.operators.ordered import ROWS_PER_RUN, FixedRuns, Layout, Scan, ranged, scan
 
 # The kinds of event in the log.
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -45,16 +45,17 @@ def total_order(df: DataFrame, layout: Layout, entity: str = "user_id") -> DataF
     return scan(df, [entity], ORDER, {"seq": Scan("sum", F.lit(1).cast("long"))}, layout)
 
 
-def out_of_order_audit(df: DataFrame, arrival: str = "arrival",
-                       lateness: str = "1 hour") -> DataFrame:
+def out_of_order_audit(df: DataFrame, arrival: str = "arrival", lateness: str = "1 hour",
+                       rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """Events older than one that arrived before them, and by how much.
 
-    The running maximum is global. Arrival numbers are dense, so runs of them have a known
-    size, and only one row per run goes through the unpartitioned window of the carry.
+    ``arrival`` is a number or a time of any distribution: missing, tied and clustered values are
+    as good as others. Rows without one come first; of one arrival, ``event_id`` and then the time
+    of the event decide. The running maximum is global: a log of more than ``rows_per_run`` rows
+    is cut into sampled ranges, and one row per range goes through an unpartitioned window.
     """
-    out = scan(df, [], [arrival, "event_id"],
-               {"max_us": Scan("max", F.col("ts_us"), inclusive=False)},
-               FixedRuns(arrival, SEQUENCE_RUN))
+    out = scan(df, [], [arrival, "event_id", "ts_us"],
+               {"max_us": Scan("max", F.col("ts_us"), inclusive=False)}, ranged(df, rows_per_run))
     late = F.col("max_us") - F.col("ts_us")
     return out.where("ts_us < max_us").select(
         "event_id", "user_id", "ts", arrival, late.alias("late_us"),

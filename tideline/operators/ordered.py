@@ -46,6 +46,18 @@ class FixedRuns:
     flat: bool = False
 
 
+@dataclass(frozen=True)
+class RangedRuns:
+    """So many runs of the whole log, without a key, by ranges sampled from its order. Rows that
+    are equal in the order are told apart by a number, so that not even these make a run large."""
+
+    runs: int
+
+    @property
+    def flat(self) -> bool:
+        return self.runs <= 1
+
+
 @dataclass(frozen=True)
 class Scan:
     """A running value: ``kind`` is sum, max, min or last (last non-null value)."""
@@ -78,6 +90,19 @@ def hot_runs(df: DataFrame, layout: Layout, order: Sequence[str]) -> DataFrame:
     return stage(ranged.withColumn("_run", F.spark_partition_id().cast("long")), "runs")
 
 
+def ranged(df: DataFrame, rows_per_run: int = ROWS_PER_RUN) -> RangedRuns:
+    """Runs of about half of ``rows_per_run``, as ranges are sampled; one if that is enough."""
+    rows = df.count()
+    return RangedRuns(1 if rows <= rows_per_run else -(-2 * rows // rows_per_run))
+
+
+def ranged_runs(df: DataFrame, layout: RangedRuns, order: Sequence[str]) -> DataFrame:
+    """The rows with the number of their run, written so that numbers stay."""
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(
+        layout.runs, *order, "_tie")
+    return stage(dealt.drop("_tie").withColumn("_run", F.spark_partition_id().cast("long")), "runs")
+
+
 def _local(s: Scan, window) -> Column:
     frame = window.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
     if s.kind == "last":
@@ -103,11 +128,12 @@ def _merge(s: Scan, local: str, carry: str) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[str, Scan],
-         layout: Layout | FixedRuns, reverse: bool = False) -> DataFrame:
+         layout: Layout | FixedRuns | RangedRuns, reverse: bool = False) -> DataFrame:
     """Add the running values ``scans`` per ``keys`` in the total order ``order``.
 
     ``order`` must be unique within a key; nulls come first. With a :class:`Layout` the key is
-    the layout's, and ``df`` is read several times if there are hot keys.
+    the layout's, and ``df`` is read several times if there are hot keys. :class:`RangedRuns` are
+    for scans without a key.
     """
     def along(*names):
         return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
@@ -122,6 +148,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[s
                                                F.lit(-(1 << 63)).cast("long")))
     elif layout.flat:
         return flat(df)
+    elif isinstance(layout, RangedRuns):
+        cut = ranged_runs(df, layout, order)
     else:
         cut = hot_runs(df, layout, order)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -147,7 +175,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: dict[s
     joined = local.join(carry, [*group, "_run"], "left")
     out = joined.select(*df.columns, *[
         _merge(s, n, f"_c_{n}").cast(local.schema[n].dataType).alias(n) for n, s in scans.items()])
-    if isinstance(layout, FixedRuns):
+    if not isinstance(layout, Layout):
         return out
     return flat(_of_hot(df, layout, "left_anti")).unionByName(out)
 

@@ -6,6 +6,7 @@ Amounts and wide digests are returned as text, so that other engines can be comp
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -20,8 +21,7 @@ from tideline.operators import validate as val
 from tideline.operators.ordered import Layout, measure
 from tideline.session import configure, fresh_path, stage
 from tideline.sources import (idempotent_sink, observed_log, parse_quarantine, read_batches,
-                              read_dated, read_events, read_table, with_arrival, write_dated,
-                              write_timeline)
+                              read_events, read_table, with_arrival, write_dated, write_timeline)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 # Cut times and slices used by the queries and by their SQL.
 CUT = "2024-01-15 00:00:00"
 SLICE = ("2024-01-05 00:00:00", "2024-01-12 00:00:00")
+CUTS = ("2024-01-10 00:00:00", "2024-01-11 00:00:00", "2024-01-13 12:00:00")
 FAULTS_UNTIL = "2024-01-08 00:00:00"
 CHAIN_FAN = 64
 
@@ -72,16 +73,19 @@ def read_events_(spark, sf_dir):
     return read_events(configure(spark), sf_dir)
 
 
+def lines_of(raw: DataFrame) -> DataFrame:
+    json = F.to_json(F.struct("event_id", "ts", F.expr(
+        "if(event_id % 50 = 2, null, user_id)").alias("user_id"), "event_type", "value",
+        "props"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    return raw.select(F.when(F.col("event_id") % 50 == 1, F.substring(json, 1, 30))
+                      .otherwise(json).alias("line"))
+
+
 @query
 def parse_quarantine_(spark, sf_dir):
     """Events as JSON lines, every 50th cut short and every 50th without its entity."""
     raw = read_events(configure(spark), sf_dir)
-    json = F.to_json(F.struct("event_id", "ts", F.expr(
-        "if(event_id % 50 = 2, null, user_id)").alias("user_id"), "event_type", "value",
-        "props"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    lines = raw.select(F.when(F.col("event_id") % 50 == 1, F.substring(json, 1, 30))
-                       .otherwise(json).alias("line"))
-    good, bad = parse_quarantine(lines)
+    good, bad = parse_quarantine(lines_of(raw))
     return (good.select("event_id", F.lit("ok").alias("reason"))
             .unionByName(bad.select(
                 F.regexp_extract("line", '"event_id":([0-9]+)', 1).cast("long").alias("event_id"),
@@ -286,12 +290,10 @@ def snapshots(spark, sf_dir):
 
 
 def stored_recovery(spark, log: DataFrame, path: str) -> DataFrame:
-    """State recovered from the stored snapshots at the cut and the stored days after it."""
-    snaps = rec.snapshots(norm.replay_slice(log, end=CUT))
-    write_dated(snaps, f"{path}/snapshots", "cut_ts")
+    """State recovered from the stored cut and the stored days after it."""
     write_dated(log, f"{path}/log")
-    snapshot = rec.snapshot_at(read_dated(spark, f"{path}/snapshots", snaps.schema, "cut_ts"), CUT)
-    return rec.recover_state(snapshot, read_dated(spark, f"{path}/log", log.schema, start=CUT))
+    rec.extend_cuts(spark, f"{path}/cuts", f"{path}/log", log.schema, CUT)
+    return rec.state_at(spark, f"{path}/cuts", f"{path}/log", log.schema)
 
 
 @query
@@ -299,6 +301,19 @@ def recover_state(spark, sf_dir):
     return text(stored_recovery(spark, log_of(spark, sf_dir), fresh_path(spark, "stored")), "amount")
 
 
+@query
+def extended_snapshots(spark, sf_dir):
+    """Three cuts, each extended from the one before by the days in between, and their states."""
+    path, log = fresh_path(configure(spark), "stored"), log_of(spark, sf_dir)
+    write_dated(log, f"{path}/log")
+    out = []
+    for cut in CUTS:
+        rec.extend_cuts(spark, f"{path}/cuts", f"{path}/log", log.schema, cut)
+        out.append(rec.read_cut(spark, f"{path}/cuts", cut).withColumn(
+            "cut_ts", F.expr(f"timestamp_ntz'{cut}'")))
+    return text(reduce(DataFrame.unionByName, out), "amount")
+
+
 def points_of(spark, sf_dir):
     """Recovery to the start of each user's last incident."""
     log = log_of(spark, sf_dir)

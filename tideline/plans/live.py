@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.functions import bucket_start, from_micros
 from tideline.operators import timeline as tl
-from tideline.plans.catalog import log_of, observed_of, query, text
+from tideline.plans.catalog import lines_of, log_of, observed_of, query, text
 from tideline.session import configure, fresh_path
-from tideline.sources import read_events, read_events_stream, read_table
-from tideline.streaming import (deliver, drain, drain_batches, stream_dedupe, stream_enrich,
+from tideline.sources import (admitted, quarantined, read_events, read_events_stream, read_table,
+                              readmit)
+from tideline.streaming import (deliver, drain, drain_batches, drain_lines, stream_dedupe, stream_enrich,
                                 stream_error_rate, stream_error_recovery, stream_incidents,
-                                stream_replay_state)
-from tideline.streaming.live import first_recovery
+                                stream_period_state, stream_replay_state)
 
 HOUR = 3_600_000_000
 
@@ -79,9 +79,29 @@ def stream_dedupe_(spark, sf_dir):
 
 @query
 def stream_replay_state_(spark, sf_dir):
+    """State after every event that the watermark has passed."""
     return text(drain(stream_replay_state(stream_of(spark, sf_dir)))[0], "amount")
 
 
+@query
+def stream_period_state_(spark, sf_dir):
+    return text(drain(stream_period_state(stream_of(spark, sf_dir)))[0], "amount")
+
+
+@query
+def stream_quarantine(spark, sf_dir):
+    """The log as a text stream with broken lines; lines without a user are mended afterwards."""
+    root, path = fresh_path(configure(spark), "lines"), fresh_path(spark, "sorted")
+    lines_of(read_events(spark, sf_dir)).write.text(root)
+    lines = spark.readStream.text(root).withColumnRenamed("value", "line")
+    drain_lines(lines, path)
+    readmit(spark, f"{path}/data", lambda line: F.when(
+        ~line.contains('"user_id"'), F.regexp_replace(line, r"^\{", '{"user_id":-1,')).otherwise(line))
+    number = F.regexp_extract("line", '"event_id":([0-9]+)', 1).cast("long").alias("event_id")
+    return admitted(spark, f"{path}/data").select("event_id", "user_id", F.lit("ok").alias("reason")).unionByName(
+        quarantined(spark, f"{path}/data").select(number, F.lit(None).cast("long").alias("user_id"), "reason"))
+
+
 @query
 def stream_late_audit(spark, sf_dir):
     """Per hour: events in the log, events the stream counted, and events that came too late.
@@ -133,7 +153,7 @@ def stream_restart(spark, sf_dir):
 
 @query
 def stream_error_recovery_(spark, sf_dir):
-    return first_recovery(drain(stream_error_recovery(stream_of(spark, sf_dir)))[0])
+    return drain(stream_error_recovery(stream_of(spark, sf_dir)))[0]
 
 
 @query

@@ -3,7 +3,7 @@ plain windows and theta joins where the Spark side uses runs, cells and merges."
 
 from __future__ import annotations
 
-from tideline.plans.catalog import CHAIN_FAN, CUT, FAULTS_UNTIL, SLICE
+from tideline.plans.catalog import CHAIN_FAN, CUT, CUTS, FAULTS_UNTIL, SLICE
 
 EV = """ev as (
   select event_id, user_id, ts, epoch_us(ts) as ts_us, event_type as kind,
@@ -141,6 +141,10 @@ ORACLE: dict[str, str] = {
 select event_id, case event_id % 50 when 1 then 'not an event' when 2 then 'no user_id'
   else 'ok' end as reason from events""",
 
+    "stream_quarantine": """
+select event_id, case event_id % 50 when 1 then null when 2 then -1 else user_id end as user_id,
+  case event_id % 50 when 1 then 'not an event' else 'ok' end as reason from events""",
+
     "write_timeline": f"""with {TIMELINE}
 select cast(start_ts as date) as incident_date, user_id, incident_no, event_id,
   cast(amount as varchar) as amount, offset_us from tl""",
@@ -310,6 +314,10 @@ select user_id, {STATE} from ev where ts < timestamp '{CUT}' group by user_id"""
 
     "snapshots": f"with {EV}, {SNAPS} select * from snaps",
 
+    "extended_snapshots": " union all ".join(
+        f"(with {EV} select timestamp '{cut}' as cut_ts, user_id, {STATE} from ev "
+        f"where ts < timestamp '{cut}' group by user_id)" for cut in CUTS),
+
     "recover_state": f"with {EV} select user_id, {STATE} from ev group by user_id",
 
     "recovery_point": f"with {POINTS} select * from points",
@@ -445,7 +453,14 @@ where end_ts + interval '24 hours' <= (select max(ts) from ev where kind = 'erro
     "stream_dedupe": f"""with {OBS}
 select distinct event_id, user_id, kind as event_type, cast(amount as double) as value from obs""",
 
-    "stream_replay_state": f"""with {EV},
+    "stream_replay_state": f"""with {EV}
+select event_id, user_id, ts, row_number() over w as n,
+  cast(cast(sum(amount) over w as decimal(38,2)) as varchar) as amount, kind as last_kind
+from ev
+window w as (partition by user_id order by ts_us, event_id rows unbounded preceding)
+qualify ts <= date_trunc('millisecond', max(ts) over ()) - interval '1 hour'""",
+
+    "stream_period_state": f"""with {EV},
 cells as (
   select user_id, time_bucket(interval '1 hour', ts) + interval '1 hour' as cut_ts, count(*) as c,
          sum(amount) as s, arg_max(kind, (ts_us, event_id)) as last_kind,
@@ -485,17 +500,14 @@ having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
   <= (select max(ts) from ev) - interval '1 hour'""",
 
     "stream_error_recovery": f"""with {EV},
-w as (select max(ts) - interval '1 hour' as mark from ev),
-c as (select distinct user_id, ts, kind = 'error' as err,
-  time_bucket(interval '1 minute', ts) + interval '1 minute' as period_end from ev
-  where time_bucket(interval '1 minute', ts) + interval '1 minute' <= (select mark from w)),
-r as (select e.user_id, e.ts as error_ts, e.period_end, min(o.ts) as recovered_ts,
-  min(o.ts) filter (o.period_end > e.period_end) as later_ts
-  from c e left join c o on o.user_id = e.user_id and not o.err
+w as (select date_trunc('millisecond', max(ts)) - interval '1 hour' as mark from ev),
+e as (select distinct user_id, ts from ev where kind = 'error'),
+r as (select e.user_id, e.ts as error_ts, min(o.ts) as recovered_ts
+  from e left join ev o on o.user_id = e.user_id and o.kind <> 'error'
     and o.ts > e.ts and o.ts <= e.ts + interval '1 hour'
-  where e.err group by e.user_id, e.ts, e.period_end)
+  group by e.user_id, e.ts)
 select user_id, error_ts, recovered_ts from r
-where recovered_ts = later_ts or period_end + interval '61 minutes' <= (select mark from w)""",
+where coalesce(recovered_ts, error_ts + interval '1 hour') <= (select mark from w)""",
 
     "stream_enrich": """
 select event_id, user_id, ts, event_type, c_mktsegment as segment

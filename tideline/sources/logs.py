@@ -71,26 +71,30 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def parse_quarantine(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split JSON event lines (column ``line``) into parsed events and rejects with a reason.
-
-    Parsing is one projection; the two results are filters over it, so no line is lost.
-    """
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """JSON event lines (column ``line``) as events; where a line is none, its ``reason`` says why
+    and only ``line`` is of use. One row per line, with its other columns."""
     # Times are cast afterwards: the JSON reader's own timestamp parser is slow.
     shape = T.StructType([T.StructField(f.name, T.StringType() if f.name == "ts" else f.dataType)
                           for f in EVENTS.fields] + [T.StructField("_bad", T.StringType())])
     parse = F.from_json("line", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     # As a generator of one row, the parse is not copied into every condition below.
-    parsed = lines.select("line", F.explode(F.array(parse)).alias("e"))
+    parsed = lines.select("*", F.explode(F.array(parse)).alias("e"))
     ts = F.col("e.ts").try_cast("timestamp_ntz")
     reason = (F.when(F.col("line").isNull(), "empty line")
               .when(F.col("e").isNull() | F.col("e._bad").isNotNull(), "not an event")
               .when(F.col("e.event_id").isNull(), "no event_id")
               .when(F.col("e.user_id").isNull(), "no user_id")
               .when(ts.isNull(), "no ts"))
-    parsed = parsed.withColumn("reason", reason)
-    good = parsed.where("reason is null").withColumn("_ts", ts).select(
-        *[F.col("_ts" if f.name == "ts" else f"e.{f.name}").alias(f.name)
-          for f in EVENTS.fields])
-    bad = parsed.where("reason is not null").select("line", "reason")
-    return good, bad
+    return parsed.select(*lines.columns, reason.alias("reason"), *[
+        (ts if f.name == "ts" else F.col(f"e.{f.name}")).alias(f.name) for f in EVENTS.fields])
+
+
+def parse_quarantine(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split JSON event lines (column ``line``) into parsed events and rejects with a reason.
+
+    Parsing is one projection; the two results are filters over it, so no line is lost.
+    """
+    parsed = parse_lines(lines)
+    good = parsed.where("reason is null").select(*EVENTS.names)
+    return good, parsed.where("reason is not null").select("line", "reason")

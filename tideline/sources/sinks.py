@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tideline.sources.versions import publish, read_published
+
 
 def write_timeline(df: DataFrame, path: str) -> None:
     """Timeline as Parquet by incident start day. Days not in ``df`` are left as they are.
@@ -44,11 +46,13 @@ def read_dated(spark: SparkSession, path: str, schema: T.StructType, time: str =
 
 
 def idempotent_sink(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch to its own folder; a retry replaces it instead of adding to it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    """Write one micro-batch as a version of its own; a retry replaces it instead of adding to it.
+
+    Readers see the last attempt that was finished, whole, whatever becomes of a later one.
+    """
+    publish(df, path, f"batch-{batch_id}")
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All batches written by :func:`idempotent_sink` under ``path``."""
-    full = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
-    return (spark.read.schema(full).option("basePath", path).parquet(path).drop("batch_id"))
+    return read_published(spark, path, schema)

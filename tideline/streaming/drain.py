@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tideline.session import fresh_path
-from tideline.sources import idempotent_sink, read_batches
+from tideline.sources import idempotent_sink, read_batches, store_lines
 
 
 def drain(out: DataFrame, path: str | None = None) -> tuple[DataFrame, StreamingQuery]:
@@ -40,6 +40,14 @@ def drain_batches(out: DataFrame, path: str, before_commit=None) -> DataFrame:
     return read_batches(spark, f"{path}/data", out.schema)
 
 
+def drain_lines(lines: DataFrame, path: str) -> None:
+    """Sort the lines of a text stream (column ``line``) into events and quarantine under ``path``;
+    a later call resumes where this one ended."""
+    (lines.writeStream.foreachBatch(lambda df, batch_id: store_lines(df, batch_id, f"{path}/data"))
+     .option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+
+
 def deliver(events: DataFrame, part: str, root: str, number: int) -> None:
     """Write the events of one delivery where a file stream over ``root`` finds them."""
     (events.where(F.expr(part) == number).write.parquet(f"{root}/delivery-{number}"))
@@ -49,11 +57,12 @@ class LateRows(StreamingQueryListener):
     """Counts the rows (after map-side aggregation) that stateful operators dropped as too late.
 
     Listens to every batch of all queries started inside the ``with`` block, however many there
-    are. ``dropped`` is complete once the block is left.
+    are. ``dropped`` is complete once the block is left; leaving it fails if a query has not
+    reported its end after ``timeout`` seconds.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.dropped = spark, 0
+    def __init__(self, spark: SparkSession, timeout: float = 60):
+        self.spark, self.dropped, self.timeout = spark, 0, timeout
         self._open, self._ended = 0, threading.Condition()
 
     def onQueryStarted(self, event) -> None:
@@ -75,7 +84,9 @@ class LateRows(StreamingQueryListener):
         self.spark.streams.addListener(self)
         return self
 
-    def __exit__(self, *_) -> None:
+    def __exit__(self, kind, *_) -> None:
         with self._ended:
-            self._ended.wait_for(lambda: self._open == 0, timeout=60)
+            ended = self._ended.wait_for(lambda: self._open == 0, timeout=self.timeout)
         self.spark.streams.removeListener(self)
+        if not ended and kind is None:
+            raise TimeoutError(f"{self._open} queries have not ended; the count is not complete")

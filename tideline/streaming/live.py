@@ -9,12 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tideline.functions import micros
-
 SALTS = 64
 
 
@@ -63,7 +60,7 @@ def stream_dedupe(stream: DataFrame, delay: str = "1 hour", salts: int = SALTS)
     return first.unionByName(marked.where("event_id is null"))
 
 
-def stream_replay_state(stream: DataFrame, every: str = "1 hour",
+def stream_period_state(stream: DataFrame, every: str = "1 hour",
                         delay: str = "1 hour") -> DataFrame:
     """State of every user after each closed period in which it had an event, in order.
 
@@ -116,60 +113,6 @@ def _running_totals():
     return RunningTotals()
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([
-    T.StructField("error_us", T.LongType()), T.StructField("calm_us", T.LongType())])))
-def _next_calm(errors: pd.Series, calm: pd.Series) -> pd.Series:
-    """Every error time of a cell with the next calm time in it, if there is one."""
-    out = []
-    for e, c in zip(errors, calm):
-        e, c = np.sort(np.asarray(e, np.int64)), np.sort(np.asarray(c, np.int64))
-        at = np.searchsorted(c, e, "right")
-        out.append([{"error_us": int(x), "calm_us": int(c[k]) if k < len(c) else None}
-                    for x, k in zip(e, at)])
-    return pd.Series(out)
-
-
-def stream_error_recovery(stream: DataFrame, within: str = "1 hour", period: str = "1 minute",
-                          delay: str = "1 hour") -> DataFrame:
-    """The times at which a user had errors, each with the next other event of the user, if that
-    comes at most ``within`` later. Times without one are kept.
-
-    A join of single events would write out every pair of a busy user. Events are reduced to the
-    distinct times per (user, period); within a period the next calm time is read off directly,
-    and errors without one meet the first calm times of at most ``within / period`` later periods
-    (see ``first_recovery`` for the earliest of them). A row without a later match appears once
-    the watermark is past its period plus ``within`` plus ``period``.
-    """
-    us = F.unix_micros("ts")
-
-    def cells():
-        return (stream.withWatermark("ts", delay).groupBy(F.window("ts", period).alias("w"), "user_id")
-                .agg(F.collect_set(F.when(_is_error(), us)).alias("errors"),
-                     F.collect_set(F.when(~_is_error(), us)).alias("calm")))
-
-    errors = cells().where(F.size("errors") > 0).select(
-        F.col("user_id").alias("error_user"), F.window_time("w").alias("error_time"),
-        F.explode(_next_calm("errors", "calm")).alias("e"))
-    calm = cells().where(F.size("calm") > 0).select(
-        F.col("user_id").alias("calm_user"), F.window_time("w").alias("calm_time"),
-        F.array_min("calm").alias("first_us"))
-    reach = F.expr(f"interval {(micros(within) + micros(period)) // 1_000_000} seconds")
-    out = errors.join(calm, (F.col("error_user") == F.col("calm_user"))
-                      & (F.col("calm_time") > F.col("error_time"))
-                      & (F.col("calm_time") <= F.col("error_time") + reach)
-                      & F.col("e.calm_us").isNull()
-                      & (F.col("first_us") <= F.col("e.error_us") + micros(within)), "left_outer")
-    out = out.select(F.col("error_user").alias("user_id"),
-                     F.timestamp_micros("e.error_us").alias("error_ts"),
-                     F.timestamp_micros(F.coalesce("e.calm_us", "first_us")).alias("recovered_ts"))
-    return _ntz(out, "error_ts", "recovered_ts")
-
-
-def first_recovery(pairs: DataFrame) -> DataFrame:
-    """The recovery of each error time from the output of :func:`stream_error_recovery`."""
-    return pairs.groupBy("user_id", "error_ts").agg(F.min("recovered_ts").alias("recovered_ts"))
-
-
 def stream_enrich(stream: DataFrame, customer: DataFrame, salts: int = 16) -> DataFrame:
     """Attach the segment of the entity; unknown entities are kept.
 
