@@ -19,6 +19,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 WITHDRAWN = "none"
+# Folders are named as partitions, so that versions with partitions of their own read as one table.
+KEYS = ("version_part", "version_attempt")
 
 
 def _files(spark: SparkSession, path: str):
@@ -46,12 +48,16 @@ def _mark(spark: SparkSession, path: str, part: str, attempt: str) -> None:
     fs.create(at, False).close()
 
 
+def _folder(path: str, part: str, attempt: str) -> str:
+    return f"{path}/attempts/{KEYS[0]}={part}/{KEYS[1]}={attempt}"
+
+
 def publish(df: DataFrame, path: str, part: str, by: Sequence[str] = ()) -> None:
     """Write ``df`` as the version of ``part`` that readers see from now on, in folders by ``by``."""
     if "~" in part or "/" in part:
         raise ValueError("a part's name is part of a file's name")
     attempt = uuid.uuid4().hex
-    df.write.partitionBy(*by).parquet(f"{path}/attempts/{part}/{attempt}")
+    df.write.partitionBy(*by).parquet(_folder(path, part, attempt))
     _mark(df.sparkSession, path, part, attempt)
 
 
@@ -70,8 +76,11 @@ def read_published(spark: SparkSession, path: str, schema: T.StructType,
     """The versions in force of ``parts``, or of all parts. Only their folders are listed."""
     there = versions(spark, path)
     wanted = there if parts is None else [p for p in parts if p in there]
-    folders = [f"{path}/attempts/{p}/{there[p][1]}" for p in wanted if there[p][1] != WITHDRAWN]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    folders = [_folder(path, p, there[p][1]) for p in wanted if there[p][1] != WITHDRAWN]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    full = T.StructType([*schema.fields, *[T.StructField(k, T.StringType()) for k in KEYS]])
+    return spark.read.schema(full).option("basePath", f"{path}/attempts").parquet(*folders).drop(*KEYS)
 
 
 def clean(spark: SparkSession, path: str) -> int:
@@ -80,7 +89,7 @@ def clean(spark: SparkSession, path: str) -> int:
     there, gone = versions(spark, path), 0
     for part in _names(spark, f"{path}/attempts"):
         for attempt in _names(spark, f"{path}/attempts/{part}"):
-            if there.get(part, (0, ""))[1] != attempt:
+            if there.get(part.split("=")[1], (0, ""))[1] != attempt.split("=")[1]:
                 fs, at = _files(spark, f"{path}/attempts/{part}/{attempt}")
                 fs.delete(at, True)
                 gone += 1
