@@ -1,5 +1,6 @@
 """DataFrame-to-DataFrame operators on the canonical log."""
 
+from tideline.operators.failures import fail_first_attempts
 from tideline.operators.incidents import (detect_incidents, incident_sessions,
                                           recovery_percentiles, time_to_recovery, worst_incidents)
 from tideline.operators.normalise import (canonical_events, dedupe_events, duplicate_report,
@@ -17,6 +18,7 @@ from tideline.operators.timeline import (daily_rollup, error_burst, error_rate_s
                                          error_rate_tumbling, event_transitions, incident_path,
                                          incident_summary, incident_timeline, precursor_event,
                                          state_spans, timeline_grid)
+from tideline.operators.tree import compare_trees, store_tree, tree_diff
 from tideline.operators.validate import (bucket_digest_diff, bucket_digests, compare_states,
                                          determinism_check, first_divergence, idempotence_check,
                                          invariant_report, log_diff, multiset_digest,

@@ -34,10 +34,10 @@ def dedupe_events(df: DataFrame, key: str = "event_id",
     sends at most one row per key, however many copies of it there are. With an arrival column
     in ``order``, the copy that came first stays.
     """
-    window = Window.partitionBy(key).orderBy(*order)
-    first = (df.where(F.col(key).isNotNull()).withColumn("_rank", F.row_number().over(window))
-             .where("_rank = 1").drop("_rank"))
-    return first.unionByName(df.where(F.col(key).isNull()))
+    numbered = df.withColumn("_nameless", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    window = Window.partitionBy(key, "_nameless").orderBy(*order)
+    return (numbered.withColumn("_rank", F.row_number().over(window)).where("_rank = 1")
+            .drop("_rank", "_nameless"))
 
 
 def total_order(df: DataFrame, layout: Layout, entity: str = "user_id") -> DataFrame:

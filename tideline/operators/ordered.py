@@ -68,14 +68,14 @@ class Scan:
 
 
 def measure(df: DataFrame, key: str = "user_id", rows_per_run: int = ROWS_PER_RUN) -> Layout:
-    """Measure a log: rows per key, counted map-side over one column. The driver gets one row.
+    """Measure a log: rows per key, counted map-side over one column. The driver gets one row, and
+    keys are written only if some are hot.
 
     Ranges are sampled, so runs are planned at half of ``rows_per_run``.
     """
-    per_key = df.groupBy(key).agg(F.count("*").alias("n"))
-    hot = stage(per_key.where(F.col("n") > rows_per_run), "hot-keys")
-    rows = hot.agg(F.sum("n")).first()[0]
-    return Layout(key, hot.select(key), -(-2 * rows // rows_per_run)) if rows else Layout(key)
+    per_key = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows_per_run)
+    rows = per_key.agg(F.sum("n")).first()[0]
+    return Layout(key, stage(per_key.select(key), "hot-keys"), -(-2 * rows // rows_per_run)) if rows else Layout(key)
 
 
 def _of_hot(df: DataFrame, layout: Layout, how: str) -> DataFrame:

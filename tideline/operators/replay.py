@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideline.operators.normalise import ORDER, total_order
 from tideline.operators.ordered import Layout, Scan, scan
-from tideline.session import stage
 
 STATE = ["n", "amount", "last_kind", "last_ts_us", "last_event_id"]
 FAN = 1024
@@ -60,14 +59,15 @@ def replay_final_state(log: DataFrame) -> DataFrame:
     return event_state(log, "user_id")
 
 
-def _rounds(level: DataFrame, up: Callable[[DataFrame], DataFrame], fan: int) -> DataFrame:
+def _rounds(log: DataFrame, level: DataFrame, up: Callable[[DataFrame], DataFrame], fan: int) -> DataFrame:
     """Merge the stretches (``user_id``, ``_seg``, state) of a fold upwards until one is left per
-    user. Each round is written once, and how many are needed is read off the rows."""
-    while True:
-        level = stage(level, "fold")
-        if (level.agg(F.max("_seg")).first()[0] or 0) == 0:
-            return level
+    user. How many rounds are needed is counted from the ``log``, map-side over one column."""
+    most = log.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+    stretches = -(-most // fan)
+    while stretches > 1:
         level = up(level.withColumn("_up", F.expr(f"_seg div {fan}")))
+        stretches = -(-stretches // fan)
+    return level
 
 
 def _fold(log: DataFrame, layout: Layout, fields: Sequence[str],
@@ -87,7 +87,7 @@ def _fold(log: DataFrame, layout: Layout, fields: Sequence[str],
     leaves = (leaves.groupBy("user_id", "_seg")
               .agg(F.array_sort(F.collect_list(F.struct("seq", *fields))).alias("_rows"))
               .select("user_id", "_seg", leaf(F.col("_rows")).alias("acc")))
-    return _rounds(leaves, up, fan).select("user_id", "acc")
+    return _rounds(log, leaves, up, fan).select("user_id", "acc")
 
 
 def fold_events(log: DataFrame, layout: Layout, fields: Sequence[str], init: Column,
@@ -151,7 +151,7 @@ def fold_events_py(log: DataFrame, layout: Layout,
 
     leaves = total_order(log, layout).withColumn("_seg", F.expr(f"(seq - 1) div {fan}"))
     leaves = leaves.groupBy("user_id", "_seg").applyInPandas(leaf, full)
-    return _rounds(leaves, lambda level: level.groupBy("user_id", "_up").applyInPandas(node, full),
+    return _rounds(log, leaves, lambda level: level.groupBy("user_id", "_up").applyInPandas(node, full),
                    fan).select("user_id", *names)
 
 

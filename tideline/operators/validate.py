@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tideline.functions import bucket_start, from_micros, micros, row_hash, sum_fingerprints
 from tideline.operators.normalise import KINDS, dedupe_events, total_order
@@ -46,24 +46,24 @@ def ordered_digest(df: DataFrame, layout: Layout,
 def paired_events(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Both logs side by side per event: structs ``e`` and ``o`` and a ``status``.
 
-    Repeats are dropped first, which shuffles by event id; the full outer join reuses that.
-    Events without an id cannot be paired: each is a row of its own, ``unidentified``.
+    Repeats are dropped first, which shuffles by event id; the full outer join reuses that, and
+    each log is read once. Events without an id cannot be paired: each is a row of its own, ``unidentified``.
     """
-    def side(df, name):
-        first = dedupe_events(df.where("event_id is not null").select("event_id", *CONTENT), order=CONTENT)
-        return first.select("event_id", F.struct(*CONTENT).alias(name))
+    def side(df, name, odd):
+        # a number for each nameless event, even on one side and odd on the other: none is paired
+        number = F.when(F.col("event_id").isNull(), 2 * F.monotonically_increasing_id() + odd)
+        rows = df.select(F.coalesce("event_id", F.lit(0)).alias("id"), F.coalesce(number, F.lit(-1)).alias("nameless"),
+                         "event_id", *CONTENT)
+        first = (rows.withColumn("_rank", F.row_number().over(Window.partitionBy("id", "nameless").orderBy(*CONTENT)))
+                 .where("_rank = 1"))
+        return first.select("id", "nameless", F.struct(*CONTENT).alias(name))
     same = reduce(lambda a, b: a & b, [F.col(f"e.{c}").eqNullSafe(F.col(f"o.{c}"))
                                        for c in CONTENT])
-    status = (F.when(F.col("o").isNull(), "missing").when(F.col("e").isNull(), "extra")
-              .when(same, "match").otherwise("altered"))
-    both = side(expected, "e").join(side(observed, "o"), "event_id", "full").withColumn(
-        "status", status)
-    content = F.struct(*CONTENT)
-    none, lost = F.lit(None).cast(both.schema["e"].dataType), F.lit("unidentified")
-    return both.unionByName(expected.where("event_id is null").select(
-        "event_id", content.alias("e"), none.alias("o"), lost.alias("status"))).unionByName(
-        observed.where("event_id is null").select(
-            "event_id", none.alias("e"), content.alias("o"), lost.alias("status")))
+    nameless = F.col("nameless") >= 0
+    status = (F.when(nameless, "unidentified").when(F.col("o").isNull(), "missing")
+              .when(F.col("e").isNull(), "extra").when(same, "match").otherwise("altered"))
+    both = side(expected, "e", 0).join(side(observed, "o", 1), ["id", "nameless"], "full")
+    return both.select(F.when(~nameless, F.col("id")).alias("event_id"), "e", "o", status.alias("status"))
 
 
 def reconcile_events(expected: DataFrame, observed: DataFrame) -> DataFrame:

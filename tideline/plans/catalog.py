@@ -17,7 +17,9 @@ from tideline.operators import recovery as rec
 from tideline.operators import replay as rep
 from tideline.operators import sweep
 from tideline.operators import timeline as tl
+from tideline.operators import tree
 from tideline.operators import validate as val
+from tideline.operators.failures import fail_first_attempts
 from tideline.operators.ordered import Layout, measure
 from tideline.session import configure, fresh_path, stage
 from tideline.sources import (idempotent_sink, observed_log, parse_quarantine, read_batches,
@@ -409,7 +411,10 @@ def first_divergence(spark, sf_dir):
 @query
 def determinism_check(spark, sf_dir):
     """With a flat layout and with one that cuts the busiest users into runs."""
-    log = log_of(spark, sf_dir)
+    return determinism_of(log_of(spark, sf_dir))
+
+
+def determinism_of(log: DataFrame) -> DataFrame:
     busiest = log.groupBy("user_id").count().agg(F.max("count")).first()[0] or 2
     return val.determinism_check(
         log, [Layout("user_id"), measure(log, rows_per_run=max(1, busiest - 1))],
@@ -417,6 +422,15 @@ def determinism_check(spark, sf_dir):
             "chain", "digest"))
 
 
+@query
+def failure_check(spark, sf_dir):
+    """The replay with and without failed attempts, where the session tries tasks again."""
+    return val.determinism_check(
+        log_of(spark, sf_dir), Layout("user_id"),
+        lambda df, layout: rep.hash_chain(df, layout, fan=CHAIN_FAN).withColumnRenamed("chain", "digest"),
+        {"as stored": lambda df: df, "failed attempts": fail_first_attempts})
+
+
 @query
 def idempotence_check(spark, sf_dir):
     return text(val.idempotence_check(log_of(spark, sf_dir)), "amount")
@@ -459,13 +473,31 @@ def bucket_digest_diff(spark, sf_dir):
                 "amount")
 
 
+def trees_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    path = fresh_path(configure(spark), "trees")
+    tree.store_tree(log_of(spark, sf_dir), f"{path}/a")
+    tree.store_tree(partly_observed(spark, sf_dir), f"{path}/b")
+    return tree.compare_trees(spark, f"{path}/a", f"{path}/b")
+
+
+@query
+def digest_tree_levels(spark, sf_dir):
+    """Digests compared and found different on each level, from the months down."""
+    return trees_of(spark, sf_dir)[0]
+
+
+@query
+def digest_tree_leaves(spark, sf_dir):
+    return trees_of(spark, sf_dir)[1].select("day", "hour", "share")
+
+
 @query
 def validation_summary(spark, sf_dir):
     """Both logs are brought into canonical form and written once; all checks read that."""
     log = stage(log_of(spark, sf_dir), "log")
     observed = stage(observed_of(spark, sf_dir), "observed")
     return val.validation_summary({
-        "determinism": determinism_check(spark, sf_dir),
+        "determinism": determinism_of(log),
         "idempotence": val.idempotence_check(log),
         "snapshot": val.snapshot_check(log, CUT),
         "states": val.compare_states(rep.replay_final_state(log),

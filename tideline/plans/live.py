@@ -35,9 +35,9 @@ def delivery_of(events: DataFrame, stragglers: bool) -> str:
     return f"if({STRAGGLERS}, {DELIVERIES - 1}, {part})" if stragglers else part
 
 
-def delivered(spark, sf_dir, stragglers: bool, build, run) -> DataFrame:
+def delivered(spark, sf_dir, stragglers: bool, build, run, path: str | None = None) -> DataFrame:
     """Deliver the log part by part; the stream is restarted from its checkpoint each time."""
-    root, path = fresh_path(spark, "arrivals"), fresh_path(spark, "stream")
+    root, path = fresh_path(spark, "arrivals"), path or fresh_path(spark, "stream")
     events = read_events(configure(spark), sf_dir)
     part = delivery_of(events, stragglers)
     out = None
@@ -102,15 +102,9 @@ def stream_quarantine(spark, sf_dir):
         quarantined(spark, f"{path}/data").select(number, F.lit(None).cast("long").alias("user_id"), "reason"))
 
 
-@query
-def stream_late_audit(spark, sf_dir):
-    """Per hour: events in the log, events the stream counted, and events that came too late.
-
-    A row is late if its hour had closed before its delivery, by the latest time of the
-    deliveries before it. The three numbers must add up for every closed hour.
-    """
-    streamed = delivered(spark, sf_dir, True, stream_error_rate,
-                         lambda out, path: drain(out, path)[0])
+def late_cells(spark, sf_dir) -> DataFrame:
+    """Events per delivery (``_part``) and hour (``_cell``), and whether they are ``_late``: their
+    hour had closed before their delivery, by the latest time of the deliveries before it."""
     log = log_of(spark, sf_dir).select(
         "ts_us", bucket_start(F.col("ts_us"), HOUR).alias("_cell"),
         F.expr(delivery_of(read_events(spark, sf_dir), True)).alias("_part"))
@@ -122,10 +116,19 @@ def stream_late_audit(spark, sf_dir):
                      lambda i: i > F.col("_part"))
     before = (tops.select(F.explode(later).alias("_part"), "top")
               .groupBy("_part").agg((F.max("top") - HOUR).alias("mark")))
-    late = F.col("_cell") + HOUR <= F.col("mark")
-    audit = (cells.join(before, "_part", "left").groupBy("_cell")
+    late = F.coalesce(F.col("_cell") + HOUR <= F.col("mark"), F.lit(False))
+    return cells.join(before, "_part", "left").withColumn("_late", late)
+
+
+@query
+def stream_late_audit(spark, sf_dir):
+    """Per hour: events in the log, events the stream counted, and events that came too late.
+    The three numbers must add up for every closed hour."""
+    streamed = delivered(spark, sf_dir, True, stream_error_rate,
+                         lambda out, path: drain(out, path)[0])
+    audit = (late_cells(spark, sf_dir).groupBy("_cell")
              .agg(F.sum("n").alias("n_events"),
-                  F.coalesce(F.sum(F.when(late, F.col("n"))), F.lit(0)).alias("n_late"))
+                  F.coalesce(F.sum(F.when(F.col("_late"), F.col("n"))), F.lit(0)).alias("n_late"))
              .withColumn("window_start", from_micros(F.col("_cell"))))
     counted = streamed.select("window_start", F.col("n_events").alias("n_counted"))
     return counted.join(audit, "window_start", "left").select(
@@ -151,6 +154,61 @@ def stream_restart(spark, sf_dir):
     return delivered(spark, sf_dir, False, stream_error_rate, drain_batches)
 
 
+def open_windows(spark, path: str) -> DataFrame:
+    """The windows that a stream of ``stream_error_rate`` holds in its state: read from the store."""
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    window = state.schema["key"].dataType.names[0]
+    counts = F.col("value").cast("struct<n_events:bigint,n_errors:bigint>")  # both are called count there
+    return state.select(F.col(f"key.{window}.start").cast("timestamp_ntz").alias("window_start"), counts.alias("c")).select(
+        "window_start", "c.*")
+
+
+@query
+def stream_open_windows(spark, sf_dir):
+    """What the state holds after four deliveries and restarts, next to the open hours of the log."""
+    path = fresh_path(configure(spark), "stream")
+    delivered(spark, sf_dir, False, stream_error_rate, drain_batches, path)
+    batch = tl.error_rate_tumbling(log_of(spark, sf_dir)).select(
+        "window_start", F.col("n_events").alias("b_events"), F.col("n_errors").alias("b_errors"))
+    return open_windows(spark, path).join(batch, "window_start", "left").select(
+        "window_start", "n_events", "n_errors",
+        (F.col("n_events").eqNullSafe(F.col("b_events")) & F.col("n_errors").eqNullSafe(F.col("b_errors"))).alias("ok"))
+
+
+@query
+def stream_late_metric(spark, sf_dir):
+    """Per delivery: events that arrived, as the stream observed them; that went out in closed hours;
+    that the state holds. The rest was dropped, which the listing of late events must equal, and
+    Spark's own metric must say whether there were any."""
+    path, runs = fresh_path(configure(spark), "stream"), []
+
+    def build(stream):
+        return stream_error_rate(stream.observe("arrived", F.count(F.lit(1)).alias("n")))
+
+    def run(out, path):
+        done, query = drain(out, path)
+        seen = [p for p in query.recentProgress]
+        emitted, held = [df.agg(F.coalesce(F.sum("n_events"), F.lit(0))).first()[0]
+                         for df in (done, open_windows(spark, path))]
+        before = runs[-1] if runs else {"all": 0, "n_open": 0}
+        arrived = sum(p.observedMetrics["arrived"]["n"] or 0 for p in seen if "arrived" in p.observedMetrics)
+        runs.append({
+            "delivery": len(runs), "n_arrived": arrived, "n_emitted": emitted - before["all"], "n_open": held,
+            "n_dropped": before["n_open"] + arrived - (emitted - before["all"]) - held, "all": emitted,
+            "told": any(o.numRowsDroppedByWatermark > 0 for p in seen for o in p.stateOperators)})
+        return done
+
+    delivered(spark, sf_dir, True, build, run, path)
+    # one row per delivery
+    counted = spark.createDataFrame([tuple(r[k] for k in (
+        "delivery", "n_arrived", "n_emitted", "n_open", "n_dropped", "told")) for r in runs],
+        "delivery int, n_arrived long, n_emitted long, n_open long, n_dropped long, told boolean")
+    listed = late_cells(spark, sf_dir).groupBy(F.col("_part").alias("delivery")).agg(
+        F.coalesce(F.sum(F.when(F.col("_late"), F.col("n"))), F.lit(0)).alias("n_listed"))
+    ok = (F.col("n_dropped") == F.col("n_listed")) & (F.col("told") == (F.col("n_listed") > 0))
+    return counted.join(listed, "delivery").select(*counted.columns[:-1], "n_listed", ok.alias("ok"))
+
+
 @query
 def stream_error_recovery_(spark, sf_dir):
     return drain(stream_error_recovery(stream_of(spark, sf_dir)))[0]

@@ -134,6 +134,14 @@ TTR = """ttr as (
   from inc i left join ev e on e.user_id = i.user_id and e.kind <> 'error' and e.ts > i.end_ts
   group by i.user_id, i.incident_no, i.end_ts, i.end_us)"""
 
+LEAVES = f"""la as (select date_trunc('month', ts)::date as m, ts::date as d, ts_us - ts_us % 3600000000 as h,
+  (user_id % 16)::int as s, count(*) as n, sum({fingerprint(*EVENT)}) as g from ev group by all),
+lb as (select date_trunc('month', ts)::date as m, ts::date as d, ts_us - ts_us % 3600000000 as h,
+  (user_id % 16)::int as s, count(*) as n, sum({fingerprint(*EVENT)}) as g from part group by all),
+leaves as (select coalesce(la.m, lb.m) as trunc_month, coalesce(la.d, lb.d) as day, coalesce(la.h, lb.h) as hour,
+  coalesce(la.s, lb.s) as share, la.n is distinct from lb.n or la.g is distinct from lb.g as differs
+  from la full join lb on la.h = lb.h and la.s = lb.s)"""
+
 ORACLE: dict[str, str] = {
     "read_events": "select event_id, ts, user_id, event_type, value, props from events",
 
@@ -390,6 +398,9 @@ from f join pairs p using (event_id)""",
     "determinism_check": f"""with {EV}, {CHAIN}
 select user_id, chain as digest, cast(3 as bigint) as runs, true as ok from chains""",
 
+    "failure_check": f"""with {EV}, {CHAIN}
+select user_id, chain as digest, cast(2 as bigint) as runs, true as ok from chains""",
+
     "idempotence_check": f"""with {EV}
 select user_id, {STATE}, true as ok from ev group by user_id""",
 
@@ -419,6 +430,20 @@ select coalesce(a.b, o.b) as bucket_ts, a.n as n_a, o.n as n_b, cast(a.g as varc
   a.n is not distinct from o.n and a.g is not distinct from o.g as ok
 from a full join o on a.b = o.b""",
 
+    "digest_tree_levels": f"""with {PART}, {LEAVES},
+l as (select trunc_month as m, day as d, hour as h, share as s, differs from leaves)
+select 0 as depth, 'month' as level, count(*) as compared, count(*) filter (x) as differing
+from (select m, bool_or(differs) as x from l group by m)
+union all select 1, 'day', count(*), count(*) filter (x) from (select m, d, bool_or(differs) as x from l
+  where m in (select m from l where differs) group by all)
+union all select 2, 'hour', count(*), count(*) filter (x) from (select d, h, bool_or(differs) as x from l
+  where d in (select d from l where differs) group by all)
+union all select 3, 'leaf', count(*), count(*) filter (differs) from l
+  where h in (select h from l where differs)""",
+
+    "digest_tree_leaves": f"""with {PART}, {LEAVES}
+select day, hour, share from leaves where differs""",
+
     "bucket_digest_diff": f"""with {PART}, {DIFF.format(cols=EVENT_SQL, x='ev', y='part')}
 {DIFF_OUT} where only_a > 0 or only_b > 0""",
 
@@ -499,6 +524,27 @@ from ev group by 1
 having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
   <= (select max(ts) from ev) - interval '1 hour'""",
 
+    "stream_open_windows": f"""with {EV}
+select time_bucket(interval '1 hour', ts) as window_start, count(*) as n_events,
+  count(*) filter (kind = 'error') as n_errors, true as ok
+from ev group by 1
+having time_bucket(interval '1 hour', any_value(ts)) + interval '1 hour'
+  > (select max(ts) from ev) - interval '1 hour'""",
+
+    "stream_late_metric": f"""with {EV},
+p as (select ts, time_bucket(interval '1 hour', ts) + interval '1 hour' as h,
+  case when event_id % 53 = 11 then 3
+    else (ts_us - min(ts_us) over ()) * 4 // (max(ts_us) over () - min(ts_us) over () + 1) end as part from ev),
+k as (select cast(range as int) as delivery from range(4)),
+m as (select delivery, max(ts) - interval '1 hour' as mark from k join p on part <= delivery group by delivery),
+l as (select p.*, coalesce(h <= mark, false) as late from p left join m on m.delivery = p.part - 1),
+c as (select m.delivery, count(*) filter (part = m.delivery) as n_arrived,
+    count(*) filter (part = m.delivery and late) as n_late,
+    count(*) filter (not late and h <= mark) as closed, count(*) filter (not late and h > mark) as n_open
+  from m join l on part <= m.delivery group by m.delivery)
+select delivery, n_arrived, closed - coalesce(lag(closed) over (order by delivery), 0) as n_emitted, n_open,
+  n_late as n_dropped, n_late as n_listed, true as ok from c""",
+
     "stream_error_recovery": f"""with {EV},
 w as (select date_trunc('millisecond', max(ts)) - interval '1 hour' as mark from ev),
 e as (select distinct user_id, ts from ev where kind = 'error'),
