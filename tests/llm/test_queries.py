@@ -105,6 +105,25 @@ def test_vectors(spark):
         assert (g["n_links"], g["component_id"]) == (near[k].sum() - 1, given[root[k]]["vec_id"])
 
 
+def test_links_of_made_vectors(spark):
+    """The given vectors hold no link; these hold pairs at all cosines above and below the threshold."""
+    from tideline.llm.vectors import group_near_vectors
+
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((600, 64))
+    x = np.concatenate([centres, *(centres + rng.uniform(0.05, 0.6, (600, 1)) * rng.standard_normal((600, 64)) for _ in range(4))])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in group_near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    links = near.sum(1)
+    found = np.array([got[k][0] for k in range(len(x))])
+    assert links.sum() > 2000 and (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    root = unite(len(x), zip(*np.nonzero(np.triu(near, 1))))
+    assert sum(got[k][1] == root[k] for k in range(len(x))) >= 0.99 * len(x)
+
+
 def test_language(spark, docs):
     got = rows(spark, "op6_language")
     held = [k for k in docs if crc32(str(k).encode()) % 3 == 1]
@@ -145,7 +164,7 @@ def test_likelihood(spark, docs):
     assert {k: r["n_tokens"] for k, r in got.items()} == {k: len(d["text"].encode().lower().split()) for k, d in docs.items()}
     counts = Counter(w for ws in words.values() for w in ws)
     total = sum(counts.values())
-    # no worse than knowing how frequent each of the tokens is, though barely trained here
+    # better than a guess among the tokens, though barely trained here
     assert sum(r["log_likelihood"] for r in got.values()) / total > -np.log(TOKENS)
     net = Network.fresh(np.ones(TOKENS))
     ids = np.array([0, 0, 5, 6, 7, 0, 0])
