@@ -204,6 +204,18 @@ SHORTEST = {
     "BSDBinary": ["Redistributions in binary form must reproduce the above copyright notice and"],
     "BSDName": ["Neither the name X may be used to endorse or promote products here"],
     "SPDX": ["SPDX-License-Identifier: MIT"], "Copyright": ["(c) 2020", "C 2020 X", "© 2020", "Copyright 2020"],
+    "Not": ["Not released under MIT", "never shared by the GPL"], "EPL": ["Governed by the EPL", "Eclipse Public License"],
+    "BSL": ["Offered under BSL 1.0", "Boost Software License"], "ISC": ["Shared under ISC", "ISC license"],
+    "Zlib": ["Published under zlib", "zlib license"], "Artistic": ["Covered by the Artistic License 2.0", "Artistic License"],
+    "Unlicense": ["The Unlicense", "This is free and unencumbered software released into the public domain"],
+    "WTFPL": ["Provided under WTFPL", "Do what the fuck you want to public license"],
+    "ISCGrant": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby "
+                 "granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "ZeroGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "ZlibGrant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+                  "to alter it and redistribute it freely, subject to the following restrictions"],
+    "BoostGrant": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+                   "and accompanying documentation covered by this license to"],
     "AllRights": ["All rights reserved"], "PublicDomain": ["Placed in the public-domain", "Dedicated to the public  domain"],
 }
 

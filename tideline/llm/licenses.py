@@ -2,8 +2,8 @@
 
 A text is cut into sentences at punctuation and blank lines, which are brought into one form: lower
 case, and only words and numbers. A sentence may run over lines, wrapped and behind comment marks,
-and a line may be a notice by itself: known sentences begin and end with lines. Known sentences become identifiers with their parameter, such as a version. Ordered rules
-then match runs of identifiers and say which licence they stand for; a rule takes the identifiers
+and a line may be a notice by itself: known sentences begin and end with lines. Known sentences become
+identifiers with their parameter, such as a version. Ordered rules then match runs of identifiers and say which licence they stand for; a rule takes the identifiers
 it matches, so that later, more general rules see only what is left.
 """
 
@@ -19,20 +19,61 @@ from pyspark.sql.types import ArrayType, StringType, StructField
 
 from tideline.llm.batches import others, with_results
 
+# How licences are named. A name by itself, as a title, is a full one; a short one needs
+# what says that it is a licence. Groups are parameters of the identifier.
+_VERSION = r"(?: ?(?:version |ver |v ?)?([0-9][0-9.]*))?"
+_LATER = r"(\+| or any later version| or later| only)?"
+_FSF = r"(?: as published by the free software foundation)?"
+_CC = r"((?:by|attribution)(?: (?:nc|sa|nd|non ?commercial|share ?alike|no ?deriv(?:ative)?s))*)"
+NAMES: tuple[tuple[str, str, str], ...] = (
+    ("AGPL", rf"(?:gnu )?affero general public license{_FSF}{_VERSION}{_LATER}", rf"(?:gnu )?agpl{_VERSION}{_LATER}"),
+    ("LGPL", rf"(?:gnu )?(?:lesser|library) general public license{_FSF}{_VERSION}{_LATER}", rf"(?:gnu )?lgpl{_VERSION}{_LATER}"),
+    ("GPL", rf"(?:gnu )?general public license{_FSF}{_VERSION}{_LATER}", rf"(?:gnu )?gpl{_VERSION}{_LATER}"),
+    ("Apache", rf"apache (?:software )?license{_VERSION}", rf"apache{_VERSION}"),
+    ("MIT", r"(?:mit(?: x11)?|x11|expat) license", r"mit(?: x11)?|x11|expat"),
+    ("BSD", r"(?:([234]) clause )?(?:(?:new|revised|modified|simplified) )?bsd (?:([234]) clause )?license",
+     r"(?:([234]) clause )?(?:(?:new|revised|modified|simplified) )?bsd(?: ([234]) clause)?"),
+    ("MPL", rf"mozilla public license{_VERSION}", rf"mpl{_VERSION}"),
+    ("EPL", rf"eclipse public license{_VERSION}", rf"epl{_VERSION}"),
+    ("BSL", rf"boost software license{_VERSION}", rf"bsl{_VERSION}|boost"),
+    ("ISC", r"isc license", r"isc"),
+    ("Zlib", r"zlib(?: libpng)? license", r"zlib(?: libpng)?"),
+    ("Artistic", rf"artistic license{_VERSION}", rf"artistic{_VERSION}"),
+    ("Unlicense", r"unlicense", r"unlicense"),
+    ("WTFPL", r"do what the fuck you want to public license", rf"wtfpl{_VERSION}"),
+    ("CC", rf"(?:creative commons|cc) {_CC}{_VERSION}(?: (?:international|unported|generic))?(?: public)? license|creative commons {_CC}{_VERSION}"
+           rf"(?: (?:international|unported|generic))?|(?:creative commons )?cc ?(0){_VERSION}(?: universal)?(?: public domain dedication)?",
+     rf"(?:cc|creative commons) {_CC}{_VERSION}(?: (?:international|unported|generic))?|creative commons (0|zero){_VERSION}|cc (zero){_VERSION}"),
+)
+# What goes before a name: a statement, or a label; and what may go after it.
+_VERB = (r"(?:(?:licensed|released|distributed|available|provided|covered|published|offered|shared) (?:under|by)|governed by|subject to) "
+         r"(?:the )?(?:terms (?:and conditions )?of )?(?:the |a |an )?(?:version ([0-9][0-9.]*) of the )?")
+_LABEL = r"license(?: type| name)? (?:the )?"
+_TAIL = r"(?: (?:the )?license)?(?: (?:see|which|found|that|as found|as described) .*)?"
+_TITLE_TAIL = r"(?: (?:mit|isc|epl|mpl|bsl|zlib|expat|gpl|lgpl|agpl))?(?: [0-9]{1,2} [a-z]+ [0-9]{4}| [a-z]+(?: [0-9a-z]+)? [0-9]{4})?"
+_BARE = re.compile(r"\((?!\?)")
+
+
+def _any(full: str, short: str) -> str:
+    return f"(?:{full}|{short})"
+
+
 # What licence texts say. A sentence's pattern is matched against all of its form,
-# or against some of its lines, where a space may be a line break; groups are parameters of the identifier.
+# or against some of its lines, where a space may be a line break.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("GPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:general public license|gpl)(?: as published by the free software foundation)?(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
+    ("Not", r"(?:.* )?(?:not|never|no longer|neither|nor) (?:[a-z]+ )?(?:be )?" + _BARE.sub(
+        "(?:", _VERB + _any(*("|".join(n[k] for n in NAMES) for k in (1, 2)))) + _TAIL),
+    *((name, "(?:.* )?" + _VERB + _any(full, short) + _TAIL) for name, full, short in NAMES),
+    *((name, f"(?:{_LABEL}{_any(full, short)}{_TAIL}|(?:the )?{_any(full, f'(?:{short}) license')}{_TITLE_TAIL})")
+      for name, full, short in NAMES),
     ("GPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
-    ("LGPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:lesser general public license|lgpl)(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
     ("LGPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?(?:lesser|library) general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
-    ("AGPL", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:gnu )?(?:affero general public license|agpl)(?: (?:version|v) ?([0-9.]+))?( or any later version| or later| only)?"),
     ("AGPL", r"(?:.* )?redistribute it and or modify it under the terms of the (?:gnu )?affero general public license(?: (?:version|v) ?([0-9.]+))?(?: as published by the free software foundation)?(?: (?:either )?version ([0-9.]+)(?: of the license)?)?(?:( or)(?: at your option)?( any later version)| only)?"),
-    ("Apache", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?apache license(?: version ([0-9.]+))?(?: the license)?"),
-    ("MIT", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?mit license"),
-    ("BSD", r"(?:.* )?(?:licensed|released|distributed|available) under the (?:terms of the )?(?:([234]) clause )?bsd license"),
-    ("MPL", r"(?:.* )?(?:licensed|released|distributed|available|subject to) (?:to )?(?:under )?the (?:terms of the )?mozilla public license(?: (?:version|v) ?([0-9.]+))?"),
-    ("CC", r"(?:.* )?(?:licensed|released|distributed|available) under (?:a |the )?(?:cc|creative commons) (by(?: (?:nc|sa|nd))*|0|zero)(?: ([0-9.]+))?(?: (?:international |unported )?license)?"),
+    ("ISCGrant", r"permission to use copy modify and (?:or )?distribute this software(?: and its documentation)? for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ZeroGrant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions.*"),
+    ("BoostGrant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .*"),
+    ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("Grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*"),
     ("MITCondition", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("AsIs", r"(?:the|this) software is provided (?:by .* )?as is .*"),
@@ -52,12 +93,23 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "AsIs?")),
     ("MIT", ("Grant", "MITCondition", "AsIs?")),
     ("MIT", ("MIT",)),
+    ("ISC", ("ISCGrant", "AsIs?")),
+    ("0BSD", ("ZeroGrant", "AsIs?")),
+    ("Zlib", ("AsIs?", "ZlibGrant")),
+    ("BSL-1.0", ("BoostGrant", "AsIs?")),
     ("AGPL{0}", ("AGPL",)),
     ("LGPL{0}", ("LGPL",)),
     ("GPL{0}", ("GPL",)),
     ("Apache{0}", ("Apache",)),
     ("BSD{0}", ("BSD",)),
     ("MPL{0}", ("MPL",)),
+    ("EPL{0}", ("EPL",)),
+    ("BSL{0}", ("BSL",)),
+    ("ISC", ("ISC",)),
+    ("Zlib", ("Zlib",)),
+    ("Artistic{0}", ("Artistic",)),
+    ("Unlicense", ("Unlicense",)),
+    ("WTFPL{0}", ("WTFPL",)),
     ("CC{0}", ("CC",)),
     ("SPDX{0}", ("SPDX",)),
     ("Public-Domain", ("PublicDomain",)),
@@ -68,23 +120,42 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 # pattern implies one of them.
 CUES = re.compile(
     r"licen[sc]e|copyright|©|permission|redistribut|software|endorse|rights|domain|gpl|commons"
-    r"|(?<![a-z0-9])cc(?![a-z0-9])|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)[0-9]{2}", re.I | re.A)
-# Ends of lines, marks of comments around them, blank lines, and ends of sentences; the notices of the
-# GPL have a semicolon before their version.
+    r"|(?:released|distributed|available|provided|covered|published|offered|shared)[^a-z0-9]+(?:under|by)(?![a-z0-9])"
+    r"|governed[^a-z0-9]+by|subject[^a-z0-9]+to|(?<![a-z0-9])cc(?:0|(?![a-z0-9]))"
+    r"|(?<![a-z0-9])c[^a-z0-9]+(?:19|20)[0-9]{2}", re.I | re.A)
+# Ends of lines, marks of comments around them, blank lines, and ends of sentences, which "v." is not;
+# the notices of the GPL have a semicolon before their version.
 _LINE = re.compile(r"\r\n|\r|\n")
 _BEFORE, _AFTER = "/*#-;%<!>| \t", "/*#->| \t"
 _BLANK = re.compile(r"\n{2,}")
-_END = re.compile(r"(?<=[.!?])\s+|(?<=;)(?!\s*either\s+version)\s+", re.I)
+_END = re.compile(r"(?<=[.!?])(?<![^a-z0-9]v\.)\s+|(?<=;)(?!\s*either\s+version)\s+", re.I)
 _OTHER = re.compile(r"[^a-z0-9.+]+")
 _DOTS = re.compile(r"(?<![0-9])\.|\.(?![0-9])")
 
 
 def normalise(sentence: str) -> str:
     """Lower case; dots only within numbers; all else but letters, digits and plus is one space."""
-    plain = _OTHER.sub(" ", sentence.lower().replace("©", "copyright"))
+    plain = _OTHER.sub(" ", sentence.lower().replace("©", "copyright").replace("licence", "license"))
     return " ".join(_DOTS.sub(" ", plain).split())
 
 
+# Long forms of parameters.
+_SHORT = (
+    (re.compile("attribution"), "by"), (re.compile("non ?commercial"), "nc"), (re.compile("share ?alike"), "sa"),
+    (re.compile("no ?deriv(?:ative)?s"), "nd"), (re.compile("zero"), "0"), (re.compile(r"\+"), "or later"),
+)
+_EITHER = re.compile("-(?:or|and)-(?!later)")
+
+
+def _detail(m: re.Match) -> tuple[str, ...]:
+    out = []
+    for g in filter(None, m.groups()):
+        for long, short in () if g[0].isdigit() else _SHORT:
+            g = long.sub(short, g)
+        out.append("-".join(g.split()))
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Sentence:
     name: str
@@ -118,7 +189,7 @@ def identify(sentence: str) -> Sentence | None:
     """The identifier of a sentence in its normal form, of the first pattern that fits."""
     for name, pattern in _PATTERNS:
         if m := pattern.fullmatch(sentence):
-            return Sentence(name, tuple("-".join(g.split()) for g in m.groups() if g))
+            return Sentence(name, _detail(m))
     return None
 
 
@@ -131,8 +202,7 @@ def _of_lines(lines: str) -> list[Sentence]:
     for name, pattern in _WRAPPED:
         for m in pattern.finditer(lines):
             if taken.find(1, m.start(), m.end()) < 0:
-                detail = tuple("-".join(g.split()) for g in m.groups() if g)
-                took.append((m.start(), Sentence(name, detail)))
+                took.append((m.start(), Sentence(name, _detail(m))))
                 taken[m.start():m.end()] = b"\1" * (m.end() - m.start())
     return [s for _, s in sorted(took, key=lambda t: t[0])]
 
@@ -166,13 +236,15 @@ def match(found: list[Sentence]) -> list[str]:
                     took = []
                     break
             if took:
-                out.add(licence.format("".join(f"-{d}" for d in left[took[0]].detail)))
+                detail = left[took[0]].detail
+                for d in [(e,) for e in _EITHER.split(detail[0])] if licence == "SPDX{0}" else [detail]:
+                    out.add(licence.format("".join(f"-{e}" for e in d)))
                 for j in took:
                     left[j] = None
                 at = k
             else:
                 at += 1
-    if any(s is not None and s.name != "Copyright" for s in left):
+    if any(s is not None and s.name not in ("Copyright", "Not") for s in left):
         out.add("unknown")
     return sorted(out)
 
@@ -189,7 +261,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Adds ``sentences``, the identifiers of known sentences in order, and ``licenses``, what the
     rules make of them, sorted and each once. ``unknown`` stands for identifiers that no rule
-    takes, a copyright line alone for nothing. Null and empty texts have neither. Rows are scanned
+    takes; a copyright line alone, or that a licence does not hold, for nothing. Null and empty texts have neither. Rows are scanned
     one by one, so repeated rows stay; older columns of these names are replaced.
     """
     def make():
