@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tideline.llm.batches import others, quoted, spans, staged, with_results
+from tideline.session import Scratch
 
 #: Words of a window.
 WORDS = 10
-#: Bytes of benchmark text that a pass over the documents searches for.
+#: Bytes of benchmark texts and ids that a pass over the documents searches for, and the buckets of
+#: texts, on average, that a pass is put together from.
 PASS_BYTES = 2 << 20
+_BUCKETS = 16
 _LANE = 1024  # positions that are searched one after the other; lanes advance together
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,11 +145,11 @@ class WuManber:
 class Windows:
     """All windows of some benchmark items, searched for by classes of length."""
 
-    def __init__(self, items: Iterable[tuple[str | None, str | None]], n: int):
+    def __init__(self, items: Iterable[tuple[Sequence[str], str | None]], n: int):
         owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
+        for ids, text in items:
             for w in windows_of(text, n):
-                owners[w].add(item) if item is not None else owners[w]
+                owners[w].update(ids)
         self.patterns = sorted(owners)
         self.owners = [sorted(owners[p]) for p in self.patterns]
         self.words = np.array([p.count(b" ") - 1 for p in self.patterns])
@@ -187,7 +190,7 @@ def _merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(items: list[tuple[str | None, str | None]], n: int, later: bool):
+def _search(items: list[tuple[list[str], str]], n: int, later: bool):
     def make():
         windows = Windows(items, n)
 
@@ -214,6 +217,29 @@ def _search(items: list[tuple[str | None, str | None]], n: int, later: bool):
     return make
 
 
+def _passes(bench: DataFrame, pass_bytes: int, scratch: Scratch) -> list[DataFrame]:
+    """``bench`` (``item``, ``text``) as texts with their ``ids``, in parts of at most ``pass_bytes``."""
+    sizes = bench.agg(F.sum(F.octet_length("text")).alias("text"), F.sum(F.octet_length("item")).alias("ids")).first()
+    # ids of one text are dealt out when all ids together are more than a pass
+    deals = max(1, -(-2 * (sizes["ids"] or 0) // pass_bytes))
+    least = max(1, -(-((sizes["text"] or 0) + (sizes["ids"] or 0)) // pass_bytes))
+    texts = bench.distinct().withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(deals))).groupBy("text", "deal").agg(
+        F.collect_set("item").alias("ids"), F.coalesce(F.sum(F.octet_length("item")), F.lit(0)).alias("bytes"))
+    if least == 1:
+        return [texts]
+    held = staged(texts.select(
+        "text", "ids", (F.col("bytes") + F.octet_length("text")).alias("bytes"),
+        F.pmod(F.xxhash64("text", "deal"), F.lit(_BUCKETS * least)).alias("bucket")), "benchmark-texts", scratch)
+    parts, first, total = [], 0, 0
+    for r in held.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).orderBy("bucket").collect():
+        if total and total + r["bytes"] > pass_bytes:
+            parts.append((first, r["bucket"]))
+            first, total = r["bucket"], 0
+        total += r["bytes"]
+    parts.append((first, _BUCKETS * least))
+    return [held.where((F.col("bucket") >= a) & (F.col("bucket") < b)).select("text", "ids") for a, b in parts]
+
+
 def mark_benchmark(
     docs: DataFrame, benchmark: DataFrame, words: int = WORDS, text: str = "text",
     item: str = "item_id", item_text: str = "text", pass_bytes: int = PASS_BYTES,
@@ -227,19 +253,20 @@ def mark_benchmark(
     A text that is null, empty or without words has no hits, an item without words no windows, an
     item of fewer than ``words`` words is one window. Repeated rows are marked one by one, a
     repeated item id is listed once, a null item id not at all, though its windows count. The
-    windows of a pass go to every task: their size is counted first, and a benchmark of more than
-    ``pass_bytes`` takes several passes over the documents, written in between.
+    windows of a pass go to every task: equal texts are one text with several ids, and a benchmark of
+    more than ``pass_bytes`` takes several passes over the documents, written in between. A pass
+    holds at most that many bytes, or one bucket of texts (a sixteenth of it on average) if that is more.
     """
-    bench = benchmark.select(F.col(quoted(item)).cast("string").alias("item"), F.col(quoted(item_text)).alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
+    bench = benchmark.select(
+        F.col(quoted(item)).cast("string").alias("item"), F.col(quoted(item_text)).alias("text")).where("text is not null")
     keep = others(docs, [f.name for f in RESULT])
     out = docs
-    for k in range(passes):
-        part = bench.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k) if passes > 1 else bench
-        items = [(r["item"], r["text"]) for r in part.collect()]
-        more = ["hits", "items"] if k else []
-        out = with_results(out, [text, *more], keep, RESULT, _search(items, words, bool(k)))
-        if k + 1 < passes:
-            out = staged(out, "benchmark-pass")
+    with Scratch(docs.sparkSession) as scratch:
+        parts = _passes(bench, pass_bytes, scratch)
+        for k, part in enumerate(parts):
+            items = [(r["ids"], r["text"]) for r in part.collect()]
+            more = ["hits", "items"] if k else []
+            out = with_results(out, [text, *more], keep, RESULT, _search(items, words, bool(k)))
+            if k + 1 < len(parts):
+                out = staged(out, "benchmark-pass")
     return out
