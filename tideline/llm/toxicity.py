@@ -1,8 +1,8 @@
 """Toxicity of texts: a linear classifier on character n-grams scaled by log-count ratios.
 
 Every n-gram is a hashed feature that a text has or has not. Counting labelled texts with and
-without it gives its naive Bayes log-count ratio; the features with the largest ratios, scaled by
-them, are the input of a logistic regression.
+without it gives its naive Bayes log-count ratio; all features whose ratio is beyond chance, scaled
+by it, are the input of a logistic regression.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from tideline.llm.batches import (
 LENGTHS = (4, 5, 6)
 HASH_BITS = 18
 #: Pseudo-documents that every feature is given in proportion to the classes.
-PRIOR = 20.0
-#: Features with the largest ratios that the classifier weighs.
-FEATURES = 2048
+PRIOR = 2.0
+#: Features that the classifier weighs have a ratio, of either sign, of at least so many standard errors.
+ERRORS = 2.5
 #: Labelled texts of each class that the regression is fitted on, the first by hash of their id.
 SAMPLE = 2000
 _ROUNDS, _RATE, _DECAY = 300, 0.05, 1e-3
@@ -81,15 +81,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from blocks_of(sums.ravel(), TaskContext.get().partitionId())
 
 
-def log_ratios(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratios of all features, and the number of texts of each class."""
+def log_ratios(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-count ratios of all features, their standard errors, and the number of texts of each class."""
     size = 1 << HASH_BITS
     sums = sum_blocks(labelled.mapInArrow(_count, BLOCKS), 2 * (size + 1)).reshape(2, -1)
     texts = sums[:, size]
     if not texts.all():
-        return np.zeros(size), texts
+        return np.zeros(size), np.ones(size), texts
     smooth = sums[:, :size] + PRIOR * (texts / texts.sum())[:, None]
-    return np.log(smooth[1] / texts[1]) - np.log(smooth[0] / texts[0]), texts
+    return np.log(smooth[1] / texts[1]) - np.log(smooth[0] / texts[0]), np.sqrt((1 / smooth).sum(0)), texts
 
 
 def regress(rows: Sequence[np.ndarray], label: np.ndarray, scale: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, float]:
@@ -119,7 +119,8 @@ def learn_toxicity(
     """Fit a classifier on the documents that ``labels`` marks and that satisfy ``train``.
 
     ``train`` is a condition on ``doc_id``. Ratios come from all such documents, the regression from
-    at most ``SAMPLE`` labels of each class. Labels other than 0 and 1, labels without a document
+    at most ``SAMPLE`` labels of each class. Every feature whose ratio is at least
+    ``ERRORS`` standard errors gets a weight. Labels other than 0 and 1, labels without a document
     and null ids teach nothing; a document counts once for each of its labels. If a class is
     missing, all texts get the share of the class that is there.
     """
@@ -128,12 +129,12 @@ def learn_toxicity(
         train & F.col("label").isin(0, 1))
     texts_of = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     # the same join at every size, also where the labels are few enough to be broadcast
-    ratio, texts = log_ratios(texts_of.where(train).join(marks.hint("merge"), "doc_id").select("text", "label"))
+    ratio, error, texts = log_ratios(texts_of.where(train).join(marks.hint("merge"), "doc_id").select("text", "label"))
     if not texts.all():
         share = texts[1] / texts.sum() if texts.sum() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Toxicity(np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share))))
-    kept = np.sort(np.argsort(-np.abs(ratio), kind="stable")[:FEATURES])
+    kept = np.flatnonzero(np.abs(ratio) >= ERRORS * error)
     wanted = np.zeros(1 << HASH_BITS, bool)
     wanted[kept] = True
 
