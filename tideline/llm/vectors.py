@@ -60,8 +60,24 @@ def directions(dim: int, n: int, kind: int) -> np.ndarray:
 
 CELLS = StructType([
     StructField("table", IntegerType()), StructField("dim", IntegerType()), StructField("cell", LongType()),
-    StructField("cid", LongType()), StructField("vector", ArrayType(DoubleType()))])
-PAIRS = StructType([StructField("a", LongType()), StructField("b", LongType())])
+    StructField("cid", LongType()), StructField("copies", LongType()), StructField("vector", ArrayType(DoubleType()))])
+#: Of vector ``a``: ``n`` vectors that link with it, or ``b`` that its links lead to.
+FOUND = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("n", LongType())])
+
+
+@lru_cache(maxsize=16)
+def _sides(dim: int, n: int) -> np.ndarray:
+    """Directions in whole numbers, so that a sign never depends on the order of a sum."""
+    return np.rint(directions(dim, n, 0) * (1 << 10))
+
+
+def cells(x: np.ndarray, signs: int, tables_: int, n_tables: int) -> np.ndarray:
+    """The cell of every vector in each of the first ``tables_`` tables."""
+    if not signs:
+        return np.zeros((len(x), tables_), np.int64)
+    whole = np.rint(x / np.abs(x).max(1, keepdims=True) * (1 << 20))
+    side = whole @ _sides(x.shape[1], signs * n_tables)[:, :signs * tables_] > 0
+    return side.reshape(len(x), tables_, signs) @ (1 << np.arange(signs, dtype=np.int64))
 
 
 def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
@@ -73,19 +89,17 @@ def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
 def _deal(signs: int, n_tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vector = batch.column(batch.schema.get_field_index("vector"))
-            cid = batch.column(batch.schema.get_field_index("cid"))
+            vector, cid, copies = (batch.column(batch.schema.get_field_index(c)) for c in ("vector", "cid", "copies"))
             dims = np.diff(vector.offsets.to_numpy())
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                x = _matrix(vector, rows, dim)
+                code = cells(_matrix(vector, rows, dim), signs, n_tables, n_tables)
                 held = pa.array(rows)
                 for t in range(n_tables):
-                    side = x @ directions(dim, signs * n_tables, 0)[:, t * signs:(t + 1) * signs] > 0
-                    cell = side @ (1 << np.arange(signs, dtype=np.int64)) if signs else np.zeros(len(rows), np.int64)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(rows), t), pa.int32()), pa.array(np.full(len(rows), dim), pa.int32()),
-                        pa.array(cell, pa.int64()), cid.take(held), vector.take(held)], names=CELLS.names)
+                        pa.array(code[:, t], pa.int64()), cid.take(held), copies.take(held), vector.take(held)],
+                        names=CELLS.names)
     return run
 
 
@@ -104,20 +118,35 @@ def collisions(queries: np.ndarray, others_: np.ndarray) -> np.ndarray:
     return counts.reshape(n, m)
 
 
-def _verify(cosine: float):
+def lead(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of ``n`` numbers that each is connected to by the pairs ``a``, ``b``."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for side in (a, b):
+            np.minimum.at(new, root[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _verify(cosine: float, signs: int, n_tables: int):
     enough = least_count(cosine)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        cid, part = table.column("cid").to_numpy(), table.column("part").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        cid, part, copies = (table.column(c).to_numpy() for c in ("cid", "part", "copies"))
+        t, i, j = (table.column(c)[0].as_py() for c in ("table", "i", "j"))
         vector = table.column("vector").combine_chunks()
         x = _matrix(vector, np.arange(len(cid)), table.column("dim")[0].as_py())
         unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
         p = unit @ directions(x.shape[1], PROJECTIONS, 1)
         q, o = (np.flatnonzero(part == i), np.flatnonzero(part == j))
         if not len(q) or not len(o):
-            return pa.table([pa.array([], pa.int64())] * 2, names=PAIRS.names)
+            return FOUND_NONE
         a, b = np.nonzero(collisions(p[q], p[o]) >= enough)
         a, b = q[a], o[b]
         if i == j:
@@ -126,15 +155,32 @@ def _verify(cosine: float):
         for k in range(0, len(a), 1 << 16):  # a dense cell has many pairs
             s = slice(k, k + (1 << 16))
             close[s] = np.einsum("ij,ij->i", unit[a[s]], unit[b[s]]) >= cosine
-        a, b = cid[a[close]], cid[b[close]]
-        return pa.table([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=PAIRS.names)
+        a, b = a[close], b[close]
+        if t and len(a):  # a pair counts in the first table that has it in one cell
+            rows = np.unique(np.concatenate([a, b]))
+            code = cells(x[rows], signs, t, n_tables)
+            at, bt = np.searchsorted(rows, a), np.searchsorted(rows, b)
+            new = np.ones(len(a), bool)
+            for k in range(t):
+                new &= code[at, k] != code[bt, k]
+            a, b = a[new], b[new]
+        n = np.bincount(a, copies[b], len(cid)) + np.bincount(b, copies[a], len(cid))
+        root, linked = lead(a, b, len(cid)), np.flatnonzero(n)
+        to = np.where(root[linked] == linked, None, cid[root[linked]].astype(object))
+        return pa.table([pa.array(cid[linked]), pa.array(to, pa.int64()), pa.array(n[linked], pa.int64())], names=FOUND.names)
     return run
 
 
+FOUND_NONE = pa.table([pa.array([], pa.int64())] * 3, names=FOUND.names)
+
+
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Pairs ``a`` > ``b`` of ``vectors`` (``cid``, ``vector``) with at least this cosine, each once.
+    """What links the ``vectors`` (``cid``, ``copies``, ``vector``) at this cosine, without the pairs.
 
-    Cells with more than ``TOGETHER`` vectors are cut into parts, and every two parts meet.
+    A row of ``FOUND`` per vector and cell with new links: ``n``, the copies of the vectors that it
+    links with and that no earlier table had in its cell; and ``b``, the vector that leads those
+    connected in the cell, null if it leads itself. Cells with more than ``TOGETHER`` vectors are cut
+    into parts, and every two parts meet.
     """
     signs, n_tables = tables(vectors.count(), cosine)
     dealt = vectors.mapInArrow(_deal(signs, n_tables), CELLS)
@@ -145,7 +191,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         "part", F.pmod(F.xxhash64("cid"), parts).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), parts - 1)))
     met = placed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    return met.groupBy("table", "dim", "cell", "i", "j").applyInArrow(_verify(cosine), PAIRS).distinct()
+    return met.groupBy("table", "dim", "cell", "i", "j").applyInArrow(_verify(cosine, signs, n_tables), FOUND)
 
 
 RESULT = [StructField("n_links", LongType()), StructField("component_id", LongType()), StructField("kept", BooleanType())]
@@ -182,10 +228,10 @@ def group_near_vectors(
             rows.where("vector is not null").groupBy("h1", "h2").agg(
                 F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
             .withColumn("cid", F.monotonically_increasing_id()), "vectors", scratch)
-        pairs = staged(links(classes.select("cid", "vector"), cosine), "pairs", scratch)
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = both.join(classes.select(F.col("cid").alias("b"), "copies"), "b").groupBy("a").agg(
-            F.sum("copies").alias("linked"))
+        found = staged(links(classes.select("cid", "copies", "vector"), cosine), "links", scratch)
+        pairs = found.where("b is not null").select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        linked = found.groupBy("a").agg(F.sum("n").alias("linked"))
         rooted = classes.join(components(pairs), F.col("cid") == F.col("node"), "left").withColumn(
             "root", F.coalesce("root", "cid"))
         named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
