@@ -1,13 +1,16 @@
-"""Skewed benchmarks against plain search, and the classifier against counting n-gram by n-gram."""
+"""Skewed benchmarks against plain search, likelihoods and the classifier against counting n-gram by n-gram."""
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import _passes, mark_benchmark
+from tideline.llm.pseudo import FIRST, HASHED, PLACES, SIZE, TOKENS, Network, Tokens, learn_model, score_texts
 from tideline.llm.queries import QUERIES
 from tideline.llm.toxicity import ERRORS, HASH_BITS, LENGTHS, PRIOR, learn_toxicity, log_ratios, score_toxicity
 from tideline.session import Scratch
@@ -97,3 +100,57 @@ def test_toxicity_of_held_out_texts(spark):
     bad = np.array([r["score"] for r in held if toxic[r["doc_id"]] == 1])
     good = np.array([r["score"] for r in held if toxic[r["doc_id"]] == 0])
     assert len(bad) and (bad[:, None] > good).mean() >= 0.85 and np.mean(good >= 0.3) <= 0.05
+
+
+def test_words_joined_or_known_score_alike_and_as_counted_by_hand(spark):
+    common = [f"c{k}" for k in range(FIRST - 1)]
+    rare = [f"r{k}" for k in range(3000)]
+    texts = [" ".join(common * 9)] + [f"c1 {w} c2 {w} " * (1 + k % 3) for k, w in enumerate(rare)]
+    corpus = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2).persist()
+    few, all_of_them = learn_model(corpus, known=FIRST - 1), learn_model(corpus)
+    assert len(few.words) == FIRST - 1 and len(all_of_them.words) == FIRST - 1 + len(rare) and few.rare.counts.count() == len(rare)
+    few.values = all_of_them.values
+    asked = spark.createDataFrame([(w, f"c1 {w} c7") for w in [*rare, "never", "c3"]], "asked string, text string")
+    joined, known = ({r["asked"]: r for r in score_texts(asked, m, keep=["asked"]).collect()} for m in (few, all_of_them))
+
+    counts = Counter(w for t in texts for w in t.split())
+    by, pairs = defaultdict(list), Counter()
+    for w in counts:
+        pairs.update(zip(f"\n{w}", f"{w}\n"))
+    for w in rare:
+        by[crc32(w.encode()) % HASHED].append(w)
+    starts = Counter()
+    for (a, _), n in pairs.items():
+        starts[a] += n
+    for w in [*rare[::50], "never"]:
+        kinds = by[crc32(w.encode()) % HASHED]
+        spelled = math.prod((pairs[p] + 1) / (starts[p[0]] + 256) for p in zip(f"\n{w}", f"{w}\n"))
+        share = (counts[w] + max(1, len(kinds)) * spelled) / (sum(counts[k] for k in kinds) + max(1, len(kinds)))
+        for got in (joined, known):
+            assert got[w]["word_log_likelihood"] - got[w]["log_likelihood"] == pytest.approx(math.log(share), abs=1e-4)
+    assert all(joined[w]["word_log_likelihood"] == pytest.approx(known[w]["word_log_likelihood"], abs=1e-5) for w in known)
+    assert known["c3"]["word_log_likelihood"] == known["c3"]["log_likelihood"]
+
+
+def test_the_network_learns_more_than_frequencies_and_is_a_distribution(spark):
+    """Of sf0.01, on texts that it was not trained on; and against a network written out for one position."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = learn_model(docs.where(~held))
+    tokens, net = Tokens(model.words), Network(model.values)
+    texts = [r["text"].lower().encode().split() for r in docs.where(held).select("text").collect()]
+    _, ids, at, _, _ = tokens.of(texts)
+    trained = [r["text"].lower().encode().split() for r in docs.where(~held).select("text").collect()]
+    _, old, where, _, _ = tokens.of(trained)
+    share = np.bincount(old[where], minlength=TOKENS) + 1.0
+    frequency = np.log(share / share.sum())[ids[at]]
+    got = net.log_probability(ids, at)
+    assert got.mean() > frequency.mean() + 0.02
+    embed, cw, cb, tw, tb = (x.astype(float) for x in net.parts)
+    for k in range(0, len(at), len(at) // 20):
+        h = np.tanh(sum(embed[j][ids[at[k] + place]] for j, place in enumerate(PLACES)))
+        token = int(ids[at[k]])
+        kind = (1 + (h @ cw + cb) / 1024) ** 1024
+        inside = (1 + (h @ tw[token // SIZE] + tb[token // SIZE]) / 1024) ** 1024
+        want = np.log(kind[token // SIZE] / kind.sum()) + np.log(inside[token % SIZE] / inside.sum())
+        assert got[k] == pytest.approx(want, abs=2e-2)

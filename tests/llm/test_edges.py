@@ -183,7 +183,7 @@ def test_rare_words_are_told_apart(spark):
 def test_every_word_is_predicted_in_training(spark):
     texts = spark.createDataFrame([(f"a b c d e {k} g h",) for k in range(50)] + [("",), (None,)], "text string")
     values = Network.fresh(np.ones(TOKENS)).values
-    total = sum_blocks(texts.mapInArrow(_train(["a", "b", "c"], values), BLOCKS), Network.LENGTH + 1)
+    total = sum_blocks(texts.mapInArrow(_train([b"a", b"b", b"c"], values), BLOCKS), Network.LENGTH + 1)
     assert total[-1] == 50 * 8
 
 

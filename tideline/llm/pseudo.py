@@ -8,14 +8,15 @@ score of a text is the sum of the log-probabilities of all its tokens, each give
 Tokens are the most frequent words of the corpus; rarer words share hashed tokens. The network gives
 the probability of such a token, and a Spark table with the count of every word, which grows with the
 corpus, that of the word among the words of its token (Witten-Bell): in proportion to its count,
-with a share for words never counted, which are spelled out byte by byte. In every
-round of training each position of every text is masked once. Each task trains a copy of the network on its rows,
-and the copies are averaged by Spark, weighted by positions; then the next round begins.
+with a share for words never counted, which are spelled out byte by byte. Tasks are given the counts of
+a fixed number of words; the few occurrences of all others are joined to the table. In training each position
+of every text is masked once. Each task trains a copy of the network on its rows, and the copies are averaged
+by Spark, weighted by positions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 from zlib import crc32
@@ -37,10 +38,10 @@ TOKENS = CLASSES * SIZE
 FIRST = TOKENS - HASHED
 #: Places around a masked token, and the width of the network.
 PLACES, WIDTH = (-2, -1, 1, 2), 16
-#: Rounds of training over all positions; positions of a step; step size.
-ROUNDS, STEP, RATE = 2, 2048, 0.15
-_BLOCK = 1 << 13
-_REMEMBERED = 400_000
+#: Positions of a step of training; step size; weights are held so that no logit leaves the range of floats.
+STEP, RATE, LARGEST = 4096, 1.0, 2.0
+#: The counts of so many of the most frequent words are given to every task; those of others are joined.
+KNOWN = 1 << 18
 
 
 class Network:
@@ -68,58 +69,74 @@ class Network:
         return net
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.parts[0][0][ids[at + PLACES[0]]]
+        total = self.parts[0][0].take(ids[at + PLACES[0]], axis=0)
         for k, place in enumerate(PLACES[1:], 1):
-            total += self.parts[0][k][ids[at + place]]
-        return np.tanh(total)
-
-    def classes(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Rows of each class that occurs."""
-        kind = (target // SIZE).astype(np.uint8)
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c]:ends[c + 1]]
+            total += self.parts[0][k].take(ids[at + place], axis=0)
+        return np.tanh(total, out=total)
+
+    def _positions(self, ids: np.ndarray, at: np.ndarray):
+        """The order of positions by token, their tokens in it, and where each class ends."""
+        target = ids[at]
+        order = np.argsort(target, kind="stable")
+        target = target[order]
+        ends = np.searchsorted(target, np.arange(0, TOKENS + 1, SIZE)).tolist()
+        return order, target, [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+
+    def _predict(self, h: np.ndarray, classes: list) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of all classes, and of all tokens within the class of each row, before division by their sums."""
+        _, cw, cb, tw, tb = self.parts
+        p, q = h @ cw, np.empty((len(h), SIZE), np.float32)
+        p += cb
+        for c, rows in classes:
+            np.matmul(h[rows], tw[c], out=q[rows])
+            q[rows] += tb[c]
+        return _exp(p), _exp(q)
 
     def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        out = np.empty(len(at))
-        for k in range(0, len(at), _BLOCK):
-            here = at[k:k + _BLOCK]
-            h, target = self.hidden(ids, here), ids[here]
-            score = _log_softmax_at(h @ self.parts[1] + self.parts[2], target // SIZE)
-            for c, rows in self.classes(target):
-                score[rows] += _log_softmax_at(h[rows] @ self.parts[3][c] + self.parts[4][c], target[rows] % SIZE)
-            out[k:k + _BLOCK] = score
+        out, ids = np.empty(len(at)), ids.astype(np.uint16)
+        for k in range(0, len(at), STEP):
+            here = at[k:k + STEP]
+            order, target, classes = self._positions(ids, here)
+            p, q = self._predict(self.hidden(ids, here[order]), classes)
+            row = np.arange(len(here))
+            out[k + order] = np.log(p[row, target // SIZE] / (p @ _ONES)) + np.log(q[row, target % SIZE] / (q @ _ONES))
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, seen: list[np.ndarray]) -> None:
         """A step of Adagrad for every ``STEP`` positions; ``seen`` holds its sums of squares."""
         embed, cw, cb, tw, tb = self.parts
+        ids, gw, gb = ids.astype(np.uint16), np.empty_like(tw), np.empty_like(tb)
         for k in range(0, len(at), STEP):
-            here = at[k:k + STEP]
-            n, h, target = len(here), self.hidden(ids, here), ids[here]
-            p = _softmax(h @ cw + cb)
-            p[np.arange(n), target // SIZE] -= 1
+            order, target, classes = self._positions(ids, at[k:k + STEP])
+            here, n, row = at[k:k + STEP][order], len(order), np.arange(len(order))
+            h = self.hidden(ids, here)
+            p, q = self._predict(h, classes)
+            p /= (p @ _ONES)[:, None]
+            q /= (q @ _ONES)[:, None]
+            p[row, target // SIZE] -= 1
+            q[row, target % SIZE] -= 1
             back = p @ cw.T
-            grads = [h.T @ p / n, p.sum(0) / n]
-            gw, gb = np.zeros_like(tw), np.zeros_like(tb)
-            for c, rows in self.classes(target):
-                q = _softmax(h[rows] @ tw[c] + tb[c])
-                q[np.arange(len(rows)), target[rows] % SIZE] -= 1
-                back[rows] += q @ tw[c].T
-                gw[c], gb[c] = h[rows].T @ q / n, q.sum(0) / n
+            gw[:], gb[:] = 0, 0
+            for c, rows in classes:
+                back[rows] += q[rows] @ tw[c].T
+                np.matmul(h[rows].T, q[rows], out=gw[c])
+                gb[c] = q[rows].sum(0)
             back *= (1 - h * h) / n
-            for part, sums, g in zip((cw, cb, tw, tb), seen[1:], (*grads, gw, gb)):
+            for part, sums, g in zip((cw, cb, tw, tb), seen[1:], (h.T @ p, p.sum(0), gw, gb)):
+                g /= n
                 sums += g * g
                 part -= RATE * g / (np.sqrt(sums) + 1e-6)
+            np.clip(cw, -LARGEST, LARGEST, out=cw)
+            np.clip(tw, -LARGEST, LARGEST, out=tw)
             for place, offset in enumerate(PLACES):
                 token = ids[here + offset]
                 order = np.argsort(token, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) > 0]))
-                which, g = token[order][first], np.add.reduceat(back[order], first, axis=0)
-                seen[0][place][which] += g * g
-                embed[place][which] -= RATE * g / (np.sqrt(seen[0][place][which]) + 1e-6)
+                token = token[order]
+                first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                which, g = token[first], np.add.reduceat(back.take(order, axis=0), first, axis=0)
+                sums = seen[0][place][which] + g * g
+                seen[0][place][which] = sums
+                embed[place][which] -= RATE * g / (np.sqrt(sums) + 1e-6)
 
 
 _ONES = np.ones(SIZE, np.float32)
@@ -127,48 +144,49 @@ assert CLASSES == SIZE
 
 
 def _exp(logit: np.ndarray) -> np.ndarray:
-    """In place; the logits are held where their exponentials fit."""
-    np.clip(logit, -60, 60, out=logit)
-    return np.exp(logit, out=logit)
-
-
-def _softmax(logit: np.ndarray) -> np.ndarray:
-    p = _exp(logit)
-    p /= (p @ _ONES)[:, None]
-    return p
+    """``(1 + x / 1024) ** 1024`` in place, close to the exponential and several times as fast.
 
-
-def _log_softmax_at(logit: np.ndarray, which: np.ndarray) -> np.ndarray:
-    p = _exp(logit)
-    return np.log(p[np.arange(len(p)), which] / (p @ _ONES))
+    What is divided by its sum is this function, so that probabilities still add up to one.
+    """
+    logit *= 1 / 1024
+    logit += 1
+    for _ in range(10):
+        np.multiply(logit, logit, out=logit)
+    return logit
 
 
 class Tokens(dict):
-    """Words (as bytes) to token numbers."""
+    """Words (as bytes) to numbers: 0 is the edge of a text, then come the known words, then those of one slice."""
 
-    def __init__(self, words: list[str]):
-        super().__init__((w.encode(), k + 1) for k, w in enumerate(words))
-        self.room = len(self) + _REMEMBERED
+    def __init__(self, words: list[bytes]):
+        super().__init__((w, k + 1) for k, w in enumerate(words))
+        hashed = [FIRST + crc32(w) % HASHED for w in words[FIRST - 1:]]
+        self.known = np.concatenate([np.arange(min(FIRST, len(words) + 1)), hashed]).astype(np.uint16)
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        token = FIRST + crc32(word) % HASHED
-        if len(self) < self.room:
-            self[word] = token
-        return token
+        self.new.append(word)
+        self[word] = number = len(self.known) + len(self.new) - 1
+        return number
 
     @staticmethod
     def split(offsets: np.ndarray, raw: np.ndarray) -> list[list[bytes]]:
         data, ends = raw.tobytes().lower(), offsets.tolist()
         return [data[a:b].split() for a, b in zip(ends, ends[1:])]
 
-    def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of all texts with two edges before and after each; where words are, and of which text."""
+    def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers and tokens of all texts with two edges before and after each; where words are, and of which
+        text; and the words that are not known, which are numbered for this call alone."""
         count = np.array([len(w) for w in words], np.int64)
         doc = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(doc)) + 2 + 2 * doc
-        ids = np.zeros(len(doc) + 2 * len(count) + 2, np.int64)
-        ids[at] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(doc))
-        return ids, at, doc
+        number = np.zeros(len(doc) + 2 * len(count) + 2, np.int64)
+        number[at] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(doc))
+        new, self.new = self.new, []
+        for w in new:
+            del self[w]
+        token = np.concatenate([self.known, np.array([FIRST + crc32(w) % HASHED for w in new], np.uint16)])
+        return number, token[number], at, doc, new
 
 
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +199,7 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Rare:
     """What is known of the words that share hashed tokens."""
 
-    #: ``word`` (as bytes) and ``count`` of every word of the corpus.
+    #: ``word`` (as bytes) and ``count`` of every word that is not among the known ones.
     counts: DataFrame
     #: Occurrences and different words of each hashed token, log-probabilities of a byte after another.
     number: np.ndarray
@@ -197,10 +215,10 @@ def _spelled(words: list[bytes], token: np.ndarray, kinds: np.ndarray, spelling:
     return np.log(np.maximum(1, kinds[token - FIRST])) + np.add.reduceat(spelling[pairs], first)
 
 
-def _gather(top: list[str]):
+def _gather(top: list[bytes]):
     """Sums over counted words: occurrences and kinds of each hashed token, pairs of bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = {w.encode() for w in top}
+        head = set(top)
         total = np.zeros(2 * HASHED + (1 << 16))
         for batch in batches:
             words = batch.column(0).to_pylist()
@@ -217,19 +235,21 @@ def _gather(top: list[str]):
 
 @dataclass
 class Model:
-    words: list[str]
+    #: Known words, the most frequent first, and how often they occur; the first ``FIRST - 1`` are tokens.
+    words: list[bytes]
+    counts: np.ndarray
     values: np.ndarray
     rare: Rare
 
 
-def _train(words: list[str], values: np.ndarray):
+def _train(words: list[bytes], values: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, net = Tokens(words), Network(values)
         seen = Network._cut(np.full(Network.LENGTH, 1e-3, np.float32))
         trained = 0
         for batch in batches:
             for part in slices(batch, 0):
-                ids, at, _ = tokens.of(tokens.split(*spans(part.column(0))))
+                _, ids, at, _, _ = tokens.of(tokens.split(*spans(part.column(0))))
                 net.train(ids, at, seen)
                 trained += len(at)
         if trained:
@@ -238,35 +258,53 @@ def _train(words: list[str], values: np.ndarray):
     return run
 
 
-def learn_model(docs: DataFrame, text: str = "text") -> Model:
+def _known(counted: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
+    """The most frequent words, ``most`` of them or fewer, their counts, and the table of all other words.
+
+    Counts are put into bands, eight to a power of two, and whole bands are known, so that no words
+    are sorted by Spark; a band that does not fit is left to the join.
+    """
+    band = F.floor(F.log2("count") * 8)
+    lowest, total = None, 0
+    for r in sorted(counted.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += r["n"]
+        if total > most:
+            break
+        lowest = r["band"]
+    if lowest is None:
+        return [], np.zeros(0), counted
+    rows = sorted((-r["count"], bytes(r["word"])) for r in counted.where(band >= lowest).collect())
+    return [w for _, w in rows], np.array([-n for n, _ in rows], float), counted.where(band < lowest)
+
+
+def learn_model(docs: DataFrame, text: str = "text", known: int = KNOWN) -> Model:
     """Words and network learned from the whole texts of all rows of ``docs``.
 
     The words of a text lie between ASCII white space, A-Z are lower-cased. All words are counted
-    by Spark and stay in a table; equally frequent ones are taken in their order. Empty and null texts teach nothing,
-    and without any words all tokens are equally likely. Copies of the network are averaged, so
+    by Spark and stay in a table; equally frequent ones are taken in their order. At most ``known`` of them, which
+    bounds what a task is given and changes no result but by rounding, are collected. Empty and null texts teach
+    nothing, and without any words all tokens are equally likely. Copies of the network are averaged, so
     the result depends a little on how rows are dealt to tasks.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     counted = staged(texts.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where(
-        "word <> ''").groupBy("word").count(), "words")
-    top = counted.orderBy(F.desc("count"), "word").limit(FIRST - 1).collect()
-    words = [r["word"] for r in top]
-    table = counted.select(F.col("word").cast("binary").alias("word"), "count")
-    sums = sum_blocks(table.mapInArrow(_gather(words), BLOCKS), 2 * HASHED + (1 << 16))
+        "word <> ''").groupBy("word").count(), "words").select(F.col("word").cast("binary").alias("word"), "count")
+    words, count, rest = _known(counted, max(known, FIRST - 1))
+    top = words[:FIRST - 1]
+    sums = sum_blocks(counted.mapInArrow(_gather(top), BLOCKS), 2 * HASHED + (1 << 16))
     number, kinds, pairs = np.split(sums, [HASHED, 2 * HASHED])
     pairs = pairs.reshape(256, 256) + 1
-    rare = Rare(table, number, kinds, np.log(pairs / pairs.sum(1, keepdims=True)).ravel())
+    rare = Rare(rest, number, kinds, np.log(pairs / pairs.sum(1, keepdims=True)).ravel())
     counts = np.zeros(TOKENS)
-    counts[1:1 + len(top)] = [r["count"] for r in top]
+    counts[1:1 + len(top)] = count[:len(top)]
     counts[FIRST:] = number
     values = Network.fresh(counts).values
-    for _ in range(ROUNDS):
-        total = sum_blocks(texts.mapInArrow(_train(words, values), BLOCKS), Network.LENGTH + 1)
-        if total[-1]:
-            values = (total[:-1] / total[-1]).astype(np.float32)
-    return Model(words, values, rare)
+    total = sum_blocks(texts.mapInArrow(_train(top, values), BLOCKS), Network.LENGTH + 1)
+    if total[-1]:
+        values = (total[:-1] / total[-1]).astype(np.float32)
+    return Model(words, count, values, rare)
 
 
 RESULT = [
@@ -274,51 +312,52 @@ RESULT = [
     StructField("word_log_likelihood", DoubleType())]
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the pseudo-likelihood of every whole text.
+def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the pseudo-likelihood of every whole text.
 
     Adds ``n_tokens``, ``log_likelihood``, the sum of the log-probabilities of all tokens given
     their neighbours, and ``word_log_likelihood``, that of all words: the same, and for rare words
     their log-probability among the words of their token. A text without words, or null, has 0 of all. Rows are scored one by one, so
     repeated rows stay; older columns of these names are replaced.
     """
-    top, values, rare = model.words, model.values, model.rare
-    number, kinds, spelling = rare.number, rare.kinds, rare.spelling
+    known, count, values, rare = model.words, model.counts, model.values, model.rare
+    kinds, spelling = rare.kinds, rare.spelling
+    all_of = np.log(rare.number + np.maximum(1, kinds))
+    token = np.array([FIRST + crc32(w) % HASHED for w in known[FIRST - 1:]], np.int64)
+    among = np.concatenate([np.zeros(min(FIRST, len(known) + 1)), np.logaddexp(
+        np.log(count[FIRST - 1:]), _spelled(known[FIRST - 1:], token, kinds, spelling)) - all_of[token - FIRST]])
 
     def make():
-        tokens, net = Tokens(top), Network(values)
-        all_of = np.log(number + np.maximum(1, kinds))
+        tokens, net = Tokens(known), Network(values)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            words = tokens.split(*spans(column))
-            ids, at, doc = tokens.of(words)
-            n = len(column)
-            each, token = net.log_probability(ids, at), ids[at]
-            hashed = np.flatnonzero(token >= FIRST)
-            word = each.copy()
-            word[hashed] -= all_of[token[hashed] - FIRST]
-            flat = list(chain.from_iterable(words))
-            shared = [flat[k] for k in hashed.tolist()]
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[hashed], minlength=n))]), pa.int32())
+            number_of, ids, at, doc, new = tokens.of(tokens.split(*spans(column)))
+            n, word = len(column), number_of[at]
+            token = np.array([FIRST + crc32(w) % HASHED for w in new], np.int64)
+            spelled = _spelled(new, token, kinds, spelling)
+            each = net.log_probability(ids, at)
+            unknown = np.flatnonzero(word >= len(among))
+            which = word[unknown] - len(among)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[unknown], minlength=n))]), pa.int32())
             return [
                 pa.array(np.bincount(doc, minlength=n), pa.int64()),
                 pa.array(np.bincount(doc, weights=each, minlength=n), pa.float64()),
-                pa.array(np.bincount(doc, weights=word, minlength=n), pa.float64()),
-                pa.ListArray.from_arrays(ends, pa.array(shared, pa.binary())),
-                pa.ListArray.from_arrays(ends, pa.array(
-                    _spelled(shared, token[hashed], kinds, spelling), pa.float32()))]
+                pa.array(np.bincount(doc, weights=each + np.concatenate([among, -all_of[token - FIRST]])[word],
+                                     minlength=n), pa.float64()),
+                pa.ListArray.from_arrays(ends, pa.array(new, pa.binary()).take(pa.array(which))),
+                pa.ListArray.from_arrays(ends, pa.array(spelled[which], pa.float32()))]
         return work
 
-    keep = others(docs, [f.name for f in RESULT])
+    keep = others(docs if keep is None else docs.select(*map(quoted, keep)), [f.name for f in RESULT])
     row = docs.select(F.col(quoted(text)).alias("text"), F.struct(
         F.lit(0).alias("none"), *[F.col(quoted(c)) for c in keep]).alias("row"))
     lists = [StructField("words", ArrayType(BinaryType())), StructField("spelled", ArrayType(FloatType()))]
     scored = staged(with_results(row, ["text"], ["row"], [*RESULT, *lists], make).withColumn(
         "id", F.monotonically_increasing_id()), "scored")
-    shared = scored.select("id", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select(
+    unknown = scored.select("id", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select(
         "id", F.col("w.words").alias("word"), F.col("w.spelled").alias("spelled"))
     # written, so that the words' shuffle files are gone when the texts are dealt
-    counted = staged(shared.join(rare.counts, "word", "left").groupBy("id").agg(F.sum(F.when(
+    counted = staged(unknown.join(rare.counts, "word", "left").groupBy("id").agg(F.sum(F.when(
         F.col("count").isNull(), F.col("spelled")).otherwise(
         F.log(F.col("count") + F.exp("spelled")))).alias("more")), "rare-words")
     # built from the sums, so that no text is sorted

@@ -177,7 +177,7 @@ def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, learn_model(docs))
+    scored = score_texts(docs, learn_model(docs), keep=["doc_id"])
     n = F.nullif(F.col("n_tokens"), F.lit(0))
     return scored.withColumn("mean", F.col("log_likelihood") / n).withColumn(
         "word_mean", F.col("word_log_likelihood") / n)
