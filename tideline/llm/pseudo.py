@@ -42,6 +42,7 @@ PLACES, WIDTH = (-2, -1, 1, 2), 16
 STEP, RATE, LARGEST = 4096, 1.0, 2.0
 #: The counts of so many of the most frequent words are given to every task; those of others are joined.
 KNOWN = 1 << 18
+_BLOCK = 1 << 13
 
 
 class Network:
@@ -53,6 +54,7 @@ class Network:
     def __init__(self, values: np.ndarray):
         self.values = values.astype(np.float32)
         self.parts = self._cut(self.values)
+        self.room = [np.empty((_BLOCK, n), np.float32) for n in (CLASSES, SIZE)]
 
     @classmethod
     def _cut(cls, values: np.ndarray) -> list[np.ndarray]:
@@ -85,17 +87,18 @@ class Network:
     def _predict(self, h: np.ndarray, classes: list) -> tuple[np.ndarray, np.ndarray]:
         """Shares of all classes, and of all tokens within the class of each row, before division by their sums."""
         _, cw, cb, tw, tb = self.parts
-        p, q = h @ cw, np.empty((len(h), SIZE), np.float32)
+        p, q = (room[:len(h)] for room in self.room)
+        np.matmul(h, cw, out=p)
         p += cb
         for c, rows in classes:
             np.matmul(h[rows], tw[c], out=q[rows])
             q[rows] += tb[c]
-        return _exp(p), _exp(q)
+        return _exp(p), _exp(q)  # good until the next call
 
     def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out, ids = np.empty(len(at)), ids.astype(np.uint16)
-        for k in range(0, len(at), STEP):
-            here = at[k:k + STEP]
+        for k in range(0, len(at), _BLOCK):
+            here = at[k:k + _BLOCK]
             order, target, classes = self._positions(ids, here)
             p, q = self._predict(self.hidden(ids, here[order]), classes)
             row = np.arange(len(here))
@@ -301,7 +304,7 @@ def learn_model(docs: DataFrame, text: str = "text", known: int = KNOWN) -> Mode
     counts[1:1 + len(top)] = count[:len(top)]
     counts[FIRST:] = number
     values = Network.fresh(counts).values
-    total = sum_blocks(texts.mapInArrow(_train(top, values), BLOCKS), Network.LENGTH + 1)
+    total = sum_blocks(texts.mapInArrow(_train(words, values), BLOCKS), Network.LENGTH + 1)
     if total[-1]:
         values = (total[:-1] / total[-1]).astype(np.float32)
     return Model(words, count, values, rare)
