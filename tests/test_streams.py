@@ -7,7 +7,7 @@ from compare import rows_of_spark
 from tideline.operators import Layout, normalise as norm, replay_running_state, timeline as tl
 from tideline.sources import idempotent_sink, read_batches, read_events, read_events_stream
 from tideline.streaming import (LateRows, deliver, drain, drain_batches, stream_dedupe,
-                                stream_error_rate, stream_error_recovery,
+                                stream_enrich, stream_error_rate, stream_error_recovery,
                                 stream_period_state, stream_replay_state)
 
 SF = "/root/testdata/sf0.001"
@@ -175,3 +175,17 @@ def test_recovery_is_found_per_error(spark, tmp_path):
                  for r in drain(stream_error_recovery(stream))[0].collect())
     assert got == [(1, "00:01:05", "00:01:05.500000"), (1, "00:01:20", "00:20:00"), (1, "00:01:40", "00:20:00"),
                    (2, "00:30:00", None), (3, "00:00:00", None)]
+
+
+def test_enrich_never_broadcasts_the_repeated_side(spark, tmp_path, capsys):
+    events = read_events(spark, SF).limit(200)
+    events.unionByName(events.limit(1).withColumns({"user_id": F.lit(None).cast("long"), "event_id": F.lit(-1).cast("long")})).write.parquet(
+        str(tmp_path / "events.parquet"))
+    customer = spark.createDataFrame([(1, "A"), (2, "B"), (2, "C"), (None, "D")], "c_custkey long, c_mktsegment string")
+    out = stream_enrich(read_events_stream(spark, str(tmp_path / "events.parquet")), customer)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = spark.read.parquet(str(tmp_path / "events.parquet")).join(customer, F.col("user_id") == F.col("c_custkey"), "left")
+    names = ["event_id", "user_id", "ts", "c_mktsegment"]
+    assert rows_of_spark(drain(out)[0].select(*names[:3], F.col("segment").alias("c_mktsegment"))) == rows_of_spark(want.select(*names))

@@ -117,11 +117,12 @@ def stream_enrich(stream: DataFrame, customer: DataFrame, salts: int = 16) -> Da
     """Attach the segment of the entity; unknown entities are kept.
 
     Streams are not re-planned at run time, so the events of a hot entity are spread by salt
-    and the static side is repeated per salt.
+    and the static side is repeated per salt. Spark does not count the repeats when it decides
+    whether to broadcast, so the join is a merge of sorted, shuffled sides at every size.
     """
     who = customer.select(F.col("c_custkey").alias("user_id"),
                           F.col("c_mktsegment").alias("segment"),
                           F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
                           .alias("_salt"))
     salted = stream.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)))
-    return _ntz(salted.join(who, ["user_id", "_salt"], "left").drop("_salt"), "ts")
+    return _ntz(salted.join(who.hint("merge"), ["user_id", "_salt"], "left").drop("_salt"), "ts")
