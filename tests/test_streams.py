@@ -9,6 +9,7 @@ from tideline.sources import idempotent_sink, read_batches, read_events, read_ev
 from tideline.streaming import (LateRows, deliver, drain, drain_batches, stream_dedupe,
                                 stream_enrich, stream_error_rate, stream_error_recovery,
                                 stream_period_state, stream_replay_state)
+from tideline.streaming.ordered import GROUPS
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,3 +190,30 @@ def test_enrich_never_broadcasts_the_repeated_side(spark, tmp_path, capsys):
     want = spark.read.parquet(str(tmp_path / "events.parquet")).join(customer, F.col("user_id") == F.col("c_custkey"), "left")
     names = ["event_id", "user_id", "ts", "c_mktsegment"]
     assert rows_of_spark(drain(out)[0].select(*names[:3], F.col("segment").alias("c_mktsegment"))) == rows_of_spark(want.select(*names))
+
+
+def test_recoveries_of_many_users_share_state(spark, tmp_path):
+    """Users of one key keep their events apart; the state has a bounded number of keys a day."""
+    users = [*range(-600, 1400), 2**62 + 1, 2**62 + 1 + GROUPS, None]
+    rows = [(u, f"2024-01-01 00:{(u or 0) % 7:02}:{s:02}", kind) for u in users
+            for s, kind in ((0, "error"), (0, "view"), (0, "error"), ((u or 0) % 3 * 9 + 1, "view"), (50, "error"))]
+    rows += [(u, "2024-01-01 05:00:00", "view") for u in users]
+
+    def write(rows, name):
+        spark.createDataFrame(rows, "user_id long, ts string, event_type string").selectExpr(
+            "cast(1 as bigint) event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "cast(1 as double) value",
+            "'{}' props").write.parquet(str(tmp_path / "in" / name))
+
+    write(rows, "0")
+    path = str(tmp_path / "out")
+    stream = read_events_stream(spark, str(tmp_path / "in" / "*"), glob="*.parquet")
+    got = drain(stream_error_recovery(stream), path)[0]
+    want = []
+    for u in users:
+        at = f"00:{(u or 0) % 7:02}:"
+        want += [(u, f"{at}00", f"{at}{(u or 0) % 3 * 9 + 1:02}"), (u, f"{at}50", None)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    seen = sorted([(r.user_id, str(r.error_ts)[11:], r.recovered_ts and str(r.recovered_ts)[11:]) for r in got.collect()], key=key)
+    assert seen == sorted(want, key=key)
+    waits = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{path}/checkpoint")
+    assert waits.select("key").distinct().count() <= 2 * GROUPS  # remainders of either sign, and null
