@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,24 @@ def test_the_network_learns_more_than_frequencies_and_is_a_distribution(spark):
         inside = (1 + (h @ tw[token // SIZE] + tb[token // SIZE]) / 1024) ** 1024
         want = np.log(kind[token // SIZE] / kind.sum()) + np.log(inside[token % SIZE] / inside.sum())
         assert got[k] == pytest.approx(want, abs=2e-2)
+
+
+def test_features_are_those_of_every_text_alone():
+    """Hashed a bounded stretch at a time; short, empty and missing texts, zeros inside, repeated n-grams."""
+    from tideline.llm import toxicity as tox
+
+    texts = ["", "a", "abc", None, "ab\0cdefg hi", "\0", "Bad WORD bad word " * 9, "\u00e9" * 40, *[f"text {k} of many" for k in range(300)],
+             "".join(chr(97 + k * k % 23) for k in range(3 * tox._RUN))]
+
+    def alone(text):
+        data = b" " + (text or "").encode().translate(tox._FOLD) + b" "
+        grams = {(k, data[i:i + k]) for k in tox.LENGTHS for i in range(len(data) - k + 1)}
+        return {((int.from_bytes(g, "little") + k) * int(tox._K) % 2**64) >> (64 - tox.HASH_BITS) for k, g in grams if 0 not in g}
+
+    offsets, raw = tox.spans(pa.array(texts))
+    runs = list(tox._runs(offsets, raw))
+    assert len(runs) > 5 and all(len(b) - 1 <= tox._TEXTS and (len(b) == 2 or b[-1] <= 2 * tox._RUN) for _, b, _ in runs)
+    want = [sorted(alone(t)) for t in texts]
+    for wanted in (np.ones(1 << tox.HASH_BITS, bool), np.arange(1 << tox.HASH_BITS) % 7 == 3):
+        doc, f = tox.features(offsets, raw, wanted)
+        assert [f[doc == k].tolist() for k in range(len(texts))] == [[x for x in w if wanted[x]] for w in want]

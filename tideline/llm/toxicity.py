@@ -32,30 +32,56 @@ ERRORS = 2.5
 SAMPLE = 2000
 _ROUNDS, _RATE, _DECAY = 300, 0.05, 1e-3
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes and texts that are hashed at once, and what stands for no feature.
+_RUN, _TEXTS, _NONE = 1 << 16, 64, 1 << HASH_BITS
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def features(offsets: np.ndarray, raw: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and feature for every feature of every text; ``wanted`` marks those to give."""
+def _runs(offsets: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive texts of about ``_RUN`` bytes, few enough to be hashed in a processor's cache.
+
+    The number of the first, where each begins and the last ends, and a row of features for each
+    length, one for every byte; ``_NONE`` where no n-gram of that length begins.
+    """
     folded, ends = raw.tobytes().translate(_FOLD), offsets.tolist()
-    joined = b"\0" + b"\0".join([b" " + folded[a:b] + b" " for a, b in zip(ends, ends[1:])]) + b"\0" * 9
-    data = np.frombuffer(joined, np.uint8)
-    n = len(data) - 8
-    view = np.ndarray(n, "<u8", data, strides=(1,))
-    gap = np.flatnonzero(data[:n] == 0)
-    begins = offsets[:-1] + 3 * np.arange(len(ends) - 1) + 1
-    found = []
-    for k in LENGTHS:
-        h = ((((view & np.uint64((1 << 8 * k) - 1)) + np.uint64(k)) * _K) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        whole = np.ones(n, bool)
-        for j in range(k):
-            whole[np.maximum(gap - j, 0)] = False
-        if wanted is not None:
-            whole &= wanted[h]
-        at = np.flatnonzero(whole)
-        found.append((np.searchsorted(begins, at, "right") - 1) << HASH_BITS | h[at])
-    key = np.unique(np.concatenate(found))
-    return key >> HASH_BITS, key & (1 << HASH_BITS) - 1
+    at = 0
+    while at < len(ends) - 1:
+        to = min(max(at + 1, int(np.searchsorted(offsets, ends[at] + _RUN, "right")) - 1), at + _TEXTS, len(ends) - 1)
+        data = np.frombuffer(
+            b"\0".join([b" " + folded[a:b] + b" " for a, b in zip(ends[at:to], ends[at + 1:to + 1])]) + b"\0" * 9, np.uint8)
+        n = len(data) - 8
+        view, gap, found = np.ndarray(n, "<u8", data, strides=(1,)), np.flatnonzero(data[:n] == 0), np.empty((len(LENGTHS), n), np.uint64)
+        for h, k in zip(found, LENGTHS):
+            np.bitwise_and(view, np.uint64((1 << 8 * k) - 1), out=h)
+            h += np.uint64(k)
+            h *= _K
+            h >>= np.uint64(64 - HASH_BITS)
+            for j in range(k):
+                h[gap[gap >= j] - j] = _NONE
+        yield at, offsets[at:to + 1] - ends[at] + 3 * np.arange(to + 1 - at), found.view(np.int64)
+        at = to
+
+
+def features(offsets: np.ndarray, raw: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and feature for every feature of every text that ``wanted`` marks, both rising."""
+    kept = np.flatnonzero(wanted)
+    number = np.zeros(_NONE + 1, np.int64)
+    number[kept] = np.arange(1, len(kept) + 1)  # 0: not wanted
+    size, docs, found = len(kept) + 1, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for first, begins, h in _runs(offsets, raw):
+        n = len(begins) - 1
+        key = number[h]
+        key += np.repeat(np.arange(n) * size, np.diff(begins))[:h.shape[1]]
+        if n * size <= 16 * h.size:
+            marks = np.zeros(n * size, bool)
+            marks[key.ravel()] = True
+            key = np.flatnonzero(marks)
+        else:  # short texts, many features
+            key = np.unique(key)
+        key = key[key % size > 0]
+        docs.append(first + key // size)
+        found.append(kept[key % size - 1])
+    return np.concatenate(docs), np.concatenate(found)
 
 
 @dataclass
@@ -69,15 +95,18 @@ class Toxicity:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 1 << HASH_BITS
-    sums = np.zeros((2, size + 1))  # behind the features: the number of texts
+    counts, texts = np.zeros((2, _NONE + 1), np.int32), np.zeros(2, np.int64)
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for part in slices(batch, at):
             label = part.column(part.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
-            doc, f = features(*spans(part.column(at)))
-            for c in (0, 1):
-                sums[c, :size] += np.bincount(f[label[doc] == c], minlength=size)
-                sums[c, size] += (label == c).sum()
+            texts += np.bincount(label, minlength=2)[:2]
+            for first, begins, h in _runs(*spans(part.column(at))):
+                ends = begins.tolist()
+                for c, a, b in zip(label[first:first + len(ends) - 1].tolist(), ends, ends[1:]):
+                    counts[c][h[:, a:b].ravel()] += 1  # once, however often the text has it
+    sums = np.zeros((2, size + 1))  # behind the features: the number of texts
+    sums[:, :size], sums[:, size] = counts[:, :size], texts
     yield from blocks_of(sums.ravel(), TaskContext.get().partitionId())
 
 
