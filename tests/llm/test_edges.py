@@ -1,9 +1,10 @@
 """Every operator and stage: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from tideline.llm.chat import format_conversations, read_conversations
 from tideline.llm.decontaminate import mark_benchmark
 from tideline.llm.language import identify, learn_profiles
 from tideline.llm.licenses import SENTENCES, match, scan_licenses, sentences
-from tideline.llm.pseudo import FIRST, HASHED, TOKENS, Network, _train, learn_model, score_texts
+from tideline.llm.pseudo import (
+    CLASSES, FIRST, HASHED, LARGEST, PLACES, RATE, SIZE, TOKENS, Network, Tokens, _count, _train, learn_model, score_texts,
+)
 from tideline.llm.queries import tokenizer_file
 from tideline.llm.repeats import remove_repeats
 from tideline.llm.simhash import group_near_copies
@@ -187,6 +190,46 @@ def test_every_word_is_predicted_in_training(spark):
     assert total[-1] == 50 * 8
 
 
+def test_words_are_counted_once_a_batch():
+    odd = [None, "", " \t", " A b\x0bA\x0c", "\x1cx\x1f \x85\xa0 É é\0 a", "ZZ\r\nzz\n"]
+    texts = pa.array(["cut off", *odd, *["a b"] * 1000], pa.string()).slice(1)
+    want = [(t or "").encode().lower().split() for t in texts.to_pylist()]
+    assert Tokens.split(texts).to_pylist() == want
+    out = list(_count(iter([pa.RecordBatch.from_arrays([texts], names=["text"])] * 2)))
+    rows = [(r["word"], r["n"]) for batch in out for r in batch.to_pylist()]
+    counts = Counter(w for ws in want for w in ws)
+    assert sorted(rows) == sorted([*counts.items()] * 2)
+    tokens = Tokens([b"a", b"b"])
+    assert all(np.array_equal(x, y) for x, y in zip(tokens.of(Tokens.split(texts)), tokens.of(want)))
+    assert tokens.of(want)[4] == list(dict.fromkeys(w for ws in want for w in ws if w not in (b"a", b"b")))
+
+
+def test_a_step_of_training_is_that_of_the_formulas():
+    rng = np.random.default_rng(5)
+    ids = np.zeros(304, np.int64)
+    ids[2:302] = rng.integers(1, 12, 300) * 301 % TOKENS
+    at, net = np.arange(2, 302), Network.fresh(rng.integers(1, 90, TOKENS).astype(float))
+    net.values[:] += rng.normal(0, 0.05, Network.LENGTH)
+    parts = embed, cw, cb, tw, tb = [x.astype(float) for x in net.parts]
+    seen = Network._cut(np.full(Network.LENGTH, 1e-3, np.float32))
+    grads = [np.zeros(x.shape) for x in parts]
+    for i in at:
+        h = np.tanh(sum(embed[j][ids[i + place]] for j, place in enumerate(PLACES)))
+        c, t = divmod(int(ids[i]), SIZE)
+        p, q = (1 + (h @ cw + cb) / 1024) ** 1024, (1 + (h @ tw[c] + tb[c]) / 1024) ** 1024
+        p, q = p / p.sum() - (np.arange(CLASSES) == c), q / q.sum() - (np.arange(SIZE) == t)
+        back = (cw @ p + tw[c] @ q) * (1 - h * h)
+        for j, place in enumerate(PLACES):
+            grads[0][j][ids[i + place]] += back / len(at)
+        for g, more in ((grads[1], np.outer(h, p)), (grads[2], p), (grads[3][c], np.outer(h, q)), (grads[4][c], q)):
+            g += more / len(at)
+    net.train(ids, at, seen)
+    for k, (part, g) in enumerate(zip(parts, grads)):
+        want = part - RATE * g / (np.sqrt(1e-3 + g * g) + 1e-6)
+        np.testing.assert_allclose(net.parts[k], np.clip(want, -LARGEST, LARGEST) if k in (1, 3) else want, atol=2e-5)
+        np.testing.assert_allclose(seen[k], 1e-3 + g * g, atol=1e-6)
+
+
 SHORTEST = {
     "GPL": ["Released under the GPL v3."], "LGPL": ["Distributed under the terms of the LGPL."],
     "AGPL": ["Available under the AGPL"], "Apache": ["Licensed under the Apache License"],

@@ -18,18 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, LongType, StructField, StructType
 
 from tideline.llm.batches import (
-    BLOCKS, blocks_of, others, prepare, quoted, slices, spans, staged, sum_blocks, with_results,
+    BLOCKS, blocks_of, others, prepare, quoted, slices, staged, sum_blocks, with_results,
 )
 
 #: Classes, and tokens of a class; of all tokens so many are for hashed words; one is the edge of a text.
@@ -42,7 +42,8 @@ PLACES, WIDTH = (-2, -1, 1, 2), 16
 STEP, RATE, LARGEST = 4096, 1.0, 2.0
 #: The counts of so many of the most frequent words are given to every task; those of others are joined.
 KNOWN = 1 << 18
-_BLOCK = 1 << 13
+#: Rows of shares that are raised at once; bytes of texts whose words are looked up at once.
+_ROWS, _SLICE = 1024, 8 << 20
 
 
 class Network:
@@ -54,7 +55,10 @@ class Network:
     def __init__(self, values: np.ndarray):
         self.values = values.astype(np.float32)
         self.parts = self._cut(self.values)
-        self.room = [np.empty((_BLOCK, n), np.float32) for n in (CLASSES, SIZE)]
+        # reused by all steps: a place for inputs and a one, shares of classes and of tokens within, scaled weights
+        self.inputs = np.ones((STEP, WIDTH + 1), np.float32)
+        self.shares = np.empty((STEP, 2, SIZE), np.float32)
+        self.scaled = np.empty((CLASSES + 1, WIDTH + 1, SIZE), np.float32)
 
     @classmethod
     def _cut(cls, values: np.ndarray) -> list[np.ndarray]:
@@ -71,10 +75,13 @@ class Network:
         return net
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """What the neighbours say, and a one that is multiplied by biases; good until the next call."""
         total = self.parts[0][0].take(ids[at + PLACES[0]], axis=0)
         for k, place in enumerate(PLACES[1:], 1):
             total += self.parts[0][k].take(ids[at + place], axis=0)
-        return np.tanh(total, out=total)
+        h = self.inputs[:len(at)]
+        np.tanh(total, out=h[:, :WIDTH])
+        return h
 
     def _positions(self, ids: np.ndarray, at: np.ndarray):
         """The order of positions by token, their tokens in it, and where each class ends."""
@@ -84,51 +91,69 @@ class Network:
         ends = np.searchsorted(target, np.arange(0, TOKENS + 1, SIZE)).tolist()
         return order, target, [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
 
-    def _predict(self, h: np.ndarray, classes: list) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of all classes, and of all tokens within the class of each row, before division by their sums."""
+    def _scale(self) -> None:
+        """Weights and biases of which a product gives ``logit / 1024``, those of the classes last."""
         _, cw, cb, tw, tb = self.parts
-        p, q = (room[:len(h)] for room in self.room)
-        np.matmul(h, cw, out=p)
-        p += cb
+        for out, weights, biases in ((self.scaled[:-1], tw, tb), (self.scaled[-1], cw, cb)):
+            np.multiply(weights, 1 / 1024, out=out[..., :WIDTH, :])
+            np.multiply(biases, 1 / 1024, out=out[..., WIDTH, :])
+
+    def _predict(self, h: np.ndarray, target: np.ndarray, classes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of all classes (even rows), and of all tokens within the class of each row (odd rows), before
+        division by their sums; these sums; and where in the shares the targets are. Good until the next call."""
+        shares = self.shares[:len(h)]
+        np.matmul(h, self.scaled[-1], out=shares[:, 0])
         for c, rows in classes:
-            np.matmul(h[rows], tw[c], out=q[rows])
-            q[rows] += tb[c]
-        return _exp(p), _exp(q)  # good until the next call
+            np.matmul(h[rows], self.scaled[c], out=shares[rows, 1])
+        shares = _raised(shares.reshape(-1, SIZE))
+        hit = np.arange(0, shares.size, SIZE).reshape(-1, 2)
+        hit[:, 0] += target // SIZE
+        hit[:, 1] += target % SIZE
+        return shares, shares @ _ONES, hit.ravel()
 
     def log_probability(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         out, ids = np.empty(len(at)), ids.astype(np.uint16)
-        for k in range(0, len(at), _BLOCK):
-            here = at[k:k + _BLOCK]
+        self._scale()
+        for k in range(0, len(at), STEP):
+            here = at[k:k + STEP]
             order, target, classes = self._positions(ids, here)
-            p, q = self._predict(self.hidden(ids, here[order]), classes)
-            row = np.arange(len(here))
-            out[k + order] = np.log(p[row, target // SIZE] / (p @ _ONES)) + np.log(q[row, target % SIZE] / (q @ _ONES))
+            shares, total, hit = self._predict(self.hidden(ids, here[order]), target, classes)
+            out[k + order] = np.log(shares.ravel()[hit] / total).reshape(-1, 2).sum(1)
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, seen: list[np.ndarray]) -> None:
         """A step of Adagrad for every ``STEP`` positions; ``seen`` holds its sums of squares."""
         embed, cw, cb, tw, tb = self.parts
-        ids, gw, gb = ids.astype(np.uint16), np.empty_like(tw), np.empty_like(tb)
+        ids = ids.astype(np.uint16)
+        inner = np.empty((CLASSES, WIDTH + 1, SIZE), np.float32)
+        room = [np.empty(tw.shape, np.float32) for _ in range(2)]
         for k in range(0, len(at), STEP):
             order, target, classes = self._positions(ids, at[k:k + STEP])
-            here, n, row = at[k:k + STEP][order], len(order), np.arange(len(order))
+            here, n = at[k:k + STEP][order], len(order)
             h = self.hidden(ids, here)
-            p, q = self._predict(h, classes)
-            p /= (p @ _ONES)[:, None]
-            q /= (q @ _ONES)[:, None]
-            p[row, target // SIZE] -= 1
-            q[row, target % SIZE] -= 1
-            back = p @ cw.T
-            gw[:], gb[:] = 0, 0
+            self._scale()
+            shares, total, hit = self._predict(h, target, classes)
+            shares *= (1 / (n * total))[:, None]
+            shares.ravel()[hit] -= np.float32(1 / n)
+            p, q = shares[::2], shares[1::2]
+            back, inside = p @ cw.T, np.empty((n, WIDTH), np.float32)
+            inner.fill(0)
             for c, rows in classes:
-                back[rows] += q[rows] @ tw[c].T
-                np.matmul(h[rows].T, q[rows], out=gw[c])
-                gb[c] = q[rows].sum(0)
-            back *= (1 - h * h) / n
-            for part, sums, g in zip((cw, cb, tw, tb), seen[1:], (h.T @ p, p.sum(0), gw, gb)):
-                g /= n
-                sums += g * g
-                part -= RATE * g / (np.sqrt(sums) + 1e-6)
+                np.matmul(q[rows], tw[c].T, out=inside[rows])
+                np.matmul(h[rows].T, q[rows], out=inner[c])
+            back += inside
+            outer = h.T @ p
+            back *= 1 - h[:, :WIDTH] ** 2
+            for part, sums, g in zip((cw, cb, tw, tb), seen[1:], (
+                    outer[:WIDTH], outer[WIDTH], inner[:, :WIDTH], inner[:, WIDTH])):
+                one, two = (r.ravel()[:g.size].reshape(g.shape) for r in room)
+                np.multiply(g, g, out=one)
+                sums += one
+                np.sqrt(sums, out=one)
+                one += 1e-6
+                np.divide(g, one, out=two)
+                two *= RATE
+                part -= two
             np.clip(cw, -LARGEST, LARGEST, out=cw)
             np.clip(tw, -LARGEST, LARGEST, out=tw)
             for place, offset in enumerate(PLACES):
@@ -136,62 +161,88 @@ class Network:
                 order = np.argsort(token, kind="stable")
                 token = token[order]
                 first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                which, g = token[first], np.add.reduceat(back.take(order, axis=0), first, axis=0)
-                sums = seen[0][place][which] + g * g
-                seen[0][place][which] = sums
-                embed[place][which] -= RATE * g / (np.sqrt(sums) + 1e-6)
+                which = token[first].astype(np.int64)
+                # two columns are summed as one of complex numbers
+                g = np.add.reduceat(back.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+                sums = seen[0][place].take(which, axis=0)
+                sums += g * g
+                _rows(seen[0][place])[which] = _rows(sums)
+                np.sqrt(sums, out=sums)
+                sums += 1e-6
+                g *= RATE
+                g /= sums
+                _rows(embed[place])[which] = _rows(embed[place].take(which, axis=0) - g)
+
+
+def _rows(table: np.ndarray) -> np.ndarray:
+    """The rows of a table as single values, which are stored faster."""
+    return table.view(f"V{table.itemsize * table.shape[1]}").ravel()
 
 
 _ONES = np.ones(SIZE, np.float32)
 assert CLASSES == SIZE
 
 
-def _exp(logit: np.ndarray) -> np.ndarray:
-    """``(1 + x / 1024) ** 1024`` in place, close to the exponential and several times as fast.
+def _raised(small: np.ndarray) -> np.ndarray:
+    """``(1 + small) ** 1024`` in place, a few rows at a time, so that they stay in the processor's cache.
 
-    What is divided by its sum is this function, so that probabilities still add up to one.
+    With ``x / 1024`` that is close to the exponential of ``x`` and several times as fast. What is divided by
+    its sum is this function, so that probabilities still add up to one.
     """
-    logit *= 1 / 1024
-    logit += 1
-    for _ in range(10):
-        np.multiply(logit, logit, out=logit)
-    return logit
+    for k in range(0, len(small), _ROWS):
+        rows = small[k:k + _ROWS]
+        rows += 1  # not part of the product, as a bias would be rounded with it
+        for _ in range(10):
+            np.square(rows, out=rows)
+    return small
 
 
-class Tokens(dict):
+class Tokens:
     """Words (as bytes) to numbers: 0 is the edge of a text, then come the known words, then those of one slice."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__((w, k + 1) for k, w in enumerate(words))
+        self.words = pa.array(words, pa.binary())
         hashed = [FIRST + crc32(w) % HASHED for w in words[FIRST - 1:]]
         self.known = np.concatenate([np.arange(min(FIRST, len(words) + 1)), hashed]).astype(np.uint16)
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = number = len(self.known) + len(self.new) - 1
-        return number
 
     @staticmethod
-    def split(offsets: np.ndarray, raw: np.ndarray) -> list[list[bytes]]:
-        data, ends = raw.tobytes().lower(), offsets.tolist()
-        return [data[a:b].split() for a, b in zip(ends, ends[1:])]
-
-    def of(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def split(column: pa.Array) -> pa.ListArray:
+        """The words of every text between ASCII white space, A-Z lower-cased, as bytes; null has none."""
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+        words, ends = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy()
+        full = pc.greater(pc.binary_length(words), 0)  # white space at an end of a text leaves an empty part
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(before[ends - ends[0]], pa.int32()), words.filter(full))
+
+    def of(self, words: pa.ListArray | list[list[bytes]]) -> tuple[
+            np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Numbers and tokens of all texts with two edges before and after each; where words are, and of which
         text; and the words that are not known, which are numbered for this call alone."""
-        count = np.array([len(w) for w in words], np.int64)
+        if isinstance(words, list):
+            words = pa.array(words, pa.list_(pa.binary()))
+        count, flat = np.diff(words.offsets.to_numpy()), words.flatten()
         doc = np.repeat(np.arange(len(count)), count)
         at = np.arange(len(doc)) + 2 + 2 * doc
         number = np.zeros(len(doc) + 2 * len(count) + 2, np.int64)
-        number[at] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(doc))
-        new, self.new = self.new, []
-        for w in new:
-            del self[w]
+        found = pc.index_in(flat, self.words)
+        number[at] = found.fill_null(0).to_numpy() + 1
+        rare = flat.filter(found.is_null()).dictionary_encode()
+        number[at[found.is_null().to_numpy(zero_copy_only=False)]] = rare.indices.to_numpy() + len(self.known)
+        new = rare.dictionary.to_pylist()
         token = np.concatenate([self.known, np.array([FIRST + crc32(w) % HASHED for w in new], np.uint16)])
         return number, token[number], at, doc, new
 
 
+#: Words and how often they occur in a batch of texts.
+_COUNTS = StructType([StructField("word", BinaryType()), StructField("n", LongType())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, n = Tokens.split(batch.column(0)).flatten().value_counts().flatten()
+        yield pa.RecordBatch.from_arrays([words, n], names=_COUNTS.names)
+
+
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of neighbouring bytes of all words, a line feed before and after each, and where a word begins."""
     raw = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
@@ -251,10 +302,12 @@ def _train(words: list[bytes], values: np.ndarray):
         seen = Network._cut(np.full(Network.LENGTH, 1e-3, np.float32))
         trained = 0
         for batch in batches:
-            for part in slices(batch, 0):
-                _, ids, at, _, _ = tokens.of(tokens.split(*spans(part.column(0))))
-                net.train(ids, at, seen)
-                trained += len(at)
+            # words are looked up for the whole batch, as that prepares all known words again
+            _, ids, at, doc, _ = tokens.of(tokens.split(batch.column(0)))
+            ends = np.cumsum([part.num_rows for part in slices(batch, 0)])
+            for where in np.split(at, np.searchsorted(doc, ends[:-1])):
+                net.train(ids, where, seen)
+            trained += len(at)
         if trained:
             yield from blocks_of(
                 np.append(net.values.astype(np.float64) * trained, trained), TaskContext.get().partitionId())
@@ -291,9 +344,7 @@ def learn_model(docs: DataFrame, text: str = "text", known: int = KNOWN) -> Mode
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"))
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counted = staged(texts.select(F.explode(F.split(lower, r"[\x20\x09-\x0D]+")).alias("word")).where(
-        "word <> ''").groupBy("word").count(), "words").select(F.col("word").cast("binary").alias("word"), "count")
+    counted = staged(texts.mapInArrow(_count, _COUNTS).groupBy("word").agg(F.sum("n").alias("count")), "words")
     words, count, rest = _known(counted, max(known, FIRST - 1))
     top = words[:FIRST - 1]
     sums = sum_blocks(counted.mapInArrow(_gather(top), BLOCKS), 2 * HASHED + (1 << 16))
@@ -334,7 +385,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: Sequenc
         tokens, net = Tokens(known), Network(values)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            number_of, ids, at, doc, new = tokens.of(tokens.split(*spans(column)))
+            number_of, ids, at, doc, new = tokens.of(tokens.split(column))
             n, word = len(column), number_of[at]
             token = np.array([FIRST + crc32(w) % HASHED for w in new], np.int64)
             spelled = _spelled(new, token, kinds, spelling)
@@ -355,7 +406,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", keep: Sequenc
     row = docs.select(F.col(quoted(text)).alias("text"), F.struct(
         F.lit(0).alias("none"), *[F.col(quoted(c)) for c in keep]).alias("row"))
     lists = [StructField("words", ArrayType(BinaryType())), StructField("spelled", ArrayType(FloatType()))]
-    scored = staged(with_results(row, ["text"], ["row"], [*RESULT, *lists], make).withColumn(
+    scored = staged(with_results(row, ["text"], ["row"], [*RESULT, *lists], make, _SLICE).withColumn(
         "id", F.monotonically_increasing_id()), "scored")
     unknown = scored.select("id", F.explode(F.arrays_zip("words", "spelled")).alias("w")).select(
         "id", F.col("w.words").alias("word"), F.col("w.spelled").alias("spelled"))
